@@ -116,57 +116,6 @@ def learn(docs: DataFrame, usable: Column | None = None, most_docs: int = MAX_DO
     return Profiles(langs, [best[best["lang"] == lang].sort_values("r")["k"].to_numpy(np.int64).astype(np.uint64) for lang in langs], most)
 
 
-def predict(self, text: str | None) -> tuple[str, float]:
-        own = ranking(*grams(text), self.most) if text else np.empty(0, np.uint64)
-        if not len(own) or not self.langs:
-            return "und", 0.0
-        at = np.searchsorted(self.keys, own)
-        known = (at < len(self.keys)) & (self.keys[np.minimum(at, len(self.keys) - 1)] == own)
-        r = self.rank[np.where(known, at, len(self.keys))]
-        far = np.where(r < 0, self.most, np.abs(r - np.arange(len(own))[:, None])).sum(0)
-        best = int(far.argmin())
-        if len(far) == 1:
-            return self.langs[best], 1.0
-        second = int(np.partition(far, 1)[1])
-        return self.langs[best], 0.5 + 0.5 * (second - int(far[best])) / max(second, 1)
-
-
-def learn(docs: DataFrame, usable: Column | None = None, most_docs: int = MAX_DOCS, most: int = PROFILE) -> Profiles:
-    """Profiles of every non-null lang, each from the whole texts of some most_docs documents (all, if there are fewer) with the smallest hashes."""
-    rows = docs.where("lang is not null and text is not null")
-    if usable is not None:
-        rows = rows.where(usable)
-    total = {r.lang: r.n for r in rows.groupBy("lang").agg(F.count("*").alias("n")).collect()}  # a row a language
-    if not total:
-        return Profiles([], [], most)
-    share = F.create_map(*(F.lit(x) for lang, n in total.items() for x in (lang, min(1.0, most_docs / n))))
-    place = F.pmod(F.xxhash64("doc_id"), F.lit(1 << 40)) / float(1 << 40)
-    picked = rows.where(place < share[F.col("lang")]).select("lang", "text")
-
-    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            langs, texts = np.array(column_list(b, "lang"), object), np.array(column_list(b, "text"), object)
-            for lang in set(langs):
-                own = texts[langs == lang].tolist()
-                for part in chunks_by_size(own, 1_000_000):
-                    keys, n = grams(" ".join(own[part]))
-                    yield pa.RecordBatch.from_arrays([pa.array([lang] * len(keys), pa.string()), pa.array(keys.astype(np.int64), pa.int64()), pa.array(n, pa.int64())], names=["lang", "k", "n"])
-
-    counted = picked.mapInArrow(count, "lang string, k long, n long").groupBy("lang", "k").agg(F.sum("n").alias("n"))
-    langs = sorted(cut)
-    ranked = []
-    for lang in langs:
-        top = counted.where(F.col("lang") == lang).orderBy(F.desc("n"), "k").limit(most).collect() if len(langs) <= 3 else None
-        if top is not None:
-            ranked.append(np.array([r.k for r in top], np.int64).astype(np.uint64))
-    if not ranked:
-        from pyspark.sql import Window
-
-        top = counted.withColumn("r", F.row_number().over(Window.partitionBy("lang").orderBy(F.desc("n"), "k"))).where(F.col("r") <= most).toPandas()
-        ranked = [top[top.lang == lang].sort_values("r")["k"].to_numpy(np.int64).astype(np.uint64) for lang in langs]
-    return Profiles(langs, ranked, most)
-
-
 def predict(docs: DataFrame, profiles: Profiles) -> DataFrame:
     """doc_id with lang_pred and score of every whole text."""
     shared = docs.sparkSession.sparkContext.broadcast(profiles)  # some 50 KB a language
