@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from gridweave.llm import bpe, langid, media, quality
+from gridweave.llm import bpe, langid, media, quality, warc
 from gridweave.llm.common import crc_mod
 
 
@@ -16,6 +16,13 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op1_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    records = warc.read(warc.write(table(spark, sf_dir, "pages")))
+    digest = F.when(F.col("record_type") == "response", F.sha1("payload")).otherwise(F.col("payload_digest"))
+    size = F.when(F.col("record_type") == "response", F.octet_length("payload").cast("long")).otherwise(F.col("payload_bytes"))
+    return records.select("page_id", size.alias("payload_bytes"), digest.alias("payload_digest"), "record_type", "refers_to")
+
+
 def op3_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.digests(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN)
 
@@ -38,8 +45,17 @@ def op9_media(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op3_bpe, op4_quality, op6_langid, op9_media)}
+    return {f.__name__: f for f in (op1_warc, op3_bpe, op4_quality, op6_langid, op9_media)}
+
+
+OP1_SQL = """
+with p as (select page_id, coalesce(html, '') as h, sha1(coalesce(html, '')) as d from pages),
+g as (select d, max(page_id) as first_id from p where strlen(h) >= 1000 group by d having count(*) > 1),
+j as (select p.*, g.first_id, (g.first_id is not null and strlen(h) >= 1000 and (p.page_id is null or p.page_id < g.first_id)) as rv from p left join g on p.d = g.d)
+select page_id, strlen(h)::bigint as payload_bytes, d as payload_digest, case when rv then 'revisit' else 'response' end as record_type,
+case when rv then first_id end as refers_to from j
+"""
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {"op1_warc": OP1_SQL}
