@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from gridweave.llm import bpe, langid, media, minhash, quality, warc
+from gridweave.llm import bpe, langid, linededup, media, minhash, mixing, quality, warc
 from gridweave.llm.common import crc_mod
 
 
@@ -38,18 +38,29 @@ def op4_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scored.select("doc_id", (crc_mod("doc_id", 4) == 2).alias("held_out"), "score", (F.col("score") >= 0.7).cast("int").alias("predicted"))
 
 
+def op5_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "source", "text")
+    drawn = mixing.copies(docs, mixing.decisions(docs))
+    return drawn.select("doc_id", "source", mixing.n_words(F.col("text")).alias("n_words"), F.round("weight", 9).alias("weight"), "copies")
+
+
 def op6_langid(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text", "lang")
     profiles = langid.learn(docs, crc_mod("doc_id", 4) != 2)
     return langid.predict(docs, profiles).select("doc_id", (crc_mod("doc_id", 4) == 2).alias("held_out"), "lang_pred", "score")
 
 
+def op7_linededup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    cleaned = linededup.remove_spread_lines(table(spark, sf_dir, "documents").select("doc_id", "source", "text"))
+    return cleaned.select("doc_id", "n_lines", "n_removed", "is_copy", F.md5("text").alias("clean_md5"))
+
+
 def op9_media(spark: SparkSession, sf_dir: str) -> DataFrame:
     return media.media_features(media.text_media(table(spark, sf_dir, "documents")))
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_warc, op2_minhash, op3_bpe, op4_quality, op6_langid, op9_media)}
+    return {f.__name__: f for f in (op1_warc, op2_minhash, op3_bpe, op4_quality, op5_mixing, op6_langid, op7_linededup, op9_media)}
 
 
 OP1_SQL = """
@@ -62,4 +73,4 @@ case when rv then first_id end as refers_to from j
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op1_warc": OP1_SQL}
+    return {"op1_warc": OP1_SQL, "op7_linededup": linededup.SQL}
