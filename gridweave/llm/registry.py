@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from gridweave.llm import bpe, langid, linededup, media, minhash, mixing, quality, warc
+from gridweave.llm import ann, bpe, langid, linededup, media, minhash, mixing, quality, warc
 from gridweave.llm.common import crc_mod
 
 
@@ -55,12 +55,16 @@ def op7_linededup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return cleaned.select("doc_id", "n_lines", "n_removed", "is_copy", F.md5("text").alias("clean_md5"))
 
 
+def op8_ann(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ann.search(table(spark, sf_dir, "embeddings"), F.col("vec_id") % 100 == 0)
+
+
 def op9_media(spark: SparkSession, sf_dir: str) -> DataFrame:
     return media.media_features(media.text_media(table(spark, sf_dir, "documents")))
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_warc, op2_minhash, op3_bpe, op4_quality, op5_mixing, op6_langid, op7_linededup, op9_media)}
+    return {f.__name__: f for f in (op1_warc, op2_minhash, op3_bpe, op4_quality, op5_mixing, op6_langid, op7_linededup, op8_ann, op9_media)}
 
 
 OP1_SQL = """
