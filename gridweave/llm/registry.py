@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from gridweave.llm import ann, bpe, langid, linededup, media, minhash, mixing, quality, warc
+from gridweave.llm import ann, bpe, langid, linededup, lm, media, minhash, mixing, quality, warc
 from gridweave.llm.common import crc_mod
 
 
@@ -63,8 +63,13 @@ def op9_media(spark: SparkSession, sf_dir: str) -> DataFrame:
     return media.media_features(media.text_media(table(spark, sf_dir, "documents")))
 
 
+def op10_lm(spark: SparkSession, sf_dir: str) -> DataFrame:
+    scored = lm.score(table(spark, sf_dir, "documents"), crc_mod("doc_id", 7) != 2, public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN)
+    return scored.select("doc_id", (crc_mod("doc_id", 7) == 2).alias("held_out"), "n_tokens", "n_known", "train_tokens", "base_score", "score")
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_warc, op2_minhash, op3_bpe, op4_quality, op5_mixing, op6_langid, op7_linededup, op8_ann, op9_media)}
+    return {f.__name__: f for f in (op1_warc, op2_minhash, op3_bpe, op4_quality, op5_mixing, op6_langid, op7_linededup, op8_ann, op9_media, op10_lm)}
 
 
 OP1_SQL = """
