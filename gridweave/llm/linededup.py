@@ -50,8 +50,8 @@ def spread_lines(docs: DataFrame, min_sites: int, text: str = "text", site: str
     return sure.unionByName(exact.where(F.col("exact") >= min_sites).select("a", "b")).select(F.struct("a", "b").alias("h"))
 
 
-def remove_spread_lines(docs: DataFrame, min_sites: int = 10, key: str = "doc_id", text: str = "text", site: str = "source") -> DataFrame:
-    """docs with the column `text` cleaned, and the new columns n_lines, n_removed and is_copy."""
+def remove_spread_lines(docs: DataFrame, min_sites: int = 10, key: str = "doc_id", text: str = "text", site: str = "source", add: bool = True) -> DataFrame:
+    """docs with the column `text` cleaned and, if `add`, the new columns n_lines, n_removed and is_copy."""
     spread = settle(spread_lines(docs, min_sites, text, site), "lines")
     own = docs.select(docs[key].alias("_key"), F.explode(_lines(docs[text])).alias("line")).where(_key(F.col("line")) != "").select("_key", _hash(F.col("line")).alias("h"))
     marks = own.join(spread, "h", "left_semi").groupBy("_key").agg(F.collect_set("h").alias("_gone"))
@@ -64,6 +64,8 @@ def remove_spread_lines(docs: DataFrame, min_sites: int = 10, key: str = "doc_id
     clean = F.when(gone.isNull() | copy, docs[text]).otherwise(F.array_join(F.filter(lines, lambda x: ~hit(x)), "\n"))
     removed = F.when(gone.isNull() | copy, 0).otherwise(F.size(taken))
     columns = [clean.alias(c) if c == text else docs[c] for c in docs.columns]
+    if not add:
+        return joined.select(*columns)
     n_lines = F.when(docs[text].isNull(), 0).otherwise(F.size(lines))
     return joined.select(*columns, n_lines.cast("long").alias("n_lines"), removed.cast("long").alias("n_removed"), copy.alias("is_copy"))
 

@@ -158,8 +158,8 @@ def train(docs: DataFrame, labels: DataFrame, usable: Column | None = None, most
     return fit(x, got["quality"].to_numpy(np.float64))
 
 
-def score(docs: DataFrame, model: Trees, keep: list[str] | None = None) -> DataFrame:
-    """The columns `keep` (all of docs by default, whatever their names) with the new column `score`."""
+def score(docs: DataFrame, model: Trees, keep: list[str] | None = None, name: str = "score") -> DataFrame:
+    """The columns `keep` (all of docs by default, whatever their names) with the new column `name`."""
     keep = docs.columns if keep is None else keep
     kinds = docs.select(*keep).schema
     shared = docs.sparkSession.sparkContext.broadcast(model)  # some 30 KB
@@ -173,7 +173,7 @@ def score(docs: DataFrame, model: Trees, keep: list[str] | None = None) -> DataF
 
     renamed = docs.select(*(docs[c].alias(n) for c, n in zip(keep, as_is, strict=True)), docs["text"].alias("_text"))
     ddl = ", ".join(f"{n} {f.dataType.simpleString()}" for n, f in zip(as_is, kinds, strict=True))
-    return renamed.mapInArrow(run, f"{ddl}, _score double").toDF(*keep, "score")
+    return renamed.mapInArrow(run, f"{ddl}, _score double").toDF(*keep, name)
 
 
 def labelled(doc_id: str = "doc_id") -> Column:

@@ -8,6 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+import corpus_pipeline
 from gridweave.llm import ann, bpe, langid, linededup, lm, media, minhash, mixing, quality, warc
 from gridweave.llm.common import crc_mod
 
@@ -69,7 +70,8 @@ def op10_lm(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_warc, op2_minhash, op3_bpe, op4_quality, op5_mixing, op6_langid, op7_linededup, op8_ann, op9_media, op10_lm)}
+    own = (op1_warc, op2_minhash, op3_bpe, op4_quality, op5_mixing, op6_langid, op7_linededup, op8_ann, op9_media, op10_lm)
+    return {f.__name__: f for f in own} | {"pipeline": corpus_pipeline.run}
 
 
 OP1_SQL = """
