@@ -6,9 +6,9 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from gridweave.plans import features
+from gridweave.plans import features, regimes
 
-MODULES = [features]
+MODULES = [features, regimes]
 
 
 def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
