@@ -6,9 +6,9 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from gridweave.plans import features, regimes
+from gridweave.plans import features, places, regimes
 
-MODULES = [features, regimes]
+MODULES = [features, regimes, places]
 
 
 def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
