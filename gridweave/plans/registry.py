@@ -6,9 +6,9 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from gridweave.plans import features, places, regimes
+from gridweave.plans import features, models, places, regimes
 
-MODULES = [features, regimes, places]
+MODULES = [features, regimes, places, models]
 
 
 def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
