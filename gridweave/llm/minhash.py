@@ -317,7 +317,8 @@ def _distances(pairs: DataFrame) -> DataFrame:
         for b in batches:
             inter = []
             for raw, other in zip(b.column(3), b.column(4), strict=True):
-                if (o := other.as_buffer()) != last:
+                o = other.as_buffer()
+                if last is None or o != last:
                     last, pivot = o, _unpack(o)
                 s = _unpack(raw.as_buffer())
                 at = np.searchsorted(pivot, s)
