@@ -1,7 +1,8 @@
 """Near-duplicate documents by a chosen-path set similarity join over minwise hashes.
 
 1. Every whole text becomes its set of shingles (64-bit hashes of word runs), a 128-bit digest of the set and K minwise
-   hashes. Texts with the same set are one node from here on, however many copies there are.
+   hashes. Texts with the same set are one node from here on, however many copies there are. A node is named by the smallest
+   id of its texts and the digest, in bytes that sort by the id: the smallest node of a component has the component's id.
 2. In each of TREES independent trees nodes branch by the minwise hashes at one or two places that the branch chooses by
    itself, 1 / similarity branches on average, so similar sets stay together with a probability that doesn't shrink with depth.
    A branch of at most SMALL nodes ends; larger ones branch again, down to DEPTH. What is still larger then consists of
@@ -27,6 +28,7 @@ import math
 from collections.abc import Iterator
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 import xxhash
 from pyspark.sql import Column, DataFrame
@@ -35,9 +37,9 @@ from pyspark.sql import functions as F
 from gridweave.llm.common import chunks_by_size, column_bytes, column_list, mix64, settle, words_of
 from gridweave.llm.components import components
 
-K, TREES, DEPTH, SMALL = 128, 10, 8, 128
+K, TREES, DEPTH, SMALL = 128, 10, 5, 128
 #: Members of a cluster that is compared in one task; pivot rounds of larger ones; members of a block after that.
-CLUSTER, ROUNDS, BLOCK = 256, 3, 256
+CLUSTER, ROUNDS, BLOCK = 256, 2, 256
 #: Ids in a table that may be broadcast (some 40 bytes each).
 BROADCAST_ROWS = 500_000
 _RNG = np.random.default_rng(20240229)
@@ -156,7 +158,7 @@ def _groups(batches: Iterator[pa.RecordBatch], rows: int = 20_000) -> Iterator[p
         yield pa.Table.from_batches(held)
 
 
-def _fixed(col: pa.ChunkedArray, width: int) -> np.ndarray:
+def _fixed(col: pa.ChunkedArray | pa.Array, width: int) -> np.ndarray:
     """A column of binary values of one width as a matrix of bytes."""
     return np.frombuffer(b"".join(col.to_pylist()), np.uint8).reshape(-1, width)
 
@@ -198,15 +200,13 @@ def candidate_ties(nodes: DataFrame, similarity: float, trees: int = TREES) -> D
     found, level = [], roots
     for depth in range(1, DEPTH + 1):
         rows = level.select("node", F.explode(_children(F.col("branch"), F.col("sig"), similarity)).alias("branch"))
-        if depth > 1:
-            rows = settle(rows.distinct(), "branch")
         sizes = rows.groupBy("branch").agg(F.count("*").alias("n")).where("n > 1")
         kept = settle(rows.join(sizes, "branch"), "branch")
         ended = kept.where(F.col("n") <= SMALL).select("branch", "node")
         if depth == DEPTH:  # blocks of about half a branch, with some eight pivots of the whole in each
             blocks = F.ceil(F.col("n") / (SMALL // 2)).cast("int")
             large = kept.where(F.col("n") > SMALL).withColumn("blocks", blocks)
-            mine = large.withColumn("block", F.pmod(F.xxhash64("node", F.lit(11)), F.col("blocks")).cast("int"))
+            mine = large.withColumn("block", F.pmod(F.xxhash64("node", "branch"), F.col("blocks")).cast("int"))
             pivots = large.where(F.pmod(F.xxhash64("node", F.lit(13)), F.col("n")) < 8).withColumn("block", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
             dealt = mine.unionByName(pivots).select(F.xxhash64("branch", "block").alias("branch"), "node").distinct()
             ended = ended.unionByName(dealt)
@@ -299,7 +299,7 @@ def _with_sets(docs: DataFrame, members: DataFrame, width: int) -> DataFrame:
             for part in chunks_by_size(texts, 8_000_000):
                 sets = list(shingler.sets(texts[part]))
                 own = b.slice(part.start, len(sets))
-                right = pa.array([len(s) > 0 and digest(s) == n for s, n in zip(sets, column_list(own, "node"), strict=True)])
+                right = pa.array([len(s) > 0 and digest(s) == n[9:] for s, n in zip(sets, column_list(own, "node"), strict=True)])
                 made = pa.array([s.tobytes() for s in sets], pa.binary())
                 yield pa.RecordBatch.from_arrays([own.column(0), own.column(1), own.column(2), made], names=["cluster", "size", "node", "shingles"]).filter(right)
 
@@ -328,6 +328,27 @@ def _distances(pairs: DataFrame) -> DataFrame:
     return pairs.select("cluster", "node", "pivot", "shingles", "pivot_shingles").mapInArrow(run, "cluster long, node binary, pivot binary, n long, m long, inter long")
 
 
+def _common(some: pd.DataFrame) -> pd.DataFrame:
+    """The commonest hash at each place; some 256 signatures come here."""
+    sig = np.stack([np.frombuffer(x, np.uint32) for x in some["sig"]])
+    out = np.empty(K, np.uint32)
+    for p in range(K):
+        values, n = np.unique(sig[:, p], return_counts=True)
+        out[p] = values[n.argmax()]
+    return pd.DataFrame({"cluster": some["cluster"].iloc[:1], "common": [out.tobytes()]})
+
+
+def _likeness(rows: DataFrame) -> DataFrame:
+    """How many hashes of each member are its cluster's commonest."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            same = (_fixed(b.column(2), 4 * K).view(np.uint32) == _fixed(b.column(3), 4 * K).view(np.uint32)).sum(1) if b.num_rows else np.empty(0, np.int64)
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(same, pa.int64())], names=["cluster", "node", "like"])
+
+    return rows.select("cluster", "node", "sig", "common").mapInArrow(run, "cluster long, node binary, like long")
+
+
 def _large_links(sets: DataFrame, nodes: DataFrame, per_cent: int) -> DataFrame:
     """Links (u, v) in clusters of more than CLUSTER members, given sets(cluster, node, shingles) and nodes(node, sig)."""
     reach = 1 - per_cent / 100
@@ -337,11 +358,8 @@ def _large_links(sets: DataFrame, nodes: DataFrame, per_cent: int) -> DataFrame:
         sizes = state.groupBy("cluster").agg(F.count("*").alias("n"))
         # The common signature of about 256 members, coordinate by coordinate; the member nearest to it is the pivot.
         some = state.join(sizes, "cluster").where(F.pmod(F.xxhash64("node", F.lit(r)), F.col("n")) < 256)
-        place = some.select("cluster", F.explode(F.sequence(F.lit(0), F.lit(K - 1))).alias("p"), "sig").select("cluster", "p", F.expr("substring(sig, 4 * p + 1, 4)").alias("v"))
-        common = place.groupBy("cluster", "p", "v").agg(F.count("*").alias("c")).groupBy("cluster", "p").agg(F.max(F.struct("c", "v")).alias("x"))
-        common = common.groupBy("cluster").agg(F.array_sort(F.collect_list(F.struct("p", F.col("x.v").alias("v")))).alias("top"))
-        like = F.expr("aggregate(top, 0, (a, x) -> a + if(substring(sig, 4 * x.p + 1, 4) = x.v, 1, 0))")
-        best = state.join(common, "cluster").groupBy("cluster").agg(F.max(F.struct(like.alias("like"), "node")).alias("b")).select("cluster", F.col("b.node").alias("pivot"))
+        common = some.groupBy("cluster").applyInPandas(_common, "cluster long, common binary")
+        best = _likeness(state.join(common, "cluster")).groupBy("cluster").agg(F.max(F.struct("like", "node")).alias("b")).select("cluster", F.col("b.node").alias("pivot"))
         best = settle(best.join(sets.select(F.col("node").alias("pivot"), F.col("shingles").alias("pivot_shingles")), "pivot"), "pivot")
         # A row a large cluster; clusters of over CLUSTER nodes are at most 1/CLUSTER of the nodes, still the planner chooses the join.
         pairs = state.select("cluster", "node").join(best, "cluster").where("node != pivot").join(sets.select("node", "shingles"), "node")
@@ -367,24 +385,33 @@ def _large_links(sets: DataFrame, nodes: DataFrame, per_cent: int) -> DataFrame:
 
 def near_duplicates(docs: DataFrame, per_cent: int = 80, width: int = 5) -> DataFrame:
     """doc_id, n_shingles, component_id and kept for every row of docs(doc_id, text); linked from per_cent % similarity."""
-    rows = settle(sketches(docs, width), "sketch")
-    nodes = settle(rows.where("node is not null").groupBy("node").agg(F.min("doc_id").alias("doc_id"), F.first("sig").alias("sig"), F.first("brief").alias("brief")), "node")
+    rows = settle(sketches(docs, width).withColumnRenamed("node", "digest"), "sketch")
+    nodes = rows.where("digest is not null").groupBy("digest").agg(F.min("doc_id").alias("doc_id"), F.first("sig").alias("sig"), F.first("brief").alias("brief"))
+    nodes = settle(nodes.withColumn("node", _name(F.col("doc_id"), F.col("digest"))), "node")
     root = components(candidate_ties(nodes.select("node", "sig", "brief"), per_cent / 100))
     members = root.select(F.col("u").alias("node"), F.col("v").alias("root")).unionByName(root.select(F.col("v").alias("node"), F.col("v").alias("root")).distinct())
-    sizes = members.groupBy("root").agg(F.count("*").alias("size")).withColumn("cluster", F.xxhash64("root"))
-    members = settle(members.join(sizes, "root").join(nodes.select("node", "doc_id"), "node").select("node", "doc_id", "cluster", "size"), "member")
-    sets = _with_sets(docs, members, width)
-    links = _compare(sets.where(F.col("size") <= CLUSTER).withColumnRenamed("cluster", "key"), per_cent)
-    if not members.where(F.col("size") > CLUSTER).isEmpty():
-        large = _with_sets(docs, members.where(F.col("size") > CLUSTER), width)
-        links = components(links.unionByName(_large_links(large, nodes.select("node", "sig"), per_cent)))
-    else:
-        links = settle(links, "link").select(F.col("v").alias("u"), F.col("u").alias("v"))  # stars, so these are components already
-    # Here every link leads from a node to the node that stands for its component.
-    of = links.select(F.col("u").alias("node"), F.col("v").alias("root")).unionByName(links.select(F.col("v").alias("node"), F.col("v").alias("root")).distinct())
-    of = settle(of.join(nodes.select("node", "doc_id"), "node"), "component")
-    least = of.groupBy("root").agg(F.min("doc_id").alias("component_id"))
-    named = nodes.select("node", "doc_id").join(of.join(least, "root").select("node", F.col("component_id").alias("joint")), "node", "left").select("node", F.coalesce("joint", "doc_id").alias("component_id"))
-    out = rows.select("doc_id", "n_shingles", "node").join(named, "node", "left")
-    own = F.when(F.col("node").isNull(), F.col("doc_id")).otherwise(F.col("component_id"))
+    sizes = members.groupBy("root").agg(F.count("*").alias("size"))
+    members = members.join(sizes, "root").select("node", _id(F.col("node")).alias("doc_id"), F.xxhash64("root").alias("cluster"), "size")
+    members = settle(members, "member")
+    links = _compare(_with_sets(docs, members.where(F.col("size") <= CLUSTER), width).withColumnRenamed("cluster", "key"), per_cent)
+    large = members.where(F.col("size") > CLUSTER)
+    if not large.isEmpty():
+        links = links.unionByName(_large_links(_with_sets(docs, large, width), nodes.select("node", "sig"), per_cent))
+    links = components(links)
+    joint = nodes.select("digest", "node").join(links.select(F.col("u").alias("node"), F.col("v").alias("root")), "node", "left")
+    joint = joint.select("digest", _id(F.coalesce("root", "node")).alias("component_id"))
+    out = rows.select("doc_id", "n_shingles", "digest").join(joint, "digest", "left")
+    own = F.when(F.col("digest").isNull(), F.col("doc_id")).otherwise(F.col("component_id"))
     return out.select("doc_id", "n_shingles", own.alias("component_id"), F.col("doc_id").eqNullSafe(own).alias("kept"))
+
+
+def _name(doc_id: Column, digest: Column) -> Column:
+    """25 bytes that sort by id, ids that are null last."""
+    top = F.shiftleft(F.lit(1).cast("long"), 63)
+    number = F.unhex(F.lpad(F.hex(F.coalesce(doc_id, F.lit(0)).cast("long").bitwiseXOR(top)), 16, "0"))
+    return F.concat(F.unhex(F.when(doc_id.isNull(), "01").otherwise("00")), number, digest)
+
+
+def _id(name: Column) -> Column:
+    number = F.conv(F.hex(F.substring(name, 2, 8)), 16, -10).cast("long").bitwiseXOR(F.shiftleft(F.lit(1).cast("long"), 63))
+    return F.when(F.substring(name, 1, 1) == F.unhex(F.lit("00")), number)

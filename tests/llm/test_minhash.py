@@ -92,7 +92,9 @@ def test_blocks_after_the_pivots(spark, monkeypatch):
     assert run(spark, rows, 85) == brute(rows, 85)
 
 
-def test_components(spark):
+@pytest.mark.parametrize("few", [0, 1000])
+def test_components(spark, monkeypatch, few):
+    monkeypatch.setattr("gridweave.llm.components.FEW", few)
     rng = random.Random(3)
     edges = [(rng.randrange(300), rng.randrange(300)) for _ in range(170)] + [(i, i + 1) for i in range(400, 460)] + [(7, 7), (None, 1)]
     root = {}
