@@ -64,7 +64,8 @@ def summed(sequences: DataFrame, statistics: Callable[[np.ndarray], dict[str, np
             for _, x in by_length(b["x"]):
                 for name, a in statistics(x).items():
                     total[name] = total[name] + a if name in total else np.asarray(a, np.float64)
-        yield pd.DataFrame({"name": list(total), "shape": [list(a.shape) for a in total.values()], "values": [a.ravel().tolist() for a in total.values()]})
+        if total:
+            yield pd.DataFrame({"name": list(total), "shape": [list(a.shape) for a in total.values()], "values": [a.ravel().tolist() for a in total.values()]})
 
     parts = sequences.select("x").mapInPandas(run, "name string, shape array<int>, values array<double>")
     long = parts.select("name", "shape", F.posexplode("values").alias("i", "v")).groupBy("name", "shape", "i").agg(F.sum("v").alias("v"))
@@ -87,7 +88,8 @@ def per_sequence(sequences: DataFrame, keys: list[str], columns: str, run: Calla
                 for col, values in zip(out, run(x), strict=True):
                     for i, v in zip(own, values, strict=True):
                         col[i] = v
-            yield pd.DataFrame({**{k: b[k] for k in keys}, **dict(zip(names, out, strict=True))})
+            if len(b):
+                yield pd.DataFrame({**{k: b[k] for k in keys}, **dict(zip(names, out, strict=True))})
 
     ddl = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in sequences.select(*keys).schema)
     return sequences.select(*keys, "x").mapInPandas(each, f"{ddl}, {columns}")
