@@ -97,26 +97,23 @@ class ByteBPE:
         self.buffer = np.frombuffer(b"".join(self.tokens), np.uint8)
         self.known: dict[str, bytes] = {}
 
-    def merge_bucket(self, pieces: list[bytes]) -> list[np.ndarray]:
-        """Ids of pieces of similar length, as one padded matrix."""
-        n, width = len(pieces), max(map(len, pieces))
-        lens = np.array([len(p) for p in pieces])
+    def merge_bucket(self, pieces: list[bytes], lens: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of pieces of similar length, as one padded matrix, and their numbers."""
+        n, width = len(pieces), int(lens.max())
         ids = np.zeros((n, width), np.int32)
         inside = np.arange(width) < lens[:, None]
         ids[inside] = self.byte_ids[np.frombuffer(b"".join(pieces), np.uint8)]
         rank = np.full((n, width), NONE, np.int32)  # of the pair that begins at each place
         if width > 1:
             rank[:, :-1] = np.where(inside[:, 1:], self.table.get(ids[:, :-1], ids[:, 1:]), NONE)
-        out: list[np.ndarray] = [np.empty(0, np.int32)] * n
-        row = np.arange(n)
+        out, out_lens, row = ids.copy(), lens.copy(), np.arange(n)
         while len(row):
             pos = rank.argmin(1)
             best = rank[np.arange(len(row)), pos]
-            done = best == NONE
-            if done.any():
-                for i in np.flatnonzero(done):
-                    out[row[i]] = ids[i, : lens[i]].copy()
-                live = ~done
+            live = best != NONE
+            if not live.all():
+                done = ~live
+                out[row[done], : ids.shape[1]], out_lens[row[done]] = ids[done], lens[done]
                 row, lens, pos, best = row[live], lens[live], pos[live], best[live]
                 if not len(row):
                     break
@@ -137,7 +134,7 @@ class ByteBPE:
             if before.any():
                 i, p = at[before], pos[before]
                 rank[i, p - 1] = self.table.get(ids[i, p - 1], ids[i, p])
-        return out
+        return out, out_lens
 
     def merge_long(self, piece: bytes) -> np.ndarray:
         """The same merges for one long piece, with a heap of (rank, place) over a linked list."""
@@ -159,25 +156,40 @@ class ByteBPE:
                     heapq.heappush(heap, (q, x, ids[x], ids[y]))
         return np.array([x for x, on in zip(ids, alive, strict=True) if on], np.int32)
 
-    def encode_pieces(self, pieces: list[bytes]) -> list[bytes]:
-        """Ids of each piece as little-endian 32-bit integers. A piece that is itself a token is that token."""
-        out: list[bytes] = [b""] * len(pieces)
-        buckets: dict[int, list[int]] = {}
-        for i, p in enumerate(pieces):
-            whole = self.ranks.get(p)
-            if whole is not None:
-                out[i] = whole.to_bytes(4, "little")
-            elif len(p) > LONG:
-                out[i] = self.merge_long(p).astype("<u4").tobytes()
-            else:
-                buckets.setdefault(-(-len(p) // 4) if len(p) <= 32 else 8 + (len(p) - 1).bit_length(), []).append(i)
-        for width, members in buckets.items():
-            step = max(64, 400_000 // (4 * width if width <= 8 else LONG))
+    def encode_flat(self, pieces: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of all pieces one after another, and how many each has. A piece that is itself a token is that token."""
+        n = np.ones(len(pieces), np.int64)
+        whole = np.fromiter((self.ranks.get(p, -1) for p in pieces), np.int32, len(pieces))
+        lens = np.fromiter(map(len, pieces), np.int64, len(pieces))
+        size = np.where(lens <= 32, -(-lens // 4), 8 + np.ceil(np.log2(np.maximum(lens, 1))).astype(np.int64))
+        parts: list[tuple[np.ndarray, np.ndarray]] = []
+        rest = whole < 0
+        for i in np.flatnonzero(rest & (lens > LONG)).tolist():
+            ids = self.merge_long(pieces[i])
+            n[i] = len(ids)
+            parts.append((np.array([i]), ids[None, :]))
+        rest &= (lens <= LONG) & (lens > 0)
+        n[lens == 0] = 0
+        for s in np.unique(size[rest]):
+            members = np.flatnonzero(rest & (size == s))
+            step = max(64, 400_000 // int(lens[members].max()))
             for k in range(0, len(members), step):
-                part = members[k : k + step]
-                for i, ids in zip(part, self.merge_bucket([pieces[i] for i in part]), strict=True):
-                    out[i] = ids.astype("<u4").tobytes()
-        return out
+                own = members[k : k + step]
+                ids, n[own] = self.merge_bucket([pieces[i] for i in own.tolist()], lens[own])
+                parts.append((own, ids[:, : int(n[own].max())]))
+        start = np.cumsum(n) - n
+        out = np.empty(int(n.sum()), np.int32)
+        out[start[whole >= 0]] = whole[whole >= 0]
+        for own, ids in parts:
+            here = np.arange(ids.shape[1]) < n[own][:, None]
+            out[(start[own][:, None] + np.arange(ids.shape[1]))[here]] = ids[here]
+        return out, n
+
+    def encode_pieces(self, pieces: list[bytes]) -> list[bytes]:
+        """Ids of each piece as little-endian 32-bit integers."""
+        ids, n = self.encode_flat(pieces)
+        raw, ends = ids.astype("<u4").tobytes(), (np.cumsum(n) * 4).tolist()
+        return [raw[a:b] for a, b in zip([0, *ends], ends, strict=False)]
 
     def learn(self, pieces: set[str]) -> None:
         new = [p for p in pieces if p not in self.known]

@@ -25,6 +25,7 @@ from __future__ import annotations
 
 from collections import Counter
 from collections.abc import Iterator
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -36,9 +37,9 @@ from gridweave.llm.common import chunks_by_size, column_bytes, settle, with_row_
 
 WINDOW, STRIDE, INPUTS = 32, 24, 4096
 #: Width of the layer over words and of the layer inside words, and their classes.
-WIDTHS, CLASSES = (16, 32), (128, 256)
+WIDTHS, CLASSES = (16, 32), (128, 128)
 #: Words that scoring tasks hold; training documents, windows of each, and steps; words a worker keeps.
-TOP, FIT_DOCS, FIT_WINDOWS, STEPS, KEPT = 400_000, 2_000, 12, (600, 1200), 600_000
+TOP, FIT_DOCS, FIT_WINDOWS, STEPS, KEPT = 400_000, 1_500, 8, (600, 1200), 600_000
 LN10 = float(np.log(10))
 
 
@@ -193,9 +194,8 @@ class Scorer:
             new = list(words)
         if not new:
             return
-        voc, raw = self.voc, self.coder.encode_pieces([b" " + w for w in new])
-        n = np.array([len(x) // 4 for x in raw])
-        ids = np.frombuffer(b"".join(raw), "<u4").astype(np.int64)
+        voc = self.voc
+        ids, n = self.coder.encode_flat([b" " + w for w in new])
         first = np.cumsum(n) - n
         target = np.append(ids[1:], 0)
         target[first + n - 1] = self.end_of_word
@@ -213,7 +213,7 @@ class Scorer:
             words = [words_of(t) for t in texts[part]]
             self.learn(set().union(*words))
             lengths = np.array([len(w) for w in words], np.int64)
-            slots = np.fromiter((s for w in words for s in map(self.slot.__getitem__, w)), np.int64, int(lengths.sum()))
+            slots = np.fromiter(map(self.slot.__getitem__, chain.from_iterable(words)), np.int64, int(lengths.sum()))
             first, last = np.cumsum(lengths + 1) - lengths - 1, np.cumsum(lengths + 1) - 1
             place = np.arange(len(slots)) + np.repeat(np.arange(len(words)), lengths)
             ids, cls = np.full(int(last[-1]) + 1, self.voc.begin, np.int64), np.full(int(last[-1]) + 1, self.voc.cls[self.end], np.int64)
@@ -257,9 +257,8 @@ def subword_counts(counts: DataFrame, path: str, pattern: str) -> np.ndarray:
         coder = bpe.load(path, pattern)
         total = np.zeros(len(coder.tokens), np.int64)
         for b in batches:
-            raw = coder.encode_pieces([b" " + w for w in b.column(0).to_pylist()])
-            n = [len(x) // 4 for x in raw]
-            total += np.bincount(np.frombuffer(b"".join(raw), "<u4").astype(np.int64), np.repeat(b.column(1).to_numpy(), n), len(total)).astype(np.int64)
+            found, n = coder.encode_flat([b" " + w for w in b.column(0).to_pylist()])
+            total += np.bincount(found, np.repeat(b.column(1).to_numpy(), n), len(total)).astype(np.int64)
         ids = np.flatnonzero(total)
         yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(total[ids], pa.int64())], names=["id", "n"])
 
@@ -307,7 +306,7 @@ def train(docs: DataFrame, n_docs: int, counts: DataFrame, path: str, pattern: s
     first = {w: p[0] for w, p in pieces.items()} | {b"": len(voc.cls) - 2}
     entry = lambda w: voc.begin if w == b"\n" else voc.input[first[w]]
     texts = padded([([entry(w) for w in s[:-1]], [voc.cls[first[w]] for w in s[1:]]) for s in sample if len(s) > 1], WINDOW)
-    inner = [(voc.input[p][:WINDOW], voc.cls[np.append(p[1:], len(voc.cls) - 1)][:WINDOW]) for s in sample for w in s[1::2] if (p := pieces.get(w)) is not None]
+    inner = [(voc.input[p][:WINDOW], voc.cls[np.append(p[1:], len(voc.cls) - 1)][:WINDOW]) for s in sample for w in s[1::4] if (p := pieces.get(w)) is not None]
     words = padded(inner, max((len(a) for a, _ in inner), default=1))
     words = tuple(x[:, : max(1, int(np.quantile(words[2].sum(1), 0.99)))] if len(inner) else x for x in words)
     layers[0].fit(texts, STEPS[0], 64)
