@@ -65,6 +65,11 @@ class Tree:
         return out
 
 
+def _matrix(vectors: list) -> np.ndarray:
+    """Vectors as rows in double precision; no vectors are no rows of width 1."""
+    return np.array(vectors, np.float64) if vectors else np.zeros((0, 1))
+
+
 def _squares(a: np.ndarray, b: np.ndarray) -> np.ndarray:
     return (a * a).sum(1)[:, None] - 2 * a @ b.T + (b * b).sum(1)
 
@@ -144,20 +149,20 @@ def search(vectors: DataFrame, queries: Column, k: int = 10, recall: float = 0.9
     at = F.pmod(F.xxhash64("class"), F.lit(1 << 40))
     some = classes if total <= FIT else classes.where(at < int(1.1 * FIT / total * (1 << 40))).orderBy(at, "class").limit(FIT)
     got = some.select("class", "x").toPandas().sort_values("class")
-    sample = np.array(got["x"].tolist(), np.float64).reshape(len(got), -1)
+    sample = _matrix(got["x"].tolist())
     tree = build(sample)
     visits = calibrate(tree, sample, k, recall)
     shared = vectors.sparkSession.sparkContext.broadcast(tree)  # bounded by the sample
 
     def leaves(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            x = np.array(b.column(1).to_pylist(), np.float64).reshape(b.num_rows, -1)
+            x = _matrix(b.column(1).to_pylist())
             leaf = shared.value.assign(x) if len(x) else np.empty(0, np.int64)
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array(leaf, pa.int64())], names=["class", "leaf"])
 
     def bins(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            x = np.array(b.column(1).to_pylist(), np.float64).reshape(b.num_rows, -1)
+            x = _matrix(b.column(1).to_pylist())
             found = [shared.value.visits(v, visits) for v in x]
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array(found, pa.list_(pa.int64()))], names=["query", "leaves"])
 

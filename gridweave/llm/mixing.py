@@ -116,20 +116,28 @@ def _with(docs: DataFrame, table: DataFrame) -> DataFrame:
     return docs.join(F.broadcast(table) if few else table, "_source")
 
 
-def copies(docs: DataFrame, decision: DataFrame, seed: int = 42) -> DataFrame:
-    """docs with the new columns weight (the source's) and copies, how often the mixture has the row."""
-    names = docs.columns
-    d = docs.select(F.struct(*(docs[c] for c in names)).alias("_doc"), F.coalesce(docs["source"], F.lit("\0")).alias("_source"), docs["doc_id"].alias("doc_id"))
+def _drawn(docs: DataFrame, decision: DataFrame, seed: int) -> DataFrame:
+    """Rows as a struct _doc, so that their names clash with none here, with weight and copies."""
+    d = docs.select(F.struct(*(docs[c] for c in docs.columns)).alias("_doc"), F.coalesce(docs["source"], F.lit("\0")).alias("_source"), docs["doc_id"].alias("doc_id"))
     d = _with(d, decision.withColumnRenamed("block", "border_block"))
     block = _block(seed)
     place = F.struct(_place(seed, F.col("_source"), block).alias("at"), block.alias("block"))
     edge = F.struct(F.col("block_at").alias("at"), F.col("border_block").alias("block"))
     own = F.struct(_place(seed, F.col("doc_id")).alias("h"), F.col("doc_id").alias("id"))
     more = F.when(F.col("block_at").isNull(), False).when(place < edge, True).when(place == edge, F.coalesce(own <= F.col("last"), F.lit(False))).otherwise(False)
-    return d.select(*(F.col(f"_doc.`{c}`").alias(c) for c in names), "weight", (F.col("passes") + more.cast("long")).alias("copies"))
+    return d.select("_doc", "weight", (F.col("passes") + more.cast("long")).alias("copies"))
+
+
+def _columns(docs: DataFrame) -> list[Column]:
+    return [F.col(f"_doc.`{c}`").alias(c) for c in docs.columns]
+
+
+def copies(docs: DataFrame, decision: DataFrame, seed: int = 42) -> DataFrame:
+    """docs with the new columns weight (the source's) and copies, how often the mixture has the row."""
+    return _drawn(docs, decision, seed).select(*_columns(docs), "weight", "copies")
 
 
 def mix(docs: DataFrame, budget: float | None = 1.0, entropy: float = 0.97, repeat: float = 4.0, seed: int = 42) -> DataFrame:
     """The mixture: rows of docs, each as often as it is drawn."""
-    drawn = copies(docs, decisions(docs, budget, entropy, repeat, seed), seed)
-    return drawn.where("copies > 0").select(*(drawn[c] for c in docs.columns), F.explode(F.sequence(F.lit(1).cast("long"), F.col("copies"))).alias("_copy")).drop("_copy")
+    drawn = _drawn(docs, decisions(docs, budget, entropy, repeat, seed), seed).where("copies > 0")
+    return drawn.select("_doc", F.explode(F.sequence(F.lit(1).cast("long"), F.col("copies")))).select(*_columns(docs))
