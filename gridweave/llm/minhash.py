@@ -415,3 +415,16 @@ def _name(doc_id: Column, digest: Column) -> Column:
 def _id(name: Column) -> Column:
     number = F.conv(F.hex(F.substring(name, 2, 8)), 16, -10).cast("long").bitwiseXOR(F.shiftleft(F.lit(1).cast("long"), 63))
     return F.when(F.substring(name, 1, 1) == F.unhex(F.lit("00")), number)
+
+
+#: The contract of op2_minhash in SQL, by exhaustive joins on shingles; for small tables.
+SQL = """
+with recursive w as (select doc_id, list_filter(string_split_regex(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[\\x20\\x09-\\x0D]+'), lambda x: x <> '') as w from documents),
+s as (select doc_id, list_distinct(case when len(w) = 0 then [] when len(w) < 5 then [array_to_string(w, ' ')] else list_transform(range(1, len(w) - 3), lambda i: array_to_string(w[i:i + 4], ' ')) end) as s from w),
+x as (select doc_id, len(s) as n, unnest(s) as h from s), k as (select h, doc_id, n from x),
+l as (select a.doc_id as a, b.doc_id as b from k a join k b on a.h = b.h and a.doc_id < b.doc_id group by a.doc_id, b.doc_id, a.n, b.n having 100 * count(*) >= 85 * (a.n + b.n - count(*))),
+e as (select a, b from l union all select b, a from l),
+r as (select a as doc_id, b as other from e union select r.doc_id, e.b from r join e on e.a = r.other),
+c as (select doc_id, min(other) as low from r group by doc_id)
+select s.doc_id, len(s.s)::bigint as n_shingles, least(s.doc_id, coalesce(c.low, s.doc_id)) as component_id, least(s.doc_id, coalesce(c.low, s.doc_id)) = s.doc_id as kept from s left join c on s.doc_id = c.doc_id
+"""

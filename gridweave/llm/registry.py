@@ -84,4 +84,4 @@ case when rv then first_id end as refers_to from j
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op1_warc": OP1_SQL, "op7_linededup": linededup.SQL}
+    return {"op1_warc": OP1_SQL, "op2_minhash": minhash.SQL, "op7_linededup": linededup.SQL}
