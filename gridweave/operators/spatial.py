@@ -14,6 +14,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from gridweave import constants as C
+from gridweave.session import ensure_checkpoint_dir
 
 
 def _offsets(k: int, centre: bool) -> Column:
@@ -164,11 +165,7 @@ def connected_areas(cells: DataFrame, least: int = 5, most_rounds: int = 200) ->
     The least label spreads to neighbours and, by pointers, to the label's own label, so rounds grow with the logarithm of an
     area's extent; each round is written to the checkpoint folder.
     """
-    spark = cells.sparkSession
-    if not (spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()):
-        import tempfile
-
-        spark.sparkContext.setCheckpointDir(tempfile.mkdtemp(prefix="gridweave-"))
+    ensure_checkpoint_dir(cells.sparkSession)
     edges = queen_edges(cells).checkpoint()
     label = cells.select("cell_id", F.col("cell_id").alias("area"))
     mark = None

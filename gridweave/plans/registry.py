@@ -6,9 +6,9 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from gridweave.plans import features, models, places, regimes
+from gridweave.plans import features, models, places, regimes, reports
 
-MODULES = [features, regimes, places, models]
+MODULES = [features, regimes, places, reports, models]
 
 
 def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import os
+import tempfile
 from pathlib import Path
 
 from pyspark.sql import SparkSession
@@ -27,3 +28,9 @@ def local_session(cpus: int = 8, memory: str = "8g", **conf: str) -> SparkSessio
     spark = b.getOrCreate()
     spark.sparkContext.setLogLevel("ERROR")
     return spark
+
+
+def ensure_checkpoint_dir(spark: SparkSession) -> None:
+    """checkpoint() writes to spark.checkpoint.dir; where that is unset (tests), to a folder of its own."""
+    if spark.sparkContext.getCheckpointDir() is None:
+        spark.sparkContext.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="gridweave-"))

@@ -35,6 +35,12 @@ BUS_META = ["use_ym", "route_no", "route_name", "stop_id", "ars_no", "stop_name"
 BUS_COLUMNS = [*BUS_META, *(f"{k}_{h}" for h in BUS_HOURS for k in ("b", "a")), "transit_type_code", "transit_type_name", "reg_date"]
 
 
+def read_months(spark: SparkSession, path: str, months: Sequence[str] | None = None, month: str = "year_month") -> DataFrame:
+    """A table of folders month=...; with months, only the folders of these that exist are read."""
+    df = spark.read.parquet(path)
+    return df if months is None else df.where(F.col(month).cast("string").isin([str(m) for m in months]))
+
+
 def binary_files(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.format("binaryFile").load(path).select("path", "content")
 

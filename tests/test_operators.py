@@ -236,3 +236,56 @@ def test_tiers(spark):
     got = {r.centre: (r.is_active, r.n_cells) for r in plan.centre_concordance(df).collect()}
     assert got == {"x": (True, 2), "y": (False, 1)}
     assert plan.active_not_planned(df).first().n_outside_any_center == 1
+
+
+def test_older_system():
+    from gridweave.functions import projection as P
+
+    lat, lon = np.array([37.5, 38.0, 35.2]), np.array([127.1, 127.0 + 10.405 / 3600, 129.0])
+    for tm in (P.UNIFIED, P.CENTRAL_1985):
+        back = tm.inverse(*tm.forward(lat, lon))
+        assert back[0] == pytest.approx(lat, abs=1e-10) and back[1] == pytest.approx(lon, abs=1e-10)
+    assert P.CENTRAL_1985.forward(np.array([38.0]), np.array([127.0 + 10.405 / 3600])) == (pytest.approx([200_000]), pytest.approx([500_000]))
+    near = P.change_datum(np.array([37.5]), np.array([127.0]))
+    assert 0.002 < near[0][0] - 37.5 < 0.004 and -0.003 < near[1][0] - 127.0 < -0.001  # some 300 m north and 200 m west
+    same = P.change_datum(np.array([37.5]), np.array([127.0]), P.GRS80, P.GRS80, (0,) * 7)
+    assert same == (pytest.approx([37.5]), pytest.approx([127.0]))
+
+
+def test_reprojected_rings(spark):
+    from gridweave.functions import projection as P
+
+    df = spark.createDataFrame([([[{"x": 200_000.0, "y": 450_000.0}, {"x": 201_000.0, "y": 450_000.0}]],)], "rings array<array<struct<x:double,y:double>>>")
+    (a, b) = P.reproject_rings(df).first().rings[0]
+    assert math.hypot(b.x - a.x, b.y - a.y) == pytest.approx(1000, rel=1e-3)
+
+
+def test_stream(spark, tmp_path):
+    from gridweave.streaming.presence import presence_stream
+
+    rows = [("2025-01-01 00:10:00", "a", 4.0), ("2025-01-01 00:50:00", "a", 8.0), ("2025-01-01 01:05:00", "a", None), ("2025-01-01 09:00:00", "b", 1.0)]
+    df = spark.createDataFrame(rows, "ts string, cell_id string, total_pop double").select(F.col("ts").cast("timestamp").alias("ts"), "cell_id", "total_pop")
+    df.coalesce(1).write.parquet(str(tmp_path / "in"))
+    q = presence_stream(spark.readStream.schema(df.schema).parquet(str(tmp_path / "in"))).writeStream.format("memory").queryName("presence").outputMode("append").start()
+    q.processAllAvailable()
+    q.stop()
+    got = spark.sql("select cell_id, mean_total_pop, n from presence order by hour_start").collect()
+    assert [tuple(r) for r in got] == [("a", 6.0, 2), ("a", None, 0)]
+
+
+def test_reports(spark):
+    from gridweave.operators import report
+
+    df = spark.createDataFrame([(C.TIERS[0], 2, 1, 50.0, 0.456)], "tier string, n_centers long, n_active long, pct_active double, mean_activity_share double")
+    assert f"{C.TIERS[0]} & 2 & 1 & 50 & 0.46" in report.centre_table(df)
+    s = spark.createDataFrame([("abs_0.3", 1844, 50.0, 100.0, None, 0.0, 25.0)], "def string, n_core_cells long, outside_pct double, tier0_active_pct double, tier1_active_pct double, tier2_active_pct double, tier3_active_pct double")
+    assert r"abs 0.3 & 1{,}844 & 50.0 & 100 & -- & 0 & 25" in report.threshold_table(s)
+
+
+def test_months_are_pruned(spark, tmp_path):
+    from gridweave.sources import formats
+
+    spark.createDataFrame([("202501", 1), ("202502", 2)], "year_month string, v int").write.partitionBy("year_month").parquet(str(tmp_path / "t"))
+    one = formats.read_months(spark, str(tmp_path / "t"), ["202502", "209901"])
+    assert [r.v for r in one.collect()] == [2] and len(one.inputFiles()) >= 1
+    assert formats.read_months(spark, str(tmp_path / "t")).count() == 2
