@@ -95,15 +95,23 @@ def top_margin(values: Column) -> Column:
     return s[0] - s[1]
 
 
+def let(value: Column, then) -> Column:
+    """then(value) with the value computed once, also where it is used inside lambdas."""
+    return F.transform(F.array(value), then)[0]
+
+
+def _total(values: Column) -> Column:
+    return F.aggregate(values, F.lit(0.0), lambda a, x: a + x)
+
+
 def softmax(values: Column) -> Column:
-    e = F.transform(values, lambda x: F.exp(x - F.array_max(values)))
-    return F.transform(e, lambda x: x / F.aggregate(e, F.lit(0.0), lambda a, y: a + y))
+    powers = let(F.array_max(values), lambda top: F.transform(values, lambda x: F.exp(x - top)))
+    return let(powers, lambda e: let(_total(e), lambda t: F.transform(e, lambda x: x / t)))
 
 
 def entropy(shares: Column, states: int) -> Column:
     """Shannon entropy of shares over the logarithm of the number of states."""
-    terms = F.transform(shares, lambda p: F.when(p > 0, p * F.ln(p + 1e-12)).otherwise(F.lit(0.0)))
-    return -F.aggregate(terms, F.lit(0.0), lambda a, x: a + x) / math.log(states)
+    return -_total(F.transform(shares, lambda p: F.when(p > 0, p * F.ln(p + 1e-12)).otherwise(F.lit(0.0)))) / math.log(states)
 
 
 def top_parts(names: Sequence[str], shares: Column, most: int = 3) -> Column:
@@ -115,13 +123,12 @@ def top_parts(names: Sequence[str], shares: Column, most: int = 3) -> Column:
 
 
 def clr(shares: Column, delta: float = C.ZERO_REPLACEMENT) -> Column:
-    """Centred log-ratio of an array of shares after multiplicative replacement of zeros by delta."""
-    zeros = F.size(F.filter(shares, lambda x: x == 0))
-    filled = F.transform(shares, lambda x: F.when(x == 0, F.lit(delta)).otherwise(x * (1 - zeros * delta)))
-    total = F.aggregate(filled, F.lit(0.0), lambda a, x: a + x)
-    logs = F.transform(filled, lambda x: F.ln(x / total))
-    mean = F.aggregate(logs, F.lit(0.0), lambda a, x: a + x) / F.size(shares)
-    return F.transform(logs, lambda x: x - mean)
+    """Centred log-ratio of an array of shares after multiplicative replacement of zeros by delta.
+
+    A constant factor cancels in it, so the replaced shares need not be closed to a sum of 1 again.
+    """
+    filled = let(F.size(F.filter(shares, lambda x: x == 0)), lambda z: F.transform(shares, lambda x: F.ln(F.when(x == 0, F.lit(delta)).otherwise(x * (1 - z * delta)))))
+    return let(filled, lambda logs: let(_total(logs) / F.size(shares), lambda m: F.transform(logs, lambda x: x - m)))
 
 
 def inverse_clr(values: Column) -> Column:

@@ -97,23 +97,21 @@ def missing_masks(em: DataFrame) -> DataFrame:
     return em.withColumns({"mix_missing": F.col("presence_demo_masked") | any_null(C.MIX), "dwell_missing": ~F.col("dwell_present") | any_null(C.DWELL)})
 
 
-def with_clr(em: DataFrame, delta: float = C.ZERO_REPLACEMENT) -> DataFrame:
-    """Adds the arrays clr_mix and clr_dwell, null where a composition is missing."""
-    m = missing_masks(em)
-    return m.withColumns(
-        {
-            "clr_mix": F.when(~F.col("mix_missing"), X.clr(F.array(*(F.col(c) for c in C.MIX)), delta)),
-            "clr_dwell": F.when(~F.col("dwell_missing"), X.clr(F.array(*(F.col(c) for c in C.DWELL)), delta)),
-        }
-    )
-
+BLOCKS = {"clr_mix": C.MIX, "clr_dwell": C.DWELL}
+_PARTS = [f"{b}_{i}" for b, parts in BLOCKS.items() for i in range(len(parts))]
 
-def _spread(df: DataFrame, block: str, n: int) -> list:
-    return [F.element_at(F.col(block), i + 1).alias(f"{block}_{i}") for i in range(n)]
 
+def with_clr(em: DataFrame, delta: float = C.ZERO_REPLACEMENT) -> DataFrame:
+    """Adds clr_mix_0 .. and clr_dwell_0 .., the centred log-ratios of the parts, null where a composition is missing.
 
-BLOCKS = {"clr_mix": len(C.MIX), "clr_dwell": len(C.DWELL)}
-_PARTS = [f"{b}_{i}" for b, n in BLOCKS.items() for i in range(n)]
+    Zeros, logarithms and their mean are columns of their own, so that generated code computes each of them once a row.
+    """
+    m = missing_masks(em)
+    zeros = {f"_{b}_z": sum((F.when(F.col(p) == 0, 1).otherwise(0) for p in parts), F.lit(0)) for b, parts in BLOCKS.items()}
+    logs = {f"_{b}_{i}": F.ln(F.when(F.col(p) == 0, F.lit(delta)).otherwise(F.col(p) * (1 - F.col(f"_{b}_z") * delta))) for b, parts in BLOCKS.items() for i, p in enumerate(parts)}
+    means = {f"_{b}_m": sum((F.col(f"_{b}_{i}") for i in range(len(parts))), F.lit(0.0)) / len(parts) for b, parts in BLOCKS.items()}
+    out = {f"{b}_{i}": F.when(~F.col("mix_missing" if b == "clr_mix" else "dwell_missing"), F.col(f"_{b}_{i}") - F.col(f"_{b}_m")) for b, parts in BLOCKS.items() for i in range(len(parts))}
+    return m.withColumns(zeros).withColumns(logs).withColumns(means).withColumns(out).drop(*zeros, *logs, *means)
 
 
 def fit_transform_parameters(em: DataFrame) -> DataFrame:
@@ -121,8 +119,7 @@ def fit_transform_parameters(em: DataFrame) -> DataFrame:
 
     A column's imputed values equal its mean, so the second pair follows from sums of the complete rows alone: one pass.
     """
-    t = with_clr(em).where(F.col("split") == "train")
-    t = t.select("presence_log", "stay_vol_log", *(c for b, n in BLOCKS.items() for c in _spread(t, b, n)))
+    t = with_clr(em.where(F.col("split") == "train"))
     aggs = [F.count("*").alias("n_rows")]
     for p in _PARTS:
         # Deviations of imputed rows are 0, so their variance is the complete rows' sum of squares over all rows.
@@ -136,10 +133,9 @@ def model_rows(em: DataFrame, parameters: DataFrame) -> DataFrame:
     """Keys with x, the feature vector of FEATURES, for training and new rows alike. parameters is the row of fit_transform_parameters."""
     t = with_clr(em).crossJoin(F.broadcast(parameters))  # one row
     z = []
-    for b, n in BLOCKS.items():
-        for i in range(n):
-            m, s = F.col(f"{b}_{i}_m"), F.col(f"{b}_{i}_s")
-            z.append((F.coalesce(F.element_at(F.col(b), i + 1), m) - m) / F.when(s > 0, s).otherwise(1.0))
+    for p in _PARTS:
+        m, s = F.col(f"{p}_m"), F.col(f"{p}_s")
+        z.append((F.coalesce(F.col(p), m) - m) / F.when(s > 0, s).otherwise(1.0))
     presence_z = (F.col("presence_log") - F.col("presence_log_m")) / F.col("presence_log_s")
     stay_z = F.when(F.col("dwell_missing"), 0.0).otherwise((F.col("stay_vol_log") - F.col("stay_vol_log_m")) / F.col("stay_vol_log_s"))
     x = F.array(presence_z, stay_z, *z, F.col("dwell_missing").cast("double"), F.col("mix_missing").cast("double"))

@@ -124,7 +124,8 @@ def ingest_accounting(spark, sf):
 
 def clr_mix(spark, sf):
     t = features.with_clr(_emission(spark, sf))
-    return t.select(*features.KEYS, "mix_missing", "dwell_missing", *(F.round(F.element_at("clr_mix", i + 1), 6).alias(f"clr_{c}") for i, c in enumerate(C.MIX)), *(F.round(F.element_at("clr_dwell", i + 1), 6).alias(f"clr_{c}") for i, c in enumerate(C.DWELL)))
+    parts = [F.round(f"{b}_{i}", 6).alias(f"clr_{c}") for b, names in features.BLOCKS.items() for i, c in enumerate(names)]
+    return t.select(*features.KEYS, "mix_missing", "dwell_missing", *parts)
 
 
 def _clr_sql(cols, missing):
