@@ -72,6 +72,15 @@ def morans_i(cells: DataFrame, edges: DataFrame, value: str, replicates: int = 0
     return j.groupBy("rep").agg((F.sum(F.col("z") * F.coalesce("lag", F.lit(0.0))) / F.sum(F.col("z") * F.col("z"))).alias("moran_i"))
 
 
+def morans(cells: DataFrame, edges: DataFrame, values: Sequence[str]) -> DataFrame:
+    """measure and moran_i of several columns, in one pass over the edges."""
+    mean = cells.agg(*(F.avg(v).alias(f"_m_{v}") for v in values))
+    z = cells.crossJoin(F.broadcast(mean)).select("cell_id", *((F.col(v) - F.col(f"_m_{v}")).alias(v) for v in values))  # one row
+    lag = edges.withColumnRenamed("dst", "cell_id").join(z, "cell_id").groupBy(F.col("src").alias("cell_id")).agg(*(F.avg(v).alias(f"_l_{v}") for v in values))
+    sums = z.join(lag, "cell_id", "left").agg(*(x for v in values for x in (F.sum(F.col(v) * F.coalesce(f"_l_{v}", F.lit(0.0))).alias(f"_a_{v}"), F.sum(F.col(v) * F.col(v)).alias(f"_b_{v}"))))
+    return sums.selectExpr(f"stack({len(values)}, {', '.join(f'{v!r}, try_divide(_a_{v}, _b_{v})' for v in values)}) as (measure, moran_i)")
+
+
 def same_category_share(cells: DataFrame, edges: DataFrame, category: str, replicates: int = 0) -> DataFrame:
     """rep and same_share: the share of neighbouring pairs in the same category."""
     base = permuted(cells, category, replicates) if replicates else cells.select(F.lit(0).alias("rep"), "cell_id", category)

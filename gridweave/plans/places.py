@@ -42,12 +42,7 @@ def kring_mean(spark, sf):
 
 def moran_observed(spark, sf):
     t = _table(spark, sf)
-    e = spatial.queen_edges(t)
-    out = None
-    for c in ("share_residential", "activity_share", "func_entropy", "dom_margin"):
-        row = spatial.morans_i(t, e, c).select(F.lit(c).alias("measure"), F.round("moran_i", 6).alias("moran_i"))
-        out = row if out is None else out.unionByName(row)
-    return out
+    return rounded(spatial.morans(t, spatial.queen_edges(t), ["share_residential", "activity_share", "func_entropy", "dom_margin"]))
 
 
 def moran_null(spark, sf):
