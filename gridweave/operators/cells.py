@@ -78,7 +78,7 @@ def ingest_accounting(df: DataFrame, month: Column, grid: str, total: str, demo:
 
 
 def quantile_nearest(df: DataFrame, column: str, q: float) -> DataFrame:
-    """The value at the nearest rank to q * (n - 1), halves to the lower rank's even neighbour; one row. Linear: F.percentile."""
+    """The value at the nearest rank to q * (n - 1), halves to the even rank; one row. Linear: F.percentile. For tables of cells: the distinct values meet in one task."""
     w = Window.orderBy(column)
     ranked = df.where(F.col(column).isNotNull()).groupBy(column).agg(F.count("*").alias("c")).withColumn("end", F.sum("c").over(w)).withColumn("n", F.sum("c").over(Window.partitionBy()))
     return ranked.where((F.rint(q * (F.col("n") - 1)) < F.col("end")) & (F.rint(q * (F.col("n") - 1)) >= F.col("end") - F.col("c"))).select(F.col(column).alias("value"))

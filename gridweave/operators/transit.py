@@ -14,7 +14,7 @@ from gridweave.functions import columns as X
 
 #: Hours in the order of an operating day.
 SUBWAY_HOURS = [*range(4, 24), *range(4)]
-#: Candidates for fuzzy matching that are broadcast at most; beyond, only keys that share their first or last letter are compared.
+#: Keys for fuzzy matching that are broadcast at most; beyond, names and keys meet by the letters they share.
 FUZZY_KEYS = 20_000
 
 
@@ -82,9 +82,9 @@ def fuzzy_matches(names: DataFrame, keys: DataFrame, cutoff: float = 0.8) -> Dat
 
         return names.toDF("name").mapInPandas(best, "name string, match string").where("match is not null")
 
-    # A ratio of at least 0.8 needs a common letter near one end; keys beyond a broadcast meet names by their letters there.
-    ends = lambda c: F.array_distinct(F.filter(F.split(c, ""), lambda x: x != ""))
-    pairs = names.toDF("name").withColumn("_l", F.explode(ends(F.col("name")))).join(keys.toDF("key").withColumn("_l", F.explode(ends(F.col("key")))), "_l").select("name", "key").distinct()
+    # Any ratio above 0 needs a common letter.
+    letters = lambda c: F.array_distinct(F.filter(F.split(c, ""), lambda x: x != ""))
+    pairs = names.toDF("name").withColumn("_l", F.explode(letters(F.col("name")))).join(keys.toDF("key").withColumn("_l", F.explode(letters(F.col("key")))), "_l").select("name", "key").distinct()
 
     def score(batches):
         for b in batches:
