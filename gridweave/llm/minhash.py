@@ -4,9 +4,9 @@
    hashes. Texts with the same set are one node from here on, however many copies there are. A node is named by the smallest
    id of its texts and the digest, in bytes that sort by the id: the smallest node of a component has the component's id.
 2. In each of TREES independent trees nodes branch by the minwise hashes at one or two places that the branch chooses by
-   itself, 1 / similarity branches on average, so similar sets stay together with a probability that doesn't shrink with depth.
-   A branch of at most SMALL nodes ends; larger ones branch again, down to DEPTH. What is still larger then consists of
-   texts that agree in every chosen hash; it is dealt into blocks, each of which also gets the same few pivots.
+   itself, 1 / similarity branches on average, so similar sets stay together with a probability that hardly shrinks with depth.
+   A branch of at most SMALL nodes ends; larger ones branch again, down to DEPTH. A branch that keeps FAMILY of its parent,
+   or is still large then, consists of similar texts; it is dealt into blocks, each of which also gets the same few pivots.
 3. In a branch that ended all pairs are compared by their minwise hashes; those that could reach the similarity (less four
    standard errors) tie nodes to a cluster. A branch returns a star for each cluster, never its pairs.
 4. Clusters, the connected components of these ties, get their full sets back from the texts. Small clusters are compared
@@ -34,10 +34,12 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from gridweave.llm.common import chunks_by_size, column_bytes, column_list, mix64, settle, words_of
+from gridweave.llm.common import chunks_by_size, column_bytes, column_list, drop_settled, mix64, settle, words_of
 from gridweave.llm.components import components
 
 K, TREES, DEPTH, SMALL = 128, 10, 5, 128
+#: The part of its parent's nodes from which a branch counts as a family.
+FAMILY = 0.75
 #: Members of a cluster that is compared in one task; pivot rounds of larger ones; members of a block after that.
 CLUSTER, ROUNDS, BLOCK = 256, 2, 256
 #: Ids in a table that may be broadcast (some 40 bytes each).
@@ -185,40 +187,46 @@ def _ties(members: DataFrame, least: float) -> DataFrame:
                         right.append(y[near])
             label = _min_labels(len(keys), np.concatenate(left), np.concatenate(right))
             own = np.flatnonzero(label != np.arange(len(keys)))
-            node = t.column(1)
-            yield pa.RecordBatch.from_arrays([node.take(pa.array(label[own])).combine_chunks().cast(pa.binary()), node.take(pa.array(own)).combine_chunks().cast(pa.binary())], names=["u", "v"])
+            node = t.column(1).to_numpy()
+            yield pa.RecordBatch.from_arrays([pa.array(node[label[own]]), pa.array(node[own])], names=["u", "v"])
 
     n = members.sparkSession.conf.get("spark.sql.shuffle.partitions")
     placed = members.select("branch", "node", "brief").repartition(int(n), "branch").sortWithinPartitions("branch", "node")
-    return placed.mapInArrow(run, "u binary, v binary").distinct()
+    return placed.mapInArrow(run, "u long, v long").distinct()
 
 
 def candidate_ties(nodes: DataFrame, similarity: float, trees: int = TREES) -> DataFrame:
-    """Ties (u, v) between nodes(node, sig, brief) that share a branch that ended and could reach the similarity."""
+    """Ties (u, v) between nodes(node, sig, brief), node being a number, that share a branch that ended and could reach the similarity.
+
+    A branch that keeps most of its parent's nodes is a family of similar texts, which more branching would only copy: it
+    ends as well, dealt into blocks. Signatures are carried below the first level only for the nodes that get there.
+    """
     least = similarity - 4 * math.sqrt(similarity * (1 - similarity) / K)
-    roots = nodes.select("node", "sig", F.explode(F.array(*(F.lit(t).cast("long") for t in range(trees)))).alias("branch"))
-    found, level = [], roots
+    roots = F.explode(F.array(*(F.lit(t).cast("long") for t in range(trees)))).alias("branch")
+    level, deep, ended = nodes.select("node", "sig", F.lit(None).cast("long").alias("parent"), roots), None, []
     for depth in range(1, DEPTH + 1):
-        rows = level.select("node", F.explode(_children(F.col("branch"), F.col("sig"), similarity)).alias("branch"))
-        sizes = rows.groupBy("branch").agg(F.count("*").alias("n")).where("n > 1")
-        kept = settle(rows.join(sizes, "branch"), "branch")
-        ended = kept.where(F.col("n") <= SMALL).select("branch", "node")
-        if depth == DEPTH:  # blocks of about half a branch, with some eight pivots of the whole in each
-            blocks = F.ceil(F.col("n") / (SMALL // 2)).cast("int")
-            large = kept.where(F.col("n") > SMALL).withColumn("blocks", blocks)
-            mine = large.withColumn("block", F.pmod(F.xxhash64("node", "branch"), F.col("blocks")).cast("int"))
-            pivots = large.where(F.pmod(F.xxhash64("node", F.lit(13)), F.col("n")) < 8).withColumn("block", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-            dealt = mine.unionByName(pivots).select(F.xxhash64("branch", "block").alias("branch"), "node").distinct()
-            ended = ended.unionByName(dealt)
-        found.append(_ties(ended.join(nodes.select("node", "brief"), "node"), least))
-        more = kept.where(F.col("n") > SMALL)
+        rows = level.select("node", "parent", F.explode(_children(F.col("branch"), F.col("sig"), similarity)).alias("branch"))
+        sizes = rows.groupBy("branch").agg(F.count("*").alias("n"), F.max("parent").alias("parent")).where("n > 1")
+        kept = settle(rows.drop("parent").join(sizes, "branch"), "branch")
+        large, family = F.col("n") > SMALL, F.coalesce(F.col("n") >= FAMILY * F.col("parent"), F.lit(False))
+        last = family if depth < DEPTH else F.lit(True)
+        # Blocks of about half a branch that would be compared as a whole, with some eight pivots of the family in each.
+        blocks = F.ceil(F.col("n") / (SMALL // 2)).cast("int")
+        dense = kept.where(large & last).withColumn("blocks", blocks)
+        mine = dense.withColumn("block", F.pmod(F.xxhash64("node", "branch"), F.col("blocks")).cast("int"))
+        pivots = dense.where(F.pmod(F.xxhash64("node", F.lit(13)), F.col("n")) < 8).withColumn("block", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+        ended.append(kept.where(~large).select("branch", "node"))
+        ended.append(mine.unionByName(pivots).select(F.xxhash64("branch", "block").alias("branch"), "node").distinct())
+        more = kept.where(large & ~last)
         if depth == DEPTH or more.isEmpty():
             break
-        level = more.select("node", "branch").join(nodes.select("node", "sig"), "node")
-    ties = found[0]
-    for f in found[1:]:
-        ties = ties.unionByName(f)
-    return ties
+        if deep is None:
+            deep = settle(nodes.select("node", "sig").join(_side(settle(more.select("node").distinct(), "deep")), "node", "left_semi"), "deep")
+        level = more.select("node", "branch", F.col("n").alias("parent")).join(deep, "node")
+    every = ended[0]
+    for e in ended[1:]:
+        every = every.unionByName(e)
+    return _ties(every.join(nodes.select("node", "brief"), "node"), least)
 
 
 def _linked(inter: np.ndarray, a: np.ndarray, b: np.ndarray, per_cent: int) -> np.ndarray:
@@ -289,6 +297,11 @@ def _compare(groups: DataFrame, per_cent: int) -> DataFrame:
     return groups.select("key", "node", "shingles").repartition(n, "key").sortWithinPartitions("key").mapInArrow(run, "u binary, v binary")
 
 
+def _side(few: DataFrame) -> DataFrame:
+    """A table of ids as one side of a join: broadcast if it has at most BROADCAST_ROWS rows."""
+    return F.broadcast(few) if few.count() <= BROADCAST_ROWS else few
+
+
 def _with_sets(docs: DataFrame, members: DataFrame, width: int) -> DataFrame:
     """members(node, doc_id, cluster, size) with their sets, made again from the texts of one id each; rows may repeat."""
 
@@ -303,8 +316,7 @@ def _with_sets(docs: DataFrame, members: DataFrame, width: int) -> DataFrame:
                 made = pa.array([s.tobytes() for s in sets], pa.binary())
                 yield pa.RecordBatch.from_arrays([own.column(0), own.column(1), own.column(2), made], names=["cluster", "size", "node", "shingles"]).filter(right)
 
-    few = members.count() <= BROADCAST_ROWS
-    side = (F.broadcast(members) if few else members).withColumnRenamed("doc_id", "_id")
+    side = _side(members).withColumnRenamed("doc_id", "_id")
     joined = docs.select("doc_id", "text").join(side, F.col("doc_id").eqNullSafe(F.col("_id")))
     return joined.select("cluster", "size", "node", "text").mapInArrow(run, "cluster long, size long, node binary, shingles binary")
 
@@ -353,7 +365,8 @@ def _large_links(sets: DataFrame, nodes: DataFrame, per_cent: int) -> DataFrame:
     """Links (u, v) in clusters of more than CLUSTER members, given sets(cluster, node, shingles) and nodes(node, sig)."""
     reach = 1 - per_cent / 100
     sets = settle(sets.dropDuplicates(["node"]), "sets")
-    state, links = settle(sets.select("cluster", "node").join(nodes, "node"), "state"), []
+    state, links = settle(nodes.join(_side(sets.select("cluster", "node")), "node").select("cluster", "node", "sig"), "state"), []
+    sigs = state.select("node", "sig")
     for r in range(ROUNDS):
         sizes = state.groupBy("cluster").agg(F.count("*").alias("n"))
         # The common signature of about 256 members, coordinate by coordinate; the member nearest to it is the pivot.
@@ -368,7 +381,7 @@ def _large_links(sets: DataFrame, nodes: DataFrame, per_cent: int) -> DataFrame:
         # A linked member can have a further link only to a member that isn't, at nearly its own distance from the pivot.
         rest = d.where("not near").groupBy("cluster").agg(F.min("d").alias("low"), F.max("d").alias("high"))
         left = d.join(rest, "cluster").where(~F.col("near") | (F.col("d") >= F.col("low") - reach - 1e-9))
-        state = settle(left.select("cluster", "node").join(nodes, "node"), "state")
+        state = settle(left.select("cluster", "node").join(sigs, "node"), "state")
         if state.isEmpty():
             break
     if not state.isEmpty():
@@ -385,22 +398,26 @@ def _large_links(sets: DataFrame, nodes: DataFrame, per_cent: int) -> DataFrame:
 
 def near_duplicates(docs: DataFrame, per_cent: int = 80, width: int = 5) -> DataFrame:
     """doc_id, n_shingles, component_id and kept for every row of docs(doc_id, text); linked from per_cent % similarity."""
-    rows = settle(sketches(docs, width).withColumnRenamed("node", "digest"), "sketch")
-    nodes = rows.where("digest is not null").groupBy("digest").agg(F.min("doc_id").alias("doc_id"), F.first("sig").alias("sig"), F.first("brief").alias("brief"))
-    nodes = settle(nodes.withColumn("node", _name(F.col("doc_id"), F.col("digest"))), "node")
+    sketched = settle(sketches(docs, width).withColumnRenamed("node", "digest"), "sketch")
+    nodes = sketched.where("digest is not null").groupBy("digest").agg(F.min("doc_id").alias("doc_id"), F.first("sig").alias("sig"), F.first("brief").alias("brief"))
+    nodes = settle(nodes.select("digest", _name(F.col("doc_id"), F.col("digest")).alias("name"), "sig", "brief", F.monotonically_increasing_id().alias("node")), "node")
+    rows = settle(sketched.select("doc_id", "n_shingles", "digest"), "row")
+    drop_settled(sketched)
     root = components(candidate_ties(nodes.select("node", "sig", "brief"), per_cent / 100))
-    members = root.select(F.col("u").alias("node"), F.col("v").alias("root")).unionByName(root.select(F.col("v").alias("node"), F.col("v").alias("root")).distinct())
-    sizes = members.groupBy("root").agg(F.count("*").alias("size"))
-    members = members.join(sizes, "root").select("node", _id(F.col("node")).alias("doc_id"), F.xxhash64("root").alias("cluster"), "size")
+    members = root.select(F.col("u").alias("node"), F.col("v").alias("cluster")).unionByName(root.select(F.col("v").alias("node"), F.col("v").alias("cluster")).distinct())
+    sizes = root.groupBy(F.col("v").alias("cluster")).agg((F.count("*") + 1).alias("size"))
+    members = members.join(sizes, "cluster").join(nodes.select("node", "name"), "node").select(F.col("name").alias("node"), _id(F.col("name")).alias("doc_id"), "cluster", "size")
     members = settle(members, "member")
     links = _compare(_with_sets(docs, members.where(F.col("size") <= CLUSTER), width).withColumnRenamed("cluster", "key"), per_cent)
     large = members.where(F.col("size") > CLUSTER)
     if not large.isEmpty():
-        links = links.unionByName(_large_links(_with_sets(docs, large, width), nodes.select("node", "sig"), per_cent))
+        sigs = nodes.select(F.col("name").alias("node"), "sig")
+        links = links.unionByName(_large_links(_with_sets(docs, large, width), sigs, per_cent))
     links = components(links)
-    joint = nodes.select("digest", "node").join(links.select(F.col("u").alias("node"), F.col("v").alias("root")), "node", "left")
-    joint = joint.select("digest", _id(F.coalesce("root", "node")).alias("component_id"))
-    out = rows.select("doc_id", "n_shingles", "digest").join(joint, "digest", "left")
+    joint = nodes.select("digest", "name").join(links.select(F.col("u").alias("name"), F.col("v").alias("root")), "name", "left")
+    joint = settle(joint.select("digest", _id(F.coalesce("root", "name")).alias("component_id")), "joint")
+    drop_settled(nodes)
+    out = rows.join(joint, "digest", "left")
     own = F.when(F.col("digest").isNull(), F.col("doc_id")).otherwise(F.col("component_id"))
     return out.select("doc_id", "n_shingles", own.alias("component_id"), F.col("doc_id").eqNullSafe(own).alias("kept"))
 
