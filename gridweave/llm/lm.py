@@ -37,7 +37,7 @@ from gridweave.llm.common import chunks_by_size, column_bytes, settle, with_row_
 
 WINDOW, STRIDE, INPUTS = 32, 24, 4096
 #: Width of the layer over words and of the layer inside words, and their classes.
-WIDTHS, CLASSES = (16, 32), (128, 128)
+WIDTHS, CLASSES = (16, 32), (128, 256)
 #: Words that scoring tasks hold; training documents, windows of each, and steps; words a worker keeps.
 TOP, FIT_DOCS, FIT_WINDOWS, STEPS, KEPT = 400_000, 1_500, 8, (600, 1200), 600_000
 LN10 = float(np.log(10))
@@ -86,22 +86,23 @@ class Attention:
         p, t = self.p, ids.shape[1]
         x = p["emb"][ids] + p["pos"][:t]
         q, k, v = x @ p["q"], x @ p["k"], x @ p["v"]
-        a = q @ k.transpose(0, 2, 1)
-        a *= self.scale
+        a = (q * self.scale) @ k.transpose(0, 2, 1)
         a += np.triu(np.full((t, t), -1e9, np.float32), 1)
-        a -= a.max(2, keepdims=True)
+        if a.max(initial=0) > 60:  # else no exponential can overflow
+            a -= a.max(2, keepdims=True)
         np.exp(a, out=a)
-        a /= a.sum(2, keepdims=True)
+        a /= (a @ np.ones(t, np.float32))[:, :, None]
         return x, q, k, v, a, x + a @ v
 
     def log_classes(self, h: np.ndarray, cls: np.ndarray) -> np.ndarray:
         """Natural log of the probabilities of the classes cls (m,) after states h (m, width)."""
         z = h @ self.p["u"]
         z += self.p["b"]
-        z -= z.max(1, keepdims=True)
+        if z.size and z.max() > 60:  # else no exponential can overflow
+            z -= z.max(1, keepdims=True)
         own = z[np.arange(len(cls)), cls]
         np.exp(z, out=z)
-        return own - np.log(z.sum(1))
+        return own - np.log(z @ np.ones(z.shape[1], np.float32))
 
     def gradients(self, ids: np.ndarray, cls: np.ndarray, on: np.ndarray) -> tuple[float, dict]:
         """Mean loss over the positions where `on`, and its gradients."""
@@ -171,7 +172,7 @@ class Scorer:
         self.input, self.cls = np.empty(0, np.int32), np.empty(0, np.int32)
         self.inside, self.log_count = np.empty(0), np.empty(0)
 
-    def sequence_scores(self, ids: np.ndarray, cls: np.ndarray, lengths: np.ndarray, inner: int, block: int = 1024) -> np.ndarray:
+    def sequence_scores(self, ids: np.ndarray, cls: np.ndarray, lengths: np.ndarray, inner: int, block: int = 256) -> np.ndarray:
         """Sum of log10 class probabilities of each sequence, over words or inside them; ids and cls hold inputs and targets one after another."""
         layer, out, begin = self.layers[inner], np.zeros(len(lengths)), np.cumsum(lengths) - lengths
         seq, start, scored, end = windows(lengths)
@@ -205,7 +206,9 @@ class Scorer:
         self.input = np.append(self.input, voc.input[ids[first]].astype(np.int32))
         self.cls = np.append(self.cls, voc.cls[ids[first]].astype(np.int32))
         self.inside = np.append(self.inside, inside)
-        self.log_count = np.append(self.log_count, [np.log10(c + 1) if (c := self.counts.get(w)) else np.nan for w in new])
+        get = self.counts.get
+        n = np.fromiter((get(w, 0) for w in new), np.float64, len(new))
+        self.log_count = np.append(self.log_count, np.where(n > 0, np.log10(n + 1), np.nan))
 
     def score(self, texts: list[bytes | None]) -> Iterator[tuple[int, int, float, float, list[tuple[bytes, int]]]]:
         """Of each text: words, words known here, the sum of log10(c + 1) over them, the model's score, and the other words with their numbers."""
