@@ -50,7 +50,7 @@ def multiple_r2(df: DataFrame, xs: Sequence[str], y: str) -> dict[str, float]:
     g = np.zeros((len(names), len(names)))
     for i, j in pairs:
         g[i, j] = g[j, i] = row[f"s{i}_{j}"] or 0.0
-    n = g[0, 0]
+    n = float(g[0, 0])
     # Centred products, so that the pseudo-inverse doesn't see the size of the means.
     c = g[1:, 1:] - np.outer(g[0, 1:], g[0, 1:]) / max(n, 1)
     k = len(xs)
