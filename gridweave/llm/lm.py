@@ -1,8 +1,9 @@
 """Scoring of texts by a small causal self-attention model over subword ids, beside an add-one unigram score.
 
 Tokens are the words of a text (A-Z lower-cased) and one end; a word's subwords are the byte-level BPE ids of the word
-with a blank before it, then an end of word. The model is causal self-attention over windows of WINDOW positions, trained in
-numpy on a bounded sample of windows:
+with a blank before it, then an end of word. The model is causal self-attention over windows of WINDOW positions. Its
+layers are begun in numpy on a bounded sample of windows and then trained in one distributed pass over all training texts: each
+task takes a copy of a layer through its own rows, and the mean of the copies, by what they learnt from, is the layer.
 
 * the first subword of a word attends to the first subwords of the words before it, the others to the subwords before
   them in their own word. This mask makes the inside of a word a function of the word, so it is computed once a word, and
@@ -23,8 +24,9 @@ equal scores; an empty table gives an empty one; other columns are not read.
 
 from __future__ import annotations
 
+import copy
 from collections import Counter
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from itertools import chain
 
 import numpy as np
@@ -40,6 +42,8 @@ WINDOW, STRIDE, INPUTS = 32, 24, 4096
 WIDTHS, CLASSES = (16, 32), (128, 256)
 #: Words that scoring tasks hold; training documents, windows of each, and steps; words a worker keeps.
 TOP, FIT_DOCS, FIT_WINDOWS, STEPS, KEPT = 400_000, 1_500, 8, (600, 1200), 600_000
+#: The pass over all training texts: its rate, sequences of a batch of either layer, words of each batch of inner ones, and tasks that sum layers.
+RATE, BATCH, FREQUENT, SUMS = 0.002, (128, 512), 128, 16
 LN10 = float(np.log(10))
 
 
@@ -104,31 +108,30 @@ class Attention:
         np.exp(z, out=z)
         return own - np.log(z @ np.ones(z.shape[1], np.float32))
 
-    def gradients(self, ids: np.ndarray, cls: np.ndarray, on: np.ndarray) -> tuple[float, dict]:
-        """Mean loss over the positions where `on`, and its gradients."""
+    def gradients(self, ids: np.ndarray, cls: np.ndarray, on: np.ndarray, n: float | None = None) -> tuple[float, dict]:
+        """Mean loss over the positions where `on` (or its sum by the weights `on`, over n), and its gradients."""
         p, (x, q, k, v, a, h) = self.p, self.hidden(ids)
-        n = max(int(on.sum()), 1)
-        z = h @ p["u"] + p["b"]
-        z -= z.max(2, keepdims=True)
-        e = np.exp(z)
-        prob = e / e.sum(2, keepdims=True)
-        i, j = np.nonzero(on)
-        loss = -float(np.log(prob[i, j, cls[i, j]] + 1e-30).sum()) / n
-        dz = prob * on[:, :, None]
-        dz[i, j, cls[i, j]] -= 1
-        dz /= n
+        n = n or max(int(on.sum()), 1)
         flat = lambda m: m.reshape(-1, m.shape[-1])
-        g = {"u": flat(h).T @ flat(dz), "b": dz.sum((0, 1))}
-        dh = dz @ p["u"].T
+        dz = flat(h) @ p["u"]
+        dz += p["b"]
+        if dz.max(initial=0) > 60:  # else no exponential can overflow
+            dz -= dz.max(1, keepdims=True)
+        at, weight, own = np.arange(len(dz)), (on.ravel() / n).astype(dz.dtype), cls.ravel()
+        z = dz[at, own]
+        np.exp(dz, out=dz)
+        total = dz @ np.ones(dz.shape[1], dz.dtype)
+        loss = float(((np.log(total) - z) * weight).sum(dtype=np.float64))
+        dz *= (weight / total)[:, None]
+        dz[at, own] -= weight
+        g = {"u": flat(h).T @ dz, "b": np.ones(len(dz), dz.dtype) @ dz}
+        dh = (dz @ p["u"].T).reshape(h.shape)
         da, dv = dh @ v.transpose(0, 2, 1), a.transpose(0, 2, 1) @ dh
         ds = a * (da - (da * a).sum(2, keepdims=True)) * self.scale
         dq, dk = ds @ k, ds.transpose(0, 2, 1) @ q
         dx = dh + dq @ p["q"].T + dk @ p["k"].T + dv @ p["v"].T
         g |= {"q": flat(x).T @ flat(dq), "k": flat(x).T @ flat(dk), "v": flat(x).T @ flat(dv)}
-        g["emb"] = np.zeros_like(p["emb"])
-        order = np.argsort(ids.ravel(), kind="stable")
-        used, at = np.unique(ids.ravel()[order], return_index=True)
-        g["emb"][used] = np.add.reduceat(flat(dx)[order], at)
+        g["emb"] = np.stack([np.bincount(ids.ravel(), column, len(p["emb"])) for column in flat(dx).T], 1).astype(dx.dtype)
         g["pos"] = np.zeros_like(p["pos"])
         g["pos"][: ids.shape[1]] = dx.sum(0)
         return loss, g
@@ -149,6 +152,17 @@ class Attention:
                 self.p[k] -= now * (m[k] / (1 - 0.9**step)) / (np.sqrt(s[k] / (1 - 0.99**step)) + 1e-8)
         return losses
 
+    def follow(self, batches: Iterator[tuple]) -> float:
+        """One pass of Adam over batches (ids, classes, weights, scale), at the rate RATE; returns the sum of the weights."""
+        m, s, learnt = {k: np.zeros_like(v) for k, v in self.p.items()}, {k: np.zeros_like(v) for k, v in self.p.items()}, 0.0
+        for step, (ids, cls, on, n) in enumerate(batches, 1):
+            learnt += float(on.sum(dtype=np.float64))
+            for k, v in self.gradients(ids, cls, on, n)[1].items():
+                m[k] += 0.1 * (v - m[k])
+                s[k] += 0.01 * (v * v - s[k])
+                self.p[k] -= RATE * (m[k] / (1 - 0.9**step)) / (np.sqrt(s[k] / (1 - 0.99**step)) + 1e-8)
+        return learnt
+
 
 def windows(lengths: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
     """(sequence, start, first scored, end) of the overlapping windows over sequences of these lengths, all above 0."""
@@ -290,8 +304,109 @@ def _sample_windows(docs: DataFrame, n_docs: int) -> list[list[bytes]]:
     return sorted(list(map(bytes, r)) for r in rows)
 
 
+def _pieces(lengths: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(sequence, start, length) of the windows, end to end, over sequences of these lengths: each position is in one."""
+    n = -(-lengths // WINDOW)
+    seq = np.repeat(np.arange(len(lengths)), n)
+    start = (np.arange(len(seq)) - np.repeat(np.cumsum(n) - n, n)) * WINDOW
+    return seq, start, np.minimum(WINDOW, lengths[seq] - start)
+
+
+def _padded(ids: np.ndarray, cls: np.ndarray, at: np.ndarray, size: np.ndarray, weight: np.ndarray) -> tuple:
+    """(ids, classes, weights) as matrices of the windows that begin `at` and have these sizes and weights."""
+    t = np.arange(int(size.max()))
+    here = at[:, None] + np.minimum(t, size[:, None] - 1)
+    return ids[here], cls[here], (t < size[:, None]) * weight[:, None].astype(np.float32)
+
+
+def _text_batches(batches: Iterator[pa.RecordBatch], voc: Vocabulary, coder: bpe.ByteBPE) -> Iterator[tuple]:
+    """Batches for the layer over words that hold every word and every end of all texts once."""
+    slot: dict[bytes, int] = {}
+    first, rng, end = np.empty(0, np.int64), np.random.default_rng(5), len(voc.cls) - 2
+    for b in batches:
+        texts = column_bytes(b, "text")
+        for part in chunks_by_size(texts, 6_000_000):
+            words = [words_of(t) for t in texts[part]]
+            distinct = set().union(*words)
+            if len(slot) + len(distinct) > KEPT:
+                slot, first = {}, np.empty(0, np.int64)
+            if new := list(distinct.difference(slot)):
+                slot.update(zip(new, range(len(slot), len(slot) + len(new)), strict=True))
+                ids, n = coder.encode_flat([b" " + w for w in new])
+                first = np.append(first, ids[np.cumsum(n) - n])
+            lengths = np.array([len(w) for w in words], np.int64) + 1
+            begin = np.cumsum(lengths) - lengths
+            flat = np.full(int(lengths.sum()), end, np.int64)
+            inside = np.ones(len(flat), bool)
+            inside[begin + lengths - 1] = False
+            flat[inside] = first[np.fromiter(map(slot.__getitem__, chain.from_iterable(words)), np.int64, int(inside.sum()))]
+            before = np.append(0, voc.input[flat[:-1]])
+            before[begin] = voc.begin
+            seq, start, size = _pieces(lengths)
+            order = np.argsort(size, kind="stable")
+            for k in rng.permutation(range(0, len(order), BATCH[0])):
+                own = order[k : k + BATCH[0]]
+                yield *_padded(before, voc.cls[flat], begin[seq[own]] + start[own], size[own], np.ones(len(own))), BATCH[0] * WINDOW
+
+
+def _word_batches(batches: Iterator[pa.RecordBatch], voc: Vocabulary, coder: bpe.ByteBPE) -> Iterator[tuple]:
+    """Batches for the layer inside words: each distinct word by its number, the most frequent ones a share of it in every batch."""
+    rng = np.random.default_rng(6)
+    for b in batches:
+        if not b.num_rows:
+            continue
+        count = b.column(1).to_numpy().astype(np.float64)
+        ids, n = coder.encode_flat([b" " + w for w in b.column(0).to_pylist()])
+        begin = np.cumsum(n) - n
+        target = np.append(ids[1:], 0)
+        target[begin + n - 1] = len(voc.cls) - 1
+        seq, start, size = _pieces(n)
+        rest = np.lexsort((size, -count[seq]))
+        often, rest = rest[:FREQUENT], rest[FREQUENT:]
+        rest = rest[np.argsort(size[rest], kind="stable")]
+        parts = max(1, -(-len(rest) // BATCH[1]))
+        weight = count[seq]
+        weight[often] /= parts
+        scale = float((count[seq] * size).sum()) / parts
+        for k in rng.permutation(parts):
+            own = np.concatenate([often, rest[k * BATCH[1] : (k + 1) * BATCH[1]]])
+            yield *_padded(voc.input[ids], voc.cls[target], begin[seq[own]] + start[own], size[own], weight[own]), scale
+
+
+def _learn_all(rows: DataFrame, layer: Attention, made: Callable, voc: Vocabulary, path: str, pattern: str) -> float:
+    """Trains `layer` on all rows: each task takes a copy through its own rows, the copies' mean by what they learnt from stays. Returns the sum of the weights."""
+    names, shared = sorted(layer.p), rows.sparkSession.sparkContext.broadcast((layer, voc))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        own, voc = copy.deepcopy(shared.value)
+        learnt = own.follow(made(batches, voc, bpe.load(path, pattern)))
+        if learnt:
+            values = np.concatenate([own.p[k].ravel() for k in names]).astype(np.float64) * learnt
+            yield pa.RecordBatch.from_arrays([pa.array([learnt]), pa.array([values.tobytes()], pa.binary())], names=["learnt", "layer"])
+
+    def add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        learnt, total = 0.0, np.zeros(0)
+        for b in batches:
+            for n, raw in zip(b.column(0).to_pylist(), b.column(1), strict=True):
+                values = np.frombuffer(raw.as_buffer(), np.float64)
+                learnt, total = learnt + n, total + values if len(total) else values
+        if learnt:
+            yield pa.RecordBatch.from_arrays([pa.array([learnt]), pa.array([total.tobytes()], pa.binary())], names=["learnt", "layer"])
+
+    kind = "learnt double, layer binary"
+    sums = rows.mapInArrow(run, kind).repartition(SUMS).mapInArrow(add, kind).collect()  # at most SUMS rows of the layer's size
+    learnt = sum(r.learnt for r in sums)
+    if learnt:
+        mean, at = sum(np.frombuffer(bytes(r.layer), np.float64) for r in sums) / learnt, 0
+        for k in names:
+            size = layer.p[k].size
+            layer.p[k] = mean[at : at + size].reshape(layer.p[k].shape).astype(layer.p[k].dtype)
+            at += size
+    return learnt
+
+
 def train(docs: DataFrame, n_docs: int, counts: DataFrame, path: str, pattern: str) -> tuple[Vocabulary, tuple[Attention, Attention]]:
-    """Vocabulary from the counts of all training texts, and the two layers trained on a sample of their windows."""
+    """Vocabulary from the counts of all training texts, and the two layers: begun on a sample of windows, then trained on all texts."""
     subwords = subword_counts(counts, path, pattern)
     subwords[-2:] = n_docs, counts.agg(F.sum("n")).first()[0] or 0
     coder = bpe.load(path, pattern)
@@ -314,6 +429,8 @@ def train(docs: DataFrame, n_docs: int, counts: DataFrame, path: str, pattern: s
     words = tuple(x[:, : max(1, int(np.quantile(words[2].sum(1), 0.99)))] if len(inner) else x for x in words)
     layers[0].fit(texts, STEPS[0], 64)
     layers[1].fit(words, STEPS[1], 512)
+    _learn_all(docs.select("text"), layers[0], _text_batches, voc, path, pattern)
+    _learn_all(counts.select("word", "n"), layers[1], _word_batches, voc, path, pattern)
     return voc, layers
 
 

@@ -5,6 +5,7 @@ from collections import Counter
 
 import numpy as np
 import public_tokenizers
+import pyarrow as pa
 import pytest
 
 from gridweave.llm import bpe, lm
@@ -95,3 +96,32 @@ def test_no_training_text(spark):
     r = lm.score(docs, crc_mod("doc_id", 7) == 99, PATH, PATTERN).first()
     assert (r.n_tokens, r.n_known, r.train_tokens, r.base_score) == (3, 0, 0, 0.0)
     assert lm.score(docs.limit(0), crc_mod("doc_id", 7) != 2, PATH, PATTERN).count() == 0
+
+
+def test_the_layers_learn_from_all_training_texts(spark, monkeypatch):
+    """Beyond the sample the layers begin on: every word, every end and every subword counts once each time it occurs."""
+    monkeypatch.setattr(lm, "FIT_DOCS", 5)
+    monkeypatch.setattr(lm, "STEPS", (5, 5))
+    learnt, real = [], lm._learn_all
+    monkeypatch.setattr(lm, "_learn_all", lambda *a: learnt.append(real(*a)))
+    rows = [*texts(), None, "", "z" * 400]
+    docs = spark.createDataFrame(list(enumerate(rows)), "doc_id long, text string").repartition(3)
+    counts = lm.word_counts(docs)
+    lm.train(docs, len(rows), counts, PATH, PATTERN)
+    words = [w for t in rows for w in (t or "").encode().lower().split()]
+    n = bpe.load(PATH, PATTERN).encode_flat([b" " + w for w in words])[1]
+    assert learnt == [len(words) + len(rows), pytest.approx(n.sum())]
+
+
+def test_a_pass_over_texts_learns(monkeypatch):
+    monkeypatch.setattr(lm, "RATE", 0.02)
+    monkeypatch.setattr(lm, "BATCH", (8, 16))
+    rng, coder = np.random.default_rng(4), bpe.load(PATH, PATTERN)
+    pairs = [("house", "tree"), ("water", "stone"), ("green", "river"), ("night", "table"), ("small", "bird")]
+    data = [" ".join(w for k in rng.integers(0, 5, 50) for w in pairs[k]) for _ in range(200)]
+    voc = lm.Vocabulary(np.ones(len(coder.tokens) + 2), np.array([*(not t.startswith(b" ") for t in coder.tokens), False, True]).astype(int))
+    layer, batch = lm.Attention(voc.share[0], lm.WIDTHS[0]), pa.RecordBatch.from_pydict({"text": data})
+    loss = lambda: sum(layer.gradients(*x[:3])[0] for x in lm._text_batches(iter([batch]), voc, coder))
+    before = loss()
+    assert layer.follow(lm._text_batches(iter([batch]), voc, coder)) == 200 * 101
+    assert loss() < 0.7 * before
