@@ -29,8 +29,8 @@ def quality_filter(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
 
 
 def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """All documents, without the lines that spread over sites; n_chars follows the text."""
-    cleaned = linededup.remove_spread_lines(docs, add=False)
+    """All documents, without the lines that spread over sites (but where a document has no others); n_chars follows the text."""
+    cleaned = linededup.remove_spread_lines(docs, add=False, whole=True)
     return cleaned.withColumn("n_chars", F.length("text").cast("long")).select(docs.columns)
 
 

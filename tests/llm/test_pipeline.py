@@ -44,3 +44,11 @@ def test_empty_and_odd_tables(spark):
         odd_out = stage(spark, odd, SF)
         assert odd_out.count() >= 0, name
     assert sorted(str(r.doc_id) for r in pipeline.near_dedup(spark, odd, SF).collect()) == ["1", "2", "None"]
+
+
+def test_line_dedup_leaves_no_spread_line_beside_own_text(spark):
+    docs = spark.read.parquet(f"{SF}/documents.parquet")
+    shared = "this line is on every site and longer than what the sites say themselves"
+    rows = [(i, f"{shared}\nown words of {i}", "en", f"s{i}", 0) for i in range(12)] + [(20 + i, shared, "en", f"s{i}", 0) for i in range(12)]
+    out = {r.doc_id: r.text for r in pipeline.line_dedup(spark, spark.createDataFrame(rows, docs.schema), SF).collect()}
+    assert out == {i: f"own words of {i}" for i in range(12)} | {20 + i: shared for i in range(12)}
