@@ -6,7 +6,7 @@
 2. In each of TREES independent trees nodes branch by the minwise hashes at one or two places that the branch chooses by
    itself, 1 / similarity branches on average, so similar sets stay together with a probability that hardly shrinks with depth.
    A branch of at most SMALL nodes ends; larger ones branch again, down to DEPTH. A branch that keeps FAMILY of its parent,
-   or is still large then, consists of similar texts; it is dealt into blocks, each of which also gets the same few pivots.
+   or is still large then, ends as well; it is dealt into blocks, and every pair of blocks is compared.
 3. In a branch that ended all pairs are compared by their minwise hashes; those that could reach the similarity (less four
    standard errors) tie nodes to a cluster. A branch returns a star for each cluster, never its pairs.
 4. Clusters, the connected components of these ties, get their full sets back from the texts. Small clusters are compared
@@ -38,6 +38,8 @@ from gridweave.llm.common import chunks_by_size, column_bytes, column_list, drop
 from gridweave.llm.components import components
 
 K, TREES, DEPTH, SMALL = 128, 10, 5, 128
+#: Nodes of a block of a larger branch that has ended.
+DENSE = 2048
 #: The part of its parent's nodes from which a branch counts as a family.
 FAMILY = 0.75
 #: Members of a cluster that is compared in one task; pivot rounds of larger ones; members of a block after that.
@@ -165,6 +167,23 @@ def _fixed(col: pa.ChunkedArray | pa.Array, width: int) -> np.ndarray:
     return np.frombuffer(b"".join(col.to_pylist()), np.uint8).reshape(-1, width)
 
 
+def _dense(sig: np.ndarray, least: float) -> np.ndarray:
+    """A label for each of many nodes, by ties between all of them; two nodes that the largest cluster already holds need no look."""
+    label = np.arange(len(sig))
+
+    def look(i: int) -> None:
+        near = label[(sig == sig[i]).sum(1) >= least]
+        label[np.isin(label, near)] = near.min()
+
+    for i in range(min(8, len(sig))):
+        look(i)
+    main = int(np.bincount(label).argmax())  # a node of the largest cluster
+    for i in range(8, len(sig)):
+        if label[i] != label[main]:
+            look(i)
+    return label
+
+
 def _ties(members: DataFrame, least: float) -> DataFrame:
     """Stars (u, v) of the clusters in each branch of members(branch, node, brief): all pairs of a branch are compared by brief."""
 
@@ -174,7 +193,10 @@ def _ties(members: DataFrame, least: float) -> DataFrame:
             first = np.flatnonzero(np.concatenate([[True], keys[1:] != keys[:-1]]))
             size = np.diff(np.append(first, len(keys)))
             left, right = [np.empty(0, np.int64)], [np.empty(0, np.int64)]
-            for g in np.unique(size[size > 1]):
+            for s, g in zip(first[size > SMALL], size[size > SMALL], strict=True):
+                left.append(s + _dense(sig[s : s + g], least * K))
+                right.append(np.arange(s, s + g))
+            for g in np.unique(size[(size > 1) & (size <= SMALL)]):
                 a, b = np.triu_indices(g, 1)
                 starts = first[size == g]
                 step = max(1, 100_000 // len(a))
@@ -199,7 +221,7 @@ def candidate_ties(nodes: DataFrame, similarity: float, trees: int = TREES) -> D
     """Ties (u, v) between nodes(node, sig, brief), node being a number, that share a branch that ended and could reach the similarity.
 
     A branch that keeps most of its parent's nodes is a family of similar texts, which more branching would only copy: it
-    ends as well, dealt into blocks. Signatures are carried below the first level only for the nodes that get there.
+    ends as well, dealt into pairs of blocks. Signatures are carried below the first level only for the nodes that get there.
     """
     least = similarity - 4 * math.sqrt(similarity * (1 - similarity) / K)
     roots = F.explode(F.array(*(F.lit(t).cast("long") for t in range(trees)))).alias("branch")
@@ -210,13 +232,13 @@ def candidate_ties(nodes: DataFrame, similarity: float, trees: int = TREES) -> D
         kept = settle(rows.drop("parent").join(sizes, "branch"), "branch")
         large, family = F.col("n") > SMALL, F.coalesce(F.col("n") >= FAMILY * F.col("parent"), F.lit(False))
         last = family if depth < DEPTH else F.lit(True)
-        # Blocks of about half a branch that would be compared as a whole, with some eight pivots of the family in each.
-        blocks = F.ceil(F.col("n") / (SMALL // 2)).cast("int")
-        dense = kept.where(large & last).withColumn("blocks", blocks)
-        mine = dense.withColumn("block", F.pmod(F.xxhash64("node", "branch"), F.col("blocks")).cast("int"))
-        pivots = dense.where(F.pmod(F.xxhash64("node", F.lit(13)), F.col("n")) < 8).withColumn("block", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+        # Every pair of blocks of a dense branch is compared, so none of its pairs is left out.
+        dense = kept.where(large & last).withColumn("blocks", F.ceil(F.col("n") / DENSE).cast("int"))
+        dealt = dense.withColumn("block", F.pmod(F.xxhash64("node", "branch"), F.col("blocks")).cast("int"))
+        other = F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("other")
+        units = dealt.select("branch", "node", "block", other).select(F.xxhash64("branch", F.least("block", "other"), F.greatest("block", "other")).alias("branch"), "node")
         ended.append(kept.where(~large).select("branch", "node"))
-        ended.append(mine.unionByName(pivots).select(F.xxhash64("branch", "block").alias("branch"), "node").distinct())
+        ended.append(units)
         more = kept.where(large & ~last)
         if depth == DEPTH or more.isEmpty():
             break

@@ -3,6 +3,7 @@
 import random
 import re
 
+import numpy as np
 import pytest
 
 from gridweave.llm import minhash
@@ -111,3 +112,25 @@ def test_components(spark, monkeypatch, few):
     want = {x: find(x) for x in root if find(x) != x}
     got = {r.u: r.v for r in components(spark.createDataFrame(edges, "u int, v int")).collect()}
     assert got == want
+
+
+def test_pairs_inside_a_template_family(spark, monkeypatch):
+    """Texts that share a passage but aren't near-duplicates, and pairs of near-duplicates among them."""
+    monkeypatch.setattr(minhash, "SMALL", 4)
+    monkeypatch.setattr(minhash, "DEPTH", 1)
+    rng = random.Random(21)
+    template, texts = rng.choices(WORDS, k=150), []
+    for _ in range(150):
+        own = template + rng.choices(WORDS, k=50)
+        texts += [" ".join(own), edited(rng, own, 2)]
+    rows = list(enumerate(texts))
+    assert run(spark, rows, 85) == brute(rows, 85)
+
+
+def test_all_pairs_of_a_dense_branch():
+    rng = np.random.default_rng(8)
+    sig = rng.integers(0, 256, (40, minhash.K)).astype(np.uint8)[rng.integers(0, 40, 300)]
+    sig[rng.random(sig.shape) < 0.1] = 0
+    i, j = np.nonzero(np.triu((sig[:, None] == sig[None]).sum(2) >= 0.7 * minhash.K, 1))
+    want, got = minhash._min_labels(300, i, j), minhash._dense(sig, 0.7 * minhash.K)
+    assert len({*zip(want, got, strict=True)}) == len({*want}) == len({*got})
