@@ -52,6 +52,12 @@ def with_row_id(df: DataFrame, name: str = "_row") -> DataFrame:
     return df.withColumn(name, F.monotonically_increasing_id())
 
 
+def spread(df: DataFrame) -> DataFrame:
+    """df dealt over all cores, if its files make fewer parts than there are cores (few row groups); larger tables stay as they are read."""
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(cores) if df._jdf.queryExecution().toRdd().getNumPartitions() < cores else df
+
+
 def crc_mod(column: str, n: int) -> Column:
     """crc32 of an integer column's decimal text, modulo n; null counts as the empty text."""
     return F.pmod(F.crc32(F.coalesce(F.col(column).cast("string"), F.lit("")).cast("binary")), F.lit(n))

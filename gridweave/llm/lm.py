@@ -1,449 +1,522 @@
 """Scoring of texts by a small causal self-attention model over subword ids, beside an add-one unigram score.
 
 Tokens are the words of a text (A-Z lower-cased) and one end; a word's subwords are the byte-level BPE ids of the word
-with a blank before it, then an end of word. The model is causal self-attention over windows of WINDOW positions. Its
-layers are begun in numpy on a bounded sample of windows and then trained in one distributed pass over all training texts: each
-task takes a copy of a layer through its own rows, and the mean of the copies, by what they learnt from, is the layer.
-
-* the first subword of a word attends to the first subwords of the words before it, the others to the subwords before
-  them in their own word. This mask makes the inside of a word a function of the word, so it is computed once a word, and
-  it lets the two kinds of position have a layer each: one over words, one inside them;
-* a position predicts a class of ids by a softmax, and the id within its class by its share of the counts in all training
-  texts (add one). Frequent ids are classes of their own, the rest are binned by frequency; ids that begin a word and ids
-  that go on with one are never in the same class;
+with a blank before it, so an id that begins a word is told from one inside it, and the ids of a text followed by its end
+are one sequence. A model of one causal self-attention layer gives each id a probability after all ids before it in its window:
+
+* ids have classes: frequent ones a class each, the rest binned by frequency; those that begin a word and those inside
+  one never share a class. MEMBERS classes make a group. A position predicts the group, then the class within it, by two
+  softmaxes of the attention's state; the id within its class follows its share of the counts (add one). Each of the
+  three is a distribution, so their product is one over all ids;
+* both softmaxes and the attention use a piecewise-linear exponential (2 to the whole part, times 1 plus the
+  fraction; one cast of a float to its bits) in place of e to the x, normalised and differentiated as it is: numpy's own
+  exponential would take most of the time;
 * a text is scored in overlapping windows, batched and masked: a window advances by STRIDE and scores its last STRIDE
-  positions, so each token is scored once, with WINDOW - STRIDE words of context at least (but at the text's start).
+  positions, so each id is scored once, with WINDOW - STRIDE ids of context at least (but at the text's start).
 
-Counts of words are gathered from all training texts by a distributed sum. The TOP most frequent words travel with the
-scoring tasks; the counts of all others are joined by a shuffle, so the table of words has no bound.
+Everything the model learns from comes from all training texts. Counts of words are a distributed sum, and ids, pairs of
+neighbouring ids and ends of words follow from it. The model begins as the best approximation of its rank to the log-odds
+of those pairs; then every window of every training text is learnt from once: in each of ROUNDS, which part the texts by a
+hash, each task takes a copy of the model through its own texts by Adam, and the mean of the copies, by what they learnt
+from, is the next model. The TOP most frequent words travel with the scoring tasks; the counts of all others are joined by
+a shuffle, so the table of words has no bound.
 
 Defined results: null and empty texts hold the end alone; words that training lacks count as c = 0 and are scored by
 their subwords; without training texts c and N are 0 and the model is uniform over classes; repeated rows get
-equal scores; an empty table gives an empty one; other columns are not read.
+equal scores, ties need no rule; very long texts are more windows, held a block of texts at a time; an empty table
+gives an empty one; other columns are not read.
 """
 
 from __future__ import annotations
 
 import copy
+import ctypes
 from collections import Counter
-from collections.abc import Callable, Iterator
+from collections.abc import Iterator
 from itertools import chain
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from gridweave.llm import bpe
-from gridweave.llm.common import chunks_by_size, column_bytes, settle, with_row_id, words_of
-
-WINDOW, STRIDE, INPUTS = 32, 24, 4096
-#: Width of the layer over words and of the layer inside words, and their classes.
-WIDTHS, CLASSES = (16, 32), (128, 256)
-#: Words that scoring tasks hold; training documents, windows of each, and steps; words a worker keeps.
-TOP, FIT_DOCS, FIT_WINDOWS, STEPS, KEPT = 400_000, 1_500, 8, (600, 1200), 600_000
-#: The pass over all training texts: its rate, sequences of a batch of either layer, words of each batch of inner ones, and tasks that sum layers.
-RATE, BATCH, FREQUENT, SUMS = 0.002, (128, 512), 128, 16
+from gridweave.llm.common import chunks_by_size, column_bytes, drop_settled, mix64, settle, with_row_id, words_of
+
+WINDOW, STRIDE = 32, 24
+#: Groups of classes, and classes of a group; the first half of the groups is for ids that begin a word.
+GROUPS, MEMBERS = 32, 32
+CLASSES = GROUPS * MEMBERS
+#: Width of the states, and of queries and keys.
+WIDTH, KEYS = 16, 8
+#: Words that scoring tasks hold; words a worker keeps; tasks that sum models.
+TOP, KEPT, SUMS = 400_000, 600_000, 16
+#: Rounds of training: how many of 32 parts of the texts each takes, and its rate. Together they take all.
+ROUNDS = ((1, 0.02), (7, 0.015), (24, 0.01))
+#: Texts that a training task takes at least, and the windows of a batch at most.
+TASK, BATCH = 400, 128
 LN10 = float(np.log(10))
 
 
 class Vocabulary:
-    """Classes, inputs and in-class probabilities of subword ids; the last two ids are the end of a text and of a word.
-
-    kind: 0 for ids that begin a word and the end of a text, 1 for ids inside a word and the end of a word.
-    """
-
-    def __init__(self, counts: np.ndarray, kind: np.ndarray) -> None:
-        n = len(counts)
-        self.cls, self.log_in_class, self.share = np.zeros(n, np.int64), np.zeros(n), []
-        rank = np.empty(n, np.int64)
-        rank[np.lexsort((np.arange(n), -counts))] = np.arange(n)
-        for k, classes in enumerate(CLASSES):
-            own = np.flatnonzero(kind == k)
+    """Classes and in-class probabilities of subword ids; the last id is the end of a text, which counts as one that begins a word."""
+
+    def __init__(self, counts: np.ndarray, inside: np.ndarray) -> None:
+        n, half = len(counts), CLASSES // 2
+        alone = half * 7 // 8
+        self.cls, self.log_in_class = np.zeros(n, np.int64), np.zeros(n)
+        total = np.zeros(CLASSES)
+        for kind in (False, True):
+            own = np.flatnonzero(inside == kind)
             own = own[np.lexsort((own, -counts[own]))]
-            alone = classes * 3 // 4
             mass = np.cumsum(np.sqrt(counts[own[alone:]] + 1.0))
-            cls = np.concatenate([np.arange(alone), alone + np.minimum((mass / mass[-1] * (classes - alone)).astype(np.int64), classes - alone - 1)])
-            size, total = np.bincount(cls, minlength=classes), np.bincount(cls, counts[own], classes)
-            self.cls[own], self.log_in_class[own] = cls, np.log10((counts[own] + 1.0) / (total + size)[cls])
-            self.share.append((total + 1) / (total.sum() + classes))
-        self.input = np.where(rank < INPUTS, rank, INPUTS + self.cls + CLASSES[0] * kind)
-        self.begin = INPUTS + sum(CLASSES)  # the input before a text's first word
+            cls = half * kind + np.concatenate([np.arange(alone), alone + np.minimum((mass / mass[-1] * (half - alone)).astype(np.int64), half - alone - 1)])
+            size, sums = np.bincount(cls, minlength=CLASSES), np.bincount(cls, counts[own], CLASSES)
+            self.cls[own], self.log_in_class[own] = cls, np.log10((counts[own] + 1.0) / (sums + size)[cls])
+            total += sums
+        self.share = (total + 1) / (total.sum() + CLASSES)
+        self.end, self.begins = n - 1, ~inside
 
 
-class Attention:
-    """One causal attention layer with a softmax over classes; forward and backward passes in numpy."""
+def vocabulary(counts: np.ndarray, coder: bpe.ByteBPE) -> Vocabulary:
+    return Vocabulary(counts, np.array([*(not t.startswith(b" ") for t in coder.tokens), False]))
+
+
+#: Bits of a float of each width: the kind of integer, the factor and offset that turn x into the bits of 2 ** (x log2 e), the exponent's mask.
+_BITS = {
+    4: (np.int32, np.float32(2**23 / np.log(2)), np.float32(127 * 2**23), np.int32(0x7F800000)),
+    8: (np.int64, 2**52 / np.log(2), 1023.0 * 2**52, np.int64(0x7FF0000000000000)),
+}
+#: The exponential stays between 2 ** -LIMIT and 2 ** LIMIT, so no sum of it is 0 or infinite.
+LIMIT = 60
+
+
+def _exponential(z: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The piecewise-linear exponential of numbers that have the factor and offset of _BITS already, and its bits."""
+    whole, _, offset, _ = _BITS[z.itemsize]
+    reach = LIMIT * 2.0 ** (23 if z.itemsize == 4 else 52)
+    np.clip(z, offset - reach, offset + reach, out=z)
+    bits = z.astype(whole)
+    return bits.view(z.dtype), bits
+
+
+def _slope(bits: np.ndarray, kind: np.dtype) -> np.ndarray:
+    """The exponential's derivative, but for the factor log2 e; overwrites its bits."""
+    bits &= _BITS[bits.itemsize][3]
+    return bits.view(kind)
 
-    def __init__(self, share: np.ndarray, width: int, seed: int = 11) -> None:
-        rng = np.random.default_rng(seed)
-        draw = lambda *s: (rng.standard_normal(s) * 0.3 / np.sqrt(s[0])).astype(np.float32)
-        self.scale = np.float32(1 / np.sqrt(width))
+
+class Attention:
+    """One causal attention layer under a softmax over groups and one over the classes of a group; both passes in numpy."""
+
+    def __init__(self, share: np.ndarray, pairs: np.ndarray | None = None, seed: int = 11) -> None:
+        """share: of the classes; pairs: weights of (input, class), inputs being the classes and a text's begin."""
+        rng, d = np.random.default_rng(seed), WIDTH
+        by_group = share.reshape(GROUPS, MEMBERS)
+        in_group = by_group / by_group.sum(1, keepdims=True)
+        states, outputs = rng.standard_normal((CLASSES + 1, d)) * 0.3, rng.standard_normal((d, CLASSES)) * 0.1
+        if pairs is not None and pairs.any():
+            seen = pairs.sum(1, keepdims=True)
+            odds = np.log((pairs + 20 * share) / (seen + 20)) - np.log(share)
+            rows, columns = np.sqrt(seen + seen.mean() / 100 + 1), np.sqrt(share + 0.1 / CLASSES)  # rare ones weigh a little, so none is off by much
+            u, s, v = np.linalg.svd((odds * rows * columns).astype(np.float32), full_matrices=False)
+            states, outputs = u[:, :d] * s[:d] / rows, v[:d] / columns
+            size = 2 * max(float(np.abs(states).mean()), 1e-6)
+            states, outputs = states / size, outputs * size
+        outputs = outputs.reshape(d, GROUPS, MEMBERS)
         self.p = {
-            "emb": (rng.standard_normal((INPUTS + sum(CLASSES) + 1, width)) * 0.1).astype(np.float32),
-            "pos": (rng.standard_normal((WINDOW, width)) * 0.02).astype(np.float32),
-            "q": draw(width, width), "k": draw(width, width), "v": draw(width, width),
-            "u": draw(width, len(share)), "b": np.log(share).astype(np.float32),
+            "emb": states, "pos": rng.standard_normal((WINDOW, d)) * 0.02, "qkv": rng.standard_normal((d, 2 * KEYS + d)) * 0.5 / np.sqrt(d),
+            "u1": (outputs * in_group).sum(2), "b1": np.log(by_group.sum(1)), "u2": outputs.transpose(1, 0, 2), "b2": np.log(in_group),
         }
+        self.p = {k: np.ascontiguousarray(v, np.float32) for k, v in self.p.items()}
 
     def hidden(self, ids: np.ndarray) -> tuple:
         """States after the inputs ids (n, t), last of what the backward pass needs."""
-        p, t = self.p, ids.shape[1]
-        x = p["emb"][ids] + p["pos"][:t]
-        q, k, v = x @ p["q"], x @ p["k"], x @ p["v"]
-        a = (q * self.scale) @ k.transpose(0, 2, 1)
-        a += np.triu(np.full((t, t), -1e9, np.float32), 1)
-        if a.max(initial=0) > 60:  # else no exponential can overflow
-            a -= a.max(2, keepdims=True)
-        np.exp(a, out=a)
-        a /= (a @ np.ones(t, np.float32))[:, :, None]
-        return x, q, k, v, a, x + a @ v
+        p, (n, t) = self.p, ids.shape
+        kind = p["emb"].dtype
+        _, factor, offset, _ = _BITS[kind.itemsize]
+        x = p["emb"].take(ids, 0)
+        x += p["pos"][:t]
+        m = (x.reshape(n * t, WIDTH) @ p["qkv"]).reshape(n, t, -1)
+        q, k, v = m[..., :KEYS], m[..., KEYS : 2 * KEYS], m[..., 2 * KEYS :]
+        z = (q * (factor * kind.type(KEYS**-0.5))) @ k.transpose(0, 2, 1)
+        z += offset
+        a, bits = _exponential(z)
+        a *= np.tri(t, dtype=kind)
+        total = (a @ np.ones(t, kind))[:, :, None]
+        h = a @ v
+        h /= total
+        h += x
+        return x, q, k, v, a, bits, total, h
+
+    def _softmaxes(self, h: np.ndarray, cls: np.ndarray) -> tuple:
+        """Of the group, and of the class in it with rows in order of groups: (values, bits, sums, own places); and that order."""
+        p, n = self.p, len(cls)
+        _, factor, offset, _ = _BITS[h.itemsize]
+        group, at = (cls // MEMBERS).astype(np.uint8), np.arange(n)
+        order = np.argsort(group, kind="stable")
+        cut = np.append(0, np.cumsum(np.bincount(group, minlength=GROUPS))).tolist()
+        z = h @ (p["u1"] * factor)
+        z += p["b1"] * factor + offset
+        first = (*_exponential(z), (at, group))
+        sorted_h, u2, z = h.take(order, 0), p["u2"] * factor, np.empty((n, MEMBERS), h.dtype)
+        for g in range(GROUPS):
+            lo, hi = cut[g], cut[g + 1]
+            if lo < hi:
+                np.matmul(sorted_h[lo:hi], u2[g], out=z[lo:hi])
+        z += (p["b2"] * factor + offset).take(group.take(order), 0)
+        second = (*_exponential(z), (at, (cls % MEMBERS).take(order)))
+        return [(e, bits, e @ np.ones(e.shape[1], e.dtype), own) for e, bits, own in (first, second)], order, cut, sorted_h
 
     def log_classes(self, h: np.ndarray, cls: np.ndarray) -> np.ndarray:
-        """Natural log of the probabilities of the classes cls (m,) after states h (m, width)."""
-        z = h @ self.p["u"]
-        z += self.p["b"]
-        if z.size and z.max() > 60:  # else no exponential can overflow
-            z -= z.max(1, keepdims=True)
-        own = z[np.arange(len(cls)), cls]
-        np.exp(z, out=z)
-        return own - np.log(z @ np.ones(z.shape[1], np.float32))
-
-    def gradients(self, ids: np.ndarray, cls: np.ndarray, on: np.ndarray, n: float | None = None) -> tuple[float, dict]:
-        """Mean loss over the positions where `on` (or its sum by the weights `on`, over n), and its gradients."""
-        p, (x, q, k, v, a, h) = self.p, self.hidden(ids)
-        n = n or max(int(on.sum()), 1)
-        flat = lambda m: m.reshape(-1, m.shape[-1])
-        dz = flat(h) @ p["u"]
-        dz += p["b"]
-        if dz.max(initial=0) > 60:  # else no exponential can overflow
-            dz -= dz.max(1, keepdims=True)
-        at, weight, own = np.arange(len(dz)), (on.ravel() / n).astype(dz.dtype), cls.ravel()
-        z = dz[at, own]
-        np.exp(dz, out=dz)
-        total = dz @ np.ones(dz.shape[1], dz.dtype)
-        loss = float(((np.log(total) - z) * weight).sum(dtype=np.float64))
-        dz *= (weight / total)[:, None]
-        dz[at, own] -= weight
-        g = {"u": flat(h).T @ dz, "b": np.ones(len(dz), dz.dtype) @ dz}
-        dh = (dz @ p["u"].T).reshape(h.shape)
-        da, dv = dh @ v.transpose(0, 2, 1), a.transpose(0, 2, 1) @ dh
-        ds = a * (da - (da * a).sum(2, keepdims=True)) * self.scale
-        dq, dk = ds @ k, ds.transpose(0, 2, 1) @ q
-        dx = dh + dq @ p["q"].T + dk @ p["k"].T + dv @ p["v"].T
-        g |= {"q": flat(x).T @ flat(dq), "k": flat(x).T @ flat(dk), "v": flat(x).T @ flat(dv)}
-        g["emb"] = np.stack([np.bincount(ids.ravel(), column, len(p["emb"])) for column in flat(dx).T], 1).astype(dx.dtype)
+        """Natural log of the probabilities of the classes cls (m,) after states h (m, WIDTH)."""
+        (one, two), order, _, _ = self._softmaxes(h, cls)
+        share = one[0][one[3]] / one[2]
+        share[order] *= two[0][two[3]] / two[2]
+        return np.log(share)
+
+    def gradients(self, ids: np.ndarray, cls: np.ndarray, on: np.ndarray) -> tuple[float, dict]:
+        """Mean loss over the positions where `on`, and its gradients."""
+        p, (n, t) = self.p, ids.shape
+        kind = p["emb"].dtype
+        log2e = kind.type(1 / np.log(2))
+        x, q, k, v, a, a_bits, a_total, h = self.hidden(ids)
+        flat, x = h.reshape(n * t, WIDTH), x.reshape(n * t, WIDTH)
+        softmaxes, order, cut, sorted_h = self._softmaxes(flat, cls.ravel())
+        weight = (on.ravel() / max(int(on.sum()), 1)).astype(kind)
+        loss, dz = 0.0, []
+        for (e, bits, total, own), w in zip(softmaxes, (weight, weight.take(order)), strict=True):
+            ours = e[own]
+            loss -= float((np.log(ours / total) * w).sum(dtype=np.float64))
+            w = w * log2e
+            d = _slope(bits, kind)
+            less = d[own] / ours * w
+            d *= (w / total)[:, None]
+            d[own] -= less
+            dz.append(d)
+        ones = np.ones(n * t, kind)
+        g = {"u1": flat.T @ dz[0], "b1": ones @ dz[0], "u2": np.zeros_like(p["u2"]), "b2": np.zeros_like(p["b2"])}
+        back = np.empty_like(sorted_h)
+        for i in range(GROUPS):
+            lo, hi = cut[i], cut[i + 1]
+            if lo < hi:
+                g["u2"][i], g["b2"][i] = sorted_h[lo:hi].T @ dz[1][lo:hi], ones[lo:hi] @ dz[1][lo:hi]
+                np.matmul(dz[1][lo:hi], p["u2"][i].T, out=back[lo:hi])
+        dh = dz[0] @ p["u1"].T
+        dh[order] += back
+        dn = dh.reshape(h.shape) / a_total
+        dm, da = np.empty((n, t, 2 * KEYS + WIDTH), kind), dn @ v.transpose(0, 2, 1)
+        np.matmul(a.transpose(0, 2, 1), dn, out=dm[..., 2 * KEYS :])
+        da -= ((a * da) @ np.ones(t, kind))[:, :, None] / a_total
+        da *= _slope(a_bits, kind)  # 0 where a is masked: there the bits are 0
+        da *= log2e * kind.type(KEYS**-0.5)
+        np.matmul(da, k, out=dm[..., :KEYS])
+        np.matmul(da.transpose(0, 2, 1), q, out=dm[..., KEYS : 2 * KEYS])
+        dm = dm.reshape(n * t, -1)
+        dx = dm @ p["qkv"].T
+        dx += dh
+        g["qkv"] = x.T @ dm
+        places = ids.reshape(-1, 1) * WIDTH + np.arange(WIDTH)
+        g["emb"] = np.bincount(places.ravel(), dx.ravel(), p["emb"].size).reshape(p["emb"].shape).astype(kind)
         g["pos"] = np.zeros_like(p["pos"])
-        g["pos"][: ids.shape[1]] = dx.sum(0)
+        g["pos"][:t] = dx.reshape(n, t, WIDTH).sum(0)
         return loss, g
 
-    def fit(self, rows: tuple, steps: int, batch: int, rate: float = 0.015, seed: int = 3) -> list[float]:
-        """Adam over random batches of the sequences rows: (ids, classes, on)."""
-        ids, cls, on = rows
-        rng = np.random.default_rng(seed)
-        m, s, losses = {k: np.zeros_like(v) for k, v in self.p.items()}, {k: np.zeros_like(v) for k, v in self.p.items()}, []
-        for step in range(1, steps + 1 if len(ids) else 1):
-            pick = rng.integers(0, len(ids), batch)
-            loss, g = self.gradients(ids[pick], cls[pick], on[pick])
-            losses.append(loss)
-            now = rate * min(1.0, 2 * (1 - step / (steps + 1)))
-            for k, v in g.items():
-                m[k] += 0.1 * (v - m[k])
-                s[k] += 0.01 * (v * v - s[k])
-                self.p[k] -= now * (m[k] / (1 - 0.9**step)) / (np.sqrt(s[k] / (1 - 0.99**step)) + 1e-8)
-        return losses
-
-    def follow(self, batches: Iterator[tuple]) -> float:
-        """One pass of Adam over batches (ids, classes, weights, scale), at the rate RATE; returns the sum of the weights."""
-        m, s, learnt = {k: np.zeros_like(v) for k, v in self.p.items()}, {k: np.zeros_like(v) for k, v in self.p.items()}, 0.0
-        for step, (ids, cls, on, n) in enumerate(batches, 1):
-            learnt += float(on.sum(dtype=np.float64))
-            for k, v in self.gradients(ids, cls, on, n)[1].items():
+    def follow(self, batches: Iterator[tuple], rate: float) -> int:
+        """One pass of Adam over batches (ids, classes, on); returns the number of positions learnt from."""
+        m, s, learnt = {k: np.zeros_like(v) for k, v in self.p.items()}, {k: np.zeros_like(v) for k, v in self.p.items()}, 0
+        for step, (ids, cls, on) in enumerate(batches, 1):
+            learnt += int(on.sum())
+            now = np.float32(rate * np.sqrt(1 - 0.99**step) / (1 - 0.9**step))
+            for k, v in self.gradients(ids, cls, on)[1].items():
                 m[k] += 0.1 * (v - m[k])
                 s[k] += 0.01 * (v * v - s[k])
-                self.p[k] -= RATE * (m[k] / (1 - 0.9**step)) / (np.sqrt(s[k] / (1 - 0.99**step)) + 1e-8)
+                self.p[k] -= now * m[k] / (np.sqrt(s[k]) + 1e-8)
         return learnt
 
 
-def windows(lengths: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """(sequence, start, first scored, end) of the overlapping windows over sequences of these lengths, all above 0."""
-    n = 1 + np.maximum(0, -(-(lengths - WINDOW) // STRIDE))
+def windows(lengths: np.ndarray, stride: int = STRIDE) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """(sequence, start, first scored, end) of the windows over sequences of these lengths, all above 0; overlapping if stride < WINDOW."""
+    n = 1 + np.maximum(0, -(-(lengths - WINDOW) // stride))
     seq = np.repeat(np.arange(len(lengths)), n)
     k = np.arange(len(seq)) - np.repeat(np.cumsum(n) - n, n)
-    start = k * STRIDE
-    return seq, start, np.where(k > 0, start + WINDOW - STRIDE, 0), np.minimum(start + WINDOW, lengths[seq])
-
-
-class Scorer:
-    """Log10 probabilities of texts; keeps what it knows of words, up to a bound."""
-
-    def __init__(self, vocabulary: Vocabulary, layers: tuple[Attention, Attention], coder: bpe.ByteBPE, counts: dict[bytes, int] | None = None) -> None:
-        self.voc, self.layers, self.coder, self.counts = vocabulary, layers, coder, counts or {}
-        self.end, self.end_of_word = len(vocabulary.cls) - 2, len(vocabulary.cls) - 1
-        self.forget()
-
-    def forget(self) -> None:
-        self.slot: dict[bytes, int] = {}
-        self.input, self.cls = np.empty(0, np.int32), np.empty(0, np.int32)
-        self.inside, self.log_count = np.empty(0), np.empty(0)
-
-    def sequence_scores(self, ids: np.ndarray, cls: np.ndarray, lengths: np.ndarray, inner: int, block: int = 256) -> np.ndarray:
-        """Sum of log10 class probabilities of each sequence, over words or inside them; ids and cls hold inputs and targets one after another."""
-        layer, out, begin = self.layers[inner], np.zeros(len(lengths)), np.cumsum(lengths) - lengths
-        seq, start, scored, end = windows(lengths)
-        order = np.argsort(end - start, kind="stable")  # windows of like length share a batch
-        for i in range(0, len(order), block):
-            own = order[i : i + block]
-            t = int((end - start)[own].max())
-            at = start[own][:, None] + np.arange(t)
-            here = np.minimum(at, lengths[seq[own]][:, None] - 1) + begin[seq[own]][:, None]
-            h = layer.hidden(ids[here])[-1]
-            r, c = np.nonzero((at >= scored[own][:, None]) & (at < end[own][:, None]))
-            got = layer.log_classes(h[r, c], cls[here[r, c]])
-            out += np.bincount(seq[own][r], got.astype(np.float64), len(lengths))
-        return out / LN10
-
-    def learn(self, words: set[bytes]) -> None:
-        new = list(words.difference(self.slot))
-        if len(self.slot) + len(new) > KEPT:
-            self.forget()
-            new = list(words)
-        if not new:
-            return
-        voc = self.voc
-        ids, n = self.coder.encode_flat([b" " + w for w in new])
-        first = np.cumsum(n) - n
-        target = np.append(ids[1:], 0)
-        target[first + n - 1] = self.end_of_word
-        inside = self.sequence_scores(voc.input[ids], voc.cls[target], n, 1)
-        inside += np.add.reduceat(voc.log_in_class[target], first) + voc.log_in_class[ids[first]]
-        self.slot.update(zip(new, range(len(self.slot), len(self.slot) + len(new)), strict=True))
-        self.input = np.append(self.input, voc.input[ids[first]].astype(np.int32))
-        self.cls = np.append(self.cls, voc.cls[ids[first]].astype(np.int32))
-        self.inside = np.append(self.inside, inside)
-        get = self.counts.get
-        n = np.fromiter((get(w, 0) for w in new), np.float64, len(new))
-        self.log_count = np.append(self.log_count, np.where(n > 0, np.log10(n + 1), np.nan))
-
-    def score(self, texts: list[bytes | None]) -> Iterator[tuple[int, int, float, float, list[tuple[bytes, int]]]]:
-        """Of each text: words, words known here, the sum of log10(c + 1) over them, the model's score, and the other words with their numbers."""
-        for part in chunks_by_size(texts, 1_500_000):
-            words = [words_of(t) for t in texts[part]]
-            self.learn(set().union(*words))
-            lengths = np.array([len(w) for w in words], np.int64)
-            slots = np.fromiter(map(self.slot.__getitem__, chain.from_iterable(words)), np.int64, int(lengths.sum()))
-            first, last = np.cumsum(lengths + 1) - lengths - 1, np.cumsum(lengths + 1) - 1
-            place = np.arange(len(slots)) + np.repeat(np.arange(len(words)), lengths)
-            ids, cls = np.full(int(last[-1]) + 1, self.voc.begin, np.int64), np.full(int(last[-1]) + 1, self.voc.cls[self.end], np.int64)
-            ids[place + 1], cls[place] = self.input[slots], self.cls[slots]
-            ids[first] = self.voc.begin
-            text = np.repeat(np.arange(len(words)), lengths)
-            total = self.sequence_scores(ids, cls, lengths + 1, 0) + np.bincount(text, self.inside[slots], len(words)) + self.voc.log_in_class[self.end]
-            logs = self.log_count[slots]
-            known = ~np.isnan(logs)
-            n_known, base = np.bincount(text[known], minlength=len(words)), np.bincount(text[known], logs[known], len(words))
-            ends = np.cumsum(lengths)
-            for i, own in enumerate(words):
-                lo, hi = ends[i] - lengths[i], ends[i]
-                other = [own[j] for j in np.flatnonzero(~known[lo:hi])] if n_known[i] < lengths[i] else []
-                yield len(own), int(n_known[i]), float(base[i]), float(total[i]), list(Counter(other).items())
-
-
-def word_counts(docs: DataFrame) -> DataFrame:
-    """word (binary) and n over all texts; each task sums its own words first."""
+    start = k * stride
+    return seq, start, np.where(k > 0, start + WINDOW - stride, 0), np.minimum(start + WINDOW, lengths[seq])
+
+
+class Words(dict):
+    """Slots of words in the order they are met, and their subword ids."""
+
+    def __init__(self, coder: bpe.ByteBPE) -> None:
+        super().__init__()
+        self.coder, self.new = coder, []
+        self.ids, self.start, self.size = np.empty(0, np.int32), np.empty(0, np.int64), np.empty(0, np.int64)
+
+    def __missing__(self, word: bytes) -> int:
+        self.new.append(b" " + word)
+        slot = self[word] = len(self)
+        return slot
+
+    def slots(self, words: list[list[bytes]]) -> np.ndarray:
+        out = np.fromiter(map(self.__getitem__, chain.from_iterable(words)), np.int64)
+        if self.new:
+            ids, n = self.coder.encode_flat(self.new)
+            self.start = np.append(self.start, len(self.ids) + np.cumsum(n) - n)
+            self.ids, self.size, self.new = np.append(self.ids, ids), np.append(self.size, n), []
+        return out
+
+    def expand(self, slots: np.ndarray) -> np.ndarray:
+        """The ids of the words in these slots, one after another."""
+        size = self.size[slots]
+        return self.ids[np.arange(int(size.sum())) - np.repeat(np.cumsum(size) - size - self.start[slots], size)]
+
+
+def _id_type(coder: bpe.ByteBPE) -> type:
+    """Ids are kept as bytes of this type, in the machine's order."""
+    return np.uint16 if len(coder.tokens) <= 2**16 else np.uint32
+
+
+def _binary(values: np.ndarray, sizes: np.ndarray) -> pa.Array:
+    """A binary column of so many values each."""
+    offsets = np.append(0, np.cumsum(sizes) * values.itemsize).astype(np.int64)
+    return pa.Array.from_buffers(pa.large_binary(), len(sizes), [None, pa.py_buffer(offsets), pa.py_buffer(np.ascontiguousarray(values))]).cast(pa.binary())
+
+
+def _unbinary(col: pa.Array, kind: type) -> tuple[np.ndarray, np.ndarray]:
+    """The values of a binary column, one after another, and how many each row has."""
+    col = col.cast(pa.large_binary())
+    offsets = np.frombuffer(col.buffers()[1], np.int64, len(col) + 1, col.offset * 8)
+    size = np.dtype(kind).itemsize
+    values = np.frombuffer(col.buffers()[2] or b"", kind, int(offsets[-1] - offsets[0]) // size, int(offsets[0])) if len(col) else np.empty(0, kind)
+    return values.astype(np.int64), np.diff(offsets) // size
+
+
+def encoded(docs: DataFrame, usable: Column, path: str, pattern: str) -> DataFrame:
+    """One pass over all texts: a row a text (doc_id, learns, ids of its words, words: how many), and rows (word, n), which
+    count the words of texts where `usable` holds, each task's own ones first; a word is its ids."""
+    schema = "doc_id long, learns boolean, ids binary, words long, word binary, n long"
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        def out() -> pa.RecordBatch:
-            return pa.RecordBatch.from_arrays([pa.array(list(seen), pa.binary()), pa.array(list(seen.values()), pa.int64())], names=["word", "n"])
+        coder = bpe.load(path, pattern)
+        kind, words, count = _id_type(coder), Words(coder), np.zeros(0, np.int64)
+
+        def counted() -> pa.RecordBatch:
+            n, none = len(words), lambda t: pa.nulls(len(words), t)
+            rows = [none(pa.int64()), none(pa.bool_()), none(pa.binary()), none(pa.int64()), _binary(words.ids.astype(kind), words.size), pa.array(count, pa.int64())]
+            return pa.RecordBatch.from_arrays(rows, names=["doc_id", "learns", "ids", "words", "word", "n"]).filter(pa.array(count > 0) if n else pa.array([], pa.bool_()))
 
-        seen: Counter = Counter()
         for b in batches:
-            for t in column_bytes(b, "text"):
-                seen.update(words_of(t))
-                if len(seen) > KEPT:
-                    yield out()
-                    seen = Counter()
-        yield out()
+            texts, learns = column_bytes(b, "text"), np.array(b.column(2).to_pylist(), bool)
+            for part in chunks_by_size(texts, 6_000_000):
+                if len(words) > KEPT:
+                    yield counted()
+                    words, count = Words(coder), np.zeros(0, np.int64)
+                of = [words_of(t) for t in texts[part]]
+                slots, lengths = words.slots(of), np.array([len(w) for w in of], np.int64)
+                more = np.bincount(slots[np.repeat(learns[part], lengths)], minlength=len(words))
+                more[: len(count)] += count
+                count, ends = more, np.append(0, np.cumsum(words.size[slots]))[np.cumsum(lengths)]
+                own, none = b.slice(part.start, len(of)), lambda t, n=len(of): pa.nulls(n, t)
+                rows = [own.column(0), own.column(2), _binary(words.expand(slots).astype(kind), np.diff(ends, prepend=0)), pa.array(lengths), none(pa.binary()), none(pa.int64())]
+                yield pa.RecordBatch.from_arrays(rows, names=["doc_id", "learns", "ids", "words", "word", "n"])
+        yield counted()
+
+    return docs.select("doc_id", "text", F.coalesce(usable, F.lit(False)).alias("learns")).mapInArrow(run, schema)
+
+
+def _inputs(cls: np.ndarray, lengths: np.ndarray) -> np.ndarray:
+    """The inputs before each position: the class before it, or the begin of a text."""
+    out = np.empty_like(cls)
+    out[1:] = cls[:-1]
+    out[np.cumsum(lengths) - lengths] = CLASSES
+    return out
+
+
+def _word_keys(ids: np.ndarray, first: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Two 64-bit keys of each word; ids holds the words one after another, `first` where each begins."""
+    place = (np.arange(len(ids)) - np.repeat(first, np.diff(first, append=len(ids)))).astype(np.uint64)
+    spot = (place << np.uint64(32)) | ids.astype(np.uint64)
+    return tuple(np.add.reduceat(mix64(spot ^ salt), first) if len(first) else np.empty(0, np.uint64) for salt in (_SALT, ~_SALT))
+
+
+_SALT = np.uint64(0x9E3779B97F4A7C15)
+
+
+class Counts:
+    """log10(c + 1) of the words that travel with the scoring tasks."""
+
+    def __init__(self, ids: np.ndarray, sizes: np.ndarray, n: np.ndarray) -> None:
+        one, two = _word_keys(ids, np.cumsum(sizes) - sizes)
+        order = np.argsort(one)
+        self.one, self.two, self.log = one[order], two[order], np.log10(n[order] + 1.0)
+
+    def find(self, ids: np.ndarray, first: np.ndarray) -> np.ndarray:
+        """Of each word; NaN for those that are not here."""
+        one, two = _word_keys(ids, first)
+        if not len(self.one):
+            return np.full(len(one), np.nan)
+        at = np.minimum(np.searchsorted(self.one, one), len(self.one) - 1)
+        return np.where((self.one[at] == one) & (self.two[at] == two), self.log[at], np.nan)
+
+
+def sequence_scores(voc: Vocabulary, model: Attention, ids: np.ndarray, lengths: np.ndarray, block: int = 128) -> np.ndarray:
+    """Log10 probability of each sequence of at least one id; ids holds them one after another."""
+    cls = voc.cls[ids]
+    inputs, begin = _inputs(cls, lengths), np.cumsum(lengths) - lengths
+    out = np.add.reduceat(voc.log_in_class[ids], begin) * LN10
+    seq, start, scored, end = windows(lengths)
+    order = np.argsort(end - start, kind="stable")  # windows of like length share a batch
+    for i in range(0, len(order), block):
+        own = order[i : i + block]
+        t = int((end - start)[own].max())
+        at = start[own][:, None] + np.arange(t)
+        here = np.minimum(at, lengths[seq[own]][:, None] - 1) + begin[seq[own]][:, None]
+        h = model.hidden(inputs[here])[-1]
+        on = (at >= scored[own][:, None]) & (at < end[own][:, None])
+        got = model.log_classes(h[on], cls[here[on]])
+        out += np.bincount(np.repeat(seq[own], on.sum(1)), got.astype(np.float64), len(lengths))
+    return out / LN10
 
-    return docs.select("text").mapInArrow(run, "word binary, n long").groupBy("word").agg(F.sum("n").alias("n"))
 
+def closed(ids: np.ndarray, sizes: np.ndarray, end: int) -> tuple[np.ndarray, np.ndarray]:
+    """Sequences with an end each."""
+    return np.insert(ids, np.cumsum(sizes), end), sizes + 1
 
-def subword_counts(counts: DataFrame, path: str, pattern: str) -> np.ndarray:
-    """How often all training texts hold each id; the table that reaches the driver has a row an id."""
+
+def subword_counts(counts: DataFrame, n_docs: int, path: str, pattern: str) -> np.ndarray:
+    """How often all training texts hold each id, the end of a text last; the table that reaches the driver has a row an id."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         coder = bpe.load(path, pattern)
         total = np.zeros(len(coder.tokens), np.int64)
         for b in batches:
-            found, n = coder.encode_flat([b" " + w for w in b.column(0).to_pylist()])
+            found, n = _unbinary(b.column(0), _id_type(coder))
             total += np.bincount(found, np.repeat(b.column(1).to_numpy(), n), len(total)).astype(np.int64)
         ids = np.flatnonzero(total)
         yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(total[ids], pa.int64())], names=["id", "n"])
 
     rows = counts.select("word", "n").mapInArrow(run, "id long, n long").groupBy("id").agg(F.sum("n").alias("n")).toPandas()
-    out = np.zeros(len(bpe.load(path, pattern).tokens) + 2, np.float64)
+    out = np.zeros(len(bpe.load(path, pattern).tokens) + 1, np.float64)
     out[rows["id"].to_numpy(np.int64)] = rows["n"].to_numpy(np.float64)
+    out[-1] = n_docs
     return out
 
 
-def _sample_windows(docs: DataFrame, n_docs: int) -> list[list[bytes]]:
-    """Up to FIT_WINDOWS windows of words of some FIT_DOCS texts; the first begins with its text, the last word of a text is followed by b''."""
-    share = min(1.0, FIT_DOCS / max(n_docs, 1))
-    some = docs.where(F.pmod(F.xxhash64("doc_id"), F.lit(1 << 40)) < int(share * (1 << 40)))
+def pair_counts(counts: DataFrame, voc: Vocabulary, path: str, pattern: str) -> np.ndarray:
+    """Weights of (input, class): pairs within words as often as they occur; after a word's last id, and at a text's begin,
+    the classes that begin a word by their share. At most a row a pair of classes reaches the driver."""
+    shared = counts.sparkSession.sparkContext.broadcast(voc)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        coder, voc = bpe.load(path, pattern), shared.value
+        total = np.zeros(CLASSES * (CLASSES + 1))  # of each class, the classes after it, and how often a word ends with it
         for b in batches:
-            out = []
-            for t in column_bytes(b, "text"):
-                words = [b"\n", *words_of(t), b""]
-                starts = range(0, max(1, len(words) - 1), WINDOW)
-                step = max(1, -(-len(starts) // FIT_WINDOWS))
-                out += [words[k : k + WINDOW + 1] for k in starts[::step]]
-            yield pa.RecordBatch.from_arrays([pa.array(out, pa.list_(pa.binary()))], names=["words"])
-
-    rows = some.select("text").mapInArrow(run, "words array<binary>").toPandas()["words"]
-    return sorted(list(map(bytes, r)) for r in rows)
-
-
-def _pieces(lengths: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(sequence, start, length) of the windows, end to end, over sequences of these lengths: each position is in one."""
-    n = -(-lengths // WINDOW)
-    seq = np.repeat(np.arange(len(lengths)), n)
-    start = (np.arange(len(seq)) - np.repeat(np.cumsum(n) - n, n)) * WINDOW
-    return seq, start, np.minimum(WINDOW, lengths[seq] - start)
-
-
-def _padded(ids: np.ndarray, cls: np.ndarray, at: np.ndarray, size: np.ndarray, weight: np.ndarray) -> tuple:
-    """(ids, classes, weights) as matrices of the windows that begin `at` and have these sizes and weights."""
-    t = np.arange(int(size.max()))
-    here = at[:, None] + np.minimum(t, size[:, None] - 1)
-    return ids[here], cls[here], (t < size[:, None]) * weight[:, None].astype(np.float32)
-
-
-def _text_batches(batches: Iterator[pa.RecordBatch], voc: Vocabulary, coder: bpe.ByteBPE) -> Iterator[tuple]:
-    """Batches for the layer over words that hold every word and every end of all texts once."""
-    slot: dict[bytes, int] = {}
-    first, rng, end = np.empty(0, np.int64), np.random.default_rng(5), len(voc.cls) - 2
-    for b in batches:
-        texts = column_bytes(b, "text")
-        for part in chunks_by_size(texts, 6_000_000):
-            words = [words_of(t) for t in texts[part]]
-            distinct = set().union(*words)
-            if len(slot) + len(distinct) > KEPT:
-                slot, first = {}, np.empty(0, np.int64)
-            if new := list(distinct.difference(slot)):
-                slot.update(zip(new, range(len(slot), len(slot) + len(new)), strict=True))
-                ids, n = coder.encode_flat([b" " + w for w in new])
-                first = np.append(first, ids[np.cumsum(n) - n])
-            lengths = np.array([len(w) for w in words], np.int64) + 1
-            begin = np.cumsum(lengths) - lengths
-            flat = np.full(int(lengths.sum()), end, np.int64)
-            inside = np.ones(len(flat), bool)
-            inside[begin + lengths - 1] = False
-            flat[inside] = first[np.fromiter(map(slot.__getitem__, chain.from_iterable(words)), np.int64, int(inside.sum()))]
-            before = np.append(0, voc.input[flat[:-1]])
-            before[begin] = voc.begin
-            seq, start, size = _pieces(lengths)
-            order = np.argsort(size, kind="stable")
-            for k in rng.permutation(range(0, len(order), BATCH[0])):
-                own = order[k : k + BATCH[0]]
-                yield *_padded(before, voc.cls[flat], begin[seq[own]] + start[own], size[own], np.ones(len(own))), BATCH[0] * WINDOW
-
-
-def _word_batches(batches: Iterator[pa.RecordBatch], voc: Vocabulary, coder: bpe.ByteBPE) -> Iterator[tuple]:
-    """Batches for the layer inside words: each distinct word by its number, the most frequent ones a share of it in every batch."""
-    rng = np.random.default_rng(6)
+            ids, n = _unbinary(b.column(0), _id_type(coder))
+            if not len(n):
+                continue
+            cls, last = voc.cls[ids], np.cumsum(n) - 1
+            after = np.append(cls[1:], CLASSES)
+            after[last] = CLASSES
+            total += np.bincount(cls * (CLASSES + 1) + after, np.repeat(b.column(1).to_numpy(), n), len(total))
+        at = np.flatnonzero(total)
+        yield pa.RecordBatch.from_arrays([pa.array(at), pa.array(total[at].astype(np.int64))], names=["pair", "n"])
+
+    rows = counts.select("word", "n").mapInArrow(run, "pair long, n long").groupBy("pair").agg(F.sum("n").alias("n")).toPandas()
+    total = np.zeros(CLASSES * (CLASSES + 1))
+    total[rows["pair"].to_numpy(np.int64)] = rows["n"].to_numpy(np.float64)
+    total = total.reshape(CLASSES, CLASSES + 1)
+    begins = voc.share * (np.arange(CLASSES) < CLASSES // 2)
+    return np.vstack([total[:, :-1] + total[:, -1:] * begins / begins.sum(), total[:, -1].sum() * begins / begins.sum()])
+
+
+def text_batches(batches: Iterator[pa.RecordBatch], voc: Vocabulary, kind: type, size: int) -> Iterator[tuple]:
+    """Batches of windows, end to end, that hold every id and every end of all texts once."""
+    rng = np.random.default_rng(5)
     for b in batches:
         if not b.num_rows:
             continue
-        count = b.column(1).to_numpy().astype(np.float64)
-        ids, n = coder.encode_flat([b" " + w for w in b.column(0).to_pylist()])
-        begin = np.cumsum(n) - n
-        target = np.append(ids[1:], 0)
-        target[begin + n - 1] = len(voc.cls) - 1
-        seq, start, size = _pieces(n)
-        rest = np.lexsort((size, -count[seq]))
-        often, rest = rest[:FREQUENT], rest[FREQUENT:]
-        rest = rest[np.argsort(size[rest], kind="stable")]
-        parts = max(1, -(-len(rest) // BATCH[1]))
-        weight = count[seq]
-        weight[often] /= parts
-        scale = float((count[seq] * size).sum()) / parts
-        for k in rng.permutation(parts):
-            own = np.concatenate([often, rest[k * BATCH[1] : (k + 1) * BATCH[1]]])
-            yield *_padded(voc.input[ids], voc.cls[target], begin[seq[own]] + start[own], size[own], weight[own]), scale
-
-
-def _learn_all(rows: DataFrame, layer: Attention, made: Callable, voc: Vocabulary, path: str, pattern: str) -> float:
-    """Trains `layer` on all rows: each task takes a copy through its own rows, the copies' mean by what they learnt from stays. Returns the sum of the weights."""
-    names, shared = sorted(layer.p), rows.sparkSession.sparkContext.broadcast((layer, voc))
+        ids, lengths = closed(*_unbinary(b.column(0), kind), voc.end)
+        cls, begin = voc.cls[ids], np.cumsum(lengths) - lengths
+        inputs = _inputs(cls, lengths)
+        seq, start, _, end = windows(lengths, WINDOW)
+        order = np.lexsort((rng.random(len(seq)), end - start))  # windows of like length share a batch
+        for k in rng.permutation(range(0, len(order), size)):
+            own = order[k : k + size]
+            n = (end - start)[own]
+            t = np.arange(int(n.max()))
+            here = (begin[seq[own]] + start[own])[:, None] + np.minimum(t, n[:, None] - 1)
+            yield inputs[here], cls[here], t < n[:, None]
+
+
+def _keep_memory() -> None:
+    """Lets this worker keep the memory that numpy frees, up to 256 MB: handing it back and asking again takes as long as the arithmetic."""
+    try:
+        tune = ctypes.CDLL(None).mallopt
+    except (OSError, AttributeError):  # another C library
+        return
+    tune(-3, 1 << 28)  # M_MMAP_THRESHOLD
+    tune(-1, 1 << 28)  # M_TRIM_THRESHOLD
+
+
+def learn_round(docs: DataFrame, n_docs: float, model: Attention, voc: Vocabulary, rate: float, path: str, pattern: str) -> int:
+    """Trains `model` on all texts: each task takes a copy through its own ones, the copies' mean by what they learnt from stays.
+    Returns the number of positions learnt from."""
+    tasks = max(1, int(n_docs / TASK))
+    size = int(np.clip(min(n_docs, TASK) / 5, 16, BATCH))
+    names, shared = sorted(model.p), docs.sparkSession.sparkContext.broadcast((model, voc))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        _keep_memory()
         own, voc = copy.deepcopy(shared.value)
-        learnt = own.follow(made(batches, voc, bpe.load(path, pattern)))
+        learnt = own.follow(text_batches(batches, voc, _id_type(bpe.load(path, pattern)), size), rate)
         if learnt:
             values = np.concatenate([own.p[k].ravel() for k in names]).astype(np.float64) * learnt
-            yield pa.RecordBatch.from_arrays([pa.array([learnt]), pa.array([values.tobytes()], pa.binary())], names=["learnt", "layer"])
+            yield pa.RecordBatch.from_arrays([pa.array([learnt]), pa.array([values.tobytes()], pa.binary())], names=["learnt", "model"])
 
     def add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        learnt, total = 0.0, np.zeros(0)
+        learnt, total = 0, np.zeros(0)
         for b in batches:
             for n, raw in zip(b.column(0).to_pylist(), b.column(1), strict=True):
                 values = np.frombuffer(raw.as_buffer(), np.float64)
                 learnt, total = learnt + n, total + values if len(total) else values
         if learnt:
-            yield pa.RecordBatch.from_arrays([pa.array([learnt]), pa.array([total.tobytes()], pa.binary())], names=["learnt", "layer"])
+            yield pa.RecordBatch.from_arrays([pa.array([learnt]), pa.array([total.tobytes()], pa.binary())], names=["learnt", "model"])
 
-    kind = "learnt double, layer binary"
-    sums = rows.mapInArrow(run, kind).repartition(SUMS).mapInArrow(add, kind).collect()  # at most SUMS rows of the layer's size
+    kind = "learnt long, model binary"
+    sums = docs.select("ids").coalesce(tasks).mapInArrow(run, kind).repartition(SUMS).mapInArrow(add, kind).collect()  # at most SUMS rows of the model's size
     learnt = sum(r.learnt for r in sums)
     if learnt:
-        mean, at = sum(np.frombuffer(bytes(r.layer), np.float64) for r in sums) / learnt, 0
+        mean, at = sum(np.frombuffer(bytes(r.model), np.float64) for r in sums) / learnt, 0
         for k in names:
-            size = layer.p[k].size
-            layer.p[k] = mean[at : at + size].reshape(layer.p[k].shape).astype(layer.p[k].dtype)
+            size = model.p[k].size
+            model.p[k] = mean[at : at + size].reshape(model.p[k].shape).astype(model.p[k].dtype)
             at += size
     return learnt
 
 
-def train(docs: DataFrame, n_docs: int, counts: DataFrame, path: str, pattern: str) -> tuple[Vocabulary, tuple[Attention, Attention]]:
-    """Vocabulary from the counts of all training texts, and the two layers: begun on a sample of windows, then trained on all texts."""
-    subwords = subword_counts(counts, path, pattern)
-    subwords[-2:] = n_docs, counts.agg(F.sum("n")).first()[0] or 0
-    coder = bpe.load(path, pattern)
-    voc = Vocabulary(subwords, np.array([*(not t.startswith(b" ") for t in coder.tokens), False, True]).astype(np.int64))
-    layers, sample = tuple(Attention(s, w) for s, w in zip(voc.share, WIDTHS, strict=True)), _sample_windows(docs, n_docs)
-    known = sorted({w for s in sample for w in s} - {b"", b"\n"})
-    pieces = dict(zip(known, (np.frombuffer(x, "<u4").astype(np.int64) for x in coder.encode_pieces([b" " + w for w in known])), strict=True))
-
-    def padded(rows: list, t: int) -> tuple:
-        ids, cls, on = np.zeros((len(rows), t), np.int64), np.zeros((len(rows), t), np.int64), np.zeros((len(rows), t), bool)
-        for i, (a, b) in enumerate(rows):
-            ids[i, : len(a)], cls[i, : len(b)], on[i, : len(a)] = a, b, True
-        return ids, cls, on
-
-    first = {w: p[0] for w, p in pieces.items()} | {b"": len(voc.cls) - 2}
-    entry = lambda w: voc.begin if w == b"\n" else voc.input[first[w]]
-    texts = padded([([entry(w) for w in s[:-1]], [voc.cls[first[w]] for w in s[1:]]) for s in sample if len(s) > 1], WINDOW)
-    inner = [(voc.input[p][:WINDOW], voc.cls[np.append(p[1:], len(voc.cls) - 1)][:WINDOW]) for s in sample for w in s[1::4] if (p := pieces.get(w)) is not None]
-    words = padded(inner, max((len(a) for a, _ in inner), default=1))
-    words = tuple(x[:, : max(1, int(np.quantile(words[2].sum(1), 0.99)))] if len(inner) else x for x in words)
-    layers[0].fit(texts, STEPS[0], 64)
-    layers[1].fit(words, STEPS[1], 512)
-    _learn_all(docs.select("text"), layers[0], _text_batches, voc, path, pattern)
-    _learn_all(counts.select("word", "n"), layers[1], _word_batches, voc, path, pattern)
-    return voc, layers
+def train(docs: DataFrame, n_docs: int, counts: DataFrame, path: str, pattern: str) -> tuple[Vocabulary, Attention, int]:
+    """The vocabulary and the model, and the number of positions it learnt from: all of all texts of docs."""
+    voc = vocabulary(subword_counts(counts, n_docs, path, pattern), bpe.load(path, pattern))
+    model, learnt, low = Attention(voc.share, pair_counts(counts, voc, path, pattern)), 0, 0
+    part = F.pmod(F.xxhash64("doc_id", "ids"), F.lit(32))
+    for parts, rate in ROUNDS:
+        learnt += learn_round(docs.where((part >= low) & (part < low + parts)), n_docs * parts / 32, model, voc, rate, path, pattern)
+        low += parts
+    return voc, model, learnt
 
 
 def score(docs: DataFrame, usable: Column, path: str, pattern: str) -> DataFrame:
     """doc_id, n_tokens, n_known, train_tokens, base_score and score of every row; learns from the rows where `usable` holds."""
     spark = docs.sparkSession
-    own = docs.select("doc_id", "text")
-    training = own.where(usable)
-    n_docs = training.select("doc_id").count()
-    counts = settle(word_counts(training), "words")
+    rows = settle(encoded(docs, usable, path, pattern), "ids")
+    texts = rows.where("ids is not null").select("doc_id", "learns", "ids", "words")
+    training = texts.where("learns").select("doc_id", "ids")
+    n_docs = training.count()
+    counts = settle(rows.where("word is not null").groupBy("word").agg(F.sum("n").alias("n")), "words")
     n, v = counts.agg(F.coalesce(F.sum("n"), F.lit(0)), F.count("*")).first()
     n, v = n + n_docs, v + (n_docs > 0)
-    voc, layers = train(training, n_docs, counts, path, pattern)
+    voc, model, _ = train(training, n_docs, counts, path, pattern)
     # The most frequent words, by the least count that at most TOP words reach (eight steps to a doubling).
     step = F.floor(F.log2("n") * 8)
     total, least = 0, None
@@ -451,24 +524,36 @@ def score(docs: DataFrame, usable: Column, path: str, pattern: str) -> DataFrame
         if (total := total + r.c) > TOP:
             break
         least = r.s
-    top = counts.where(step >= least).toPandas() if least is not None else counts.limit(0).toPandas()
-    shared = spark.sparkContext.broadcast((voc, layers, b"\n".join(map(bytes, top["word"])), top["n"].to_numpy(np.int64)))  # at most TOP words
+    top = (counts.where(step >= least) if least is not None else counts.limit(0)).select("word", "n").toPandas()  # at most TOP words
+    kind = _id_type(bpe.load(path, pattern))
+    found = Counts(*_unbinary(pa.array(list(map(bytes, top["word"])), pa.binary()), kind), top["n"].to_numpy(np.int64))
+    shared = spark.sparkContext.broadcast((voc, model, found))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        voc, layers, words, numbers = shared.value
-        scorer = Scorer(voc, layers, bpe.load(path, pattern), dict(zip(words.split(b"\n"), numbers.tolist(), strict=True)) if len(numbers) else {})
-        kinds = (pa.int64(), pa.int64(), pa.float64(), pa.float64(), pa.list_(pa.struct([("word", pa.binary()), ("m", pa.int32())])))
+        voc, model, found = shared.value
+        _keep_memory()
+        others_type = pa.list_(pa.struct([("word", pa.binary()), ("m", pa.int32())]))
         for b in batches:
-            texts = column_bytes(b, "text")
-            for part in chunks_by_size(texts, 6_000_000):
-                rows = list(scorer.score(texts[part]))
-                cols = list(zip(*rows, strict=True))
-                mine = b.slice(part.start, len(rows))
-                others = pa.array([[{"word": w, "m": m} for w, m in o] for o in cols[4]], kinds[4])
-                yield pa.RecordBatch.from_arrays([mine.column(0), mine.column(1), *(pa.array(c, k) for c, k in zip(cols[:4], kinds[:4], strict=True)), others], names=["_row", "doc_id", "words", "known", "logs", "score", "others"])
-
-    scored = with_row_id(own).select("_row", "doc_id", "text").mapInArrow(run, "_row long, doc_id long, words long, known long, logs double, score double, others array<struct<word:binary,m:int>>")
+            sizes = pc.binary_length(b.column(2)).to_pylist()
+            for part in chunks_by_size([range(s) for s in sizes], 1_000_000):
+                own = b.slice(part.start, len(sizes[part]))
+                ids, size = _unbinary(own.column(2), kind)
+                scores = sequence_scores(voc, model, *closed(ids, size, voc.end))
+                first = np.flatnonzero(voc.begins[ids])
+                text = np.searchsorted(np.cumsum(size), first, "right")
+                logs = found.find(ids, first)
+                known = ~np.isnan(logs)
+                others: list[Counter] = [Counter() for _ in range(len(size))]
+                last, raw = np.append(first[1:], len(ids)), ids.astype(kind)
+                for i in np.flatnonzero(~known).tolist():
+                    others[text[i]][raw[first[i] : last[i]].tobytes()] += 1
+                arrays = [own.column(0), own.column(1), own.column(3), pa.array(np.bincount(text[known], minlength=len(size))), pa.array(np.bincount(text[known], logs[known], len(size))), pa.array(scores)]
+                arrays.append(pa.array([[{"word": w, "m": m} for w, m in o.items()] for o in others], others_type))
+                yield pa.RecordBatch.from_arrays(arrays, names=["_row", "doc_id", "words", "known", "logs", "score", "others"])
+
+    scored = with_row_id(texts).select("_row", "doc_id", "ids", "words").mapInArrow(run, "_row long, doc_id long, words long, known long, logs double, score double, others array<struct<word:binary,m:int>>")
     scored = settle(scored, "scored")
+    drop_settled(rows)
     rest = scored.select("_row", F.explode("others").alias("o")).select("_row", "o.word", "o.m").join(counts, "word")
     rest = rest.groupBy("_row").agg(F.sum("m").alias("more"), F.sum(F.col("m") * F.log10(F.col("n") + 1)).alias("more_logs"))
     out = scored.drop("others").join(rest, "_row", "left")

@@ -10,13 +10,17 @@ from pyspark.sql import functions as F
 
 import corpus_pipeline
 from gridweave.llm import ann, bpe, langid, linededup, lm, media, minhash, mixing, quality, warc
-from gridweave.llm.common import crc_mod
+from gridweave.llm.common import crc_mod, spread
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spread(table(spark, sf_dir, "documents"))
+
+
 def op1_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     records = warc.read(warc.write(table(spark, sf_dir, "pages")))
     digest = F.when(F.col("record_type") == "response", F.sha1("payload")).otherwise(F.col("payload_digest"))
@@ -25,15 +29,15 @@ def op1_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op2_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return minhash.near_duplicates(table(spark, sf_dir, "documents"), per_cent=85)
+    return minhash.near_duplicates(documents(spark, sf_dir), per_cent=85)
 
 
 def op3_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return bpe.digests(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN)
+    return bpe.digests(documents(spark, sf_dir), public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN)
 
 
 def op4_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = table(spark, sf_dir, "documents")
+    docs = documents(spark, sf_dir)
     model = quality.train(docs, table(spark, sf_dir, "labels"), quality.labelled())
     scored = quality.score(docs.select("doc_id", "text"), model, ["doc_id"])
     return scored.select("doc_id", (crc_mod("doc_id", 4) == 2).alias("held_out"), "score", (F.col("score") >= 0.7).cast("int").alias("predicted"))
@@ -46,7 +50,7 @@ def op5_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op6_langid(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = table(spark, sf_dir, "documents").select("doc_id", "text", "lang")
+    docs = documents(spark, sf_dir).select("doc_id", "text", "lang")
     profiles = langid.learn(docs, crc_mod("doc_id", 4) != 2)
     return langid.predict(docs, profiles).select("doc_id", (crc_mod("doc_id", 4) == 2).alias("held_out"), "lang_pred", "score")
 
@@ -61,11 +65,11 @@ def op8_ann(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op9_media(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return media.media_features(media.text_media(table(spark, sf_dir, "documents")))
+    return media.media_features(media.text_media(documents(spark, sf_dir)))
 
 
 def op10_lm(spark: SparkSession, sf_dir: str) -> DataFrame:
-    scored = lm.score(table(spark, sf_dir, "documents"), crc_mod("doc_id", 7) != 2, public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN)
+    scored = lm.score(documents(spark, sf_dir), crc_mod("doc_id", 7) != 2, public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN)
     return scored.select("doc_id", (crc_mod("doc_id", 7) == 2).alias("held_out"), "n_tokens", "n_known", "train_tokens", "base_score", "score")
 
 

@@ -1,4 +1,4 @@
-"""The language model: gradients, windows, counts against brute force."""
+"""The language model: gradients, windows, distributions, scores and counts against brute force."""
 
 import math
 from collections import Counter
@@ -10,19 +10,31 @@ import pytest
 
 from gridweave.llm import bpe, lm
 from gridweave.llm.common import crc_mod, held_out
+from pyspark.sql import functions as F
 
 PATH, PATTERN = public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN
 
 
+def model(seed=0, kind=np.float32):
+    rng = np.random.default_rng(seed)
+    share = rng.random(lm.CLASSES)
+    m = lm.Attention(share / share.sum(), rng.random((lm.CLASSES + 1, lm.CLASSES)) * 9)
+    m.p = {k: (v + rng.normal(size=v.shape) * 0.1).astype(kind) for k, v in m.p.items()}
+    return m
+
+
 def test_gradients():
     rng = np.random.default_rng(0)
-    m = lm.Attention(np.full(9, 1 / 9), 4)
-    m.p = {k: v.astype(np.float64) + rng.normal(size=v.shape) * 0.1 for k, v in m.p.items()}
-    ids, cls, on = rng.integers(0, 20, (3, 6)), rng.integers(0, 9, (3, 6)), rng.random((3, 6)) > 0.3
+    m = model(kind=np.float64)
+    ids, cls, on = rng.integers(0, lm.CLASSES + 1, (3, 6)), rng.integers(0, 80, (3, 6)), rng.random((3, 6)) > 0.3
     _, g = m.gradients(ids, cls, on)
     for name in m.p:
-        for _ in range(6):
-            at = tuple(rng.integers(0, n) for n in m.p[name].shape) if name != "emb" else (int(rng.choice(ids.ravel())), int(rng.integers(4)))
+        for _ in range(8):
+            at = tuple(rng.integers(0, n) for n in m.p[name].shape)
+            if name == "emb":
+                at = (int(rng.choice(ids.ravel())), at[1])
+            if name in ("u2", "b2"):
+                at = (int(rng.choice(cls.ravel())) // lm.MEMBERS, *at[1:])
             if name == "pos":
                 at = (int(rng.integers(6)), at[1])
             keep, eps, loss = m.p[name][at], 1e-6, []
@@ -41,14 +53,19 @@ def test_each_position_is_scored_once(n):
     assert all(b - a >= lm.WINDOW - lm.STRIDE for a, b in zip(start, first, strict=True) if a)
 
 
-def test_classes_are_distributions():
+def voc(counts=None):
     coder = bpe.load(PATH, PATTERN)
-    counts = np.random.default_rng(1).integers(0, 50, len(coder.tokens) + 2).astype(float)
-    kind = np.array([*(not t.startswith(b" ") for t in coder.tokens), False, True]).astype(int)
-    v = lm.Vocabulary(counts, kind)
-    for k, classes in enumerate(lm.CLASSES):
-        for c in range(classes):
-            assert (10 ** v.log_in_class[(kind == k) & (v.cls == c)]).sum() == pytest.approx(1)
+    n = len(coder.tokens) + 1
+    return lm.vocabulary(np.random.default_rng(1).integers(0, 50, n).astype(float) if counts is None else counts, coder)
+
+
+def test_probabilities_of_all_ids_sum_to_one():
+    v, m = voc(), model()
+    h = np.random.default_rng(2).normal(size=(3, lm.WIDTH)).astype(np.float32)
+    for row in h:
+        every = m.log_classes(np.repeat(row[None], lm.CLASSES, 0), np.arange(lm.CLASSES))
+        assert np.exp(every).sum() == pytest.approx(1, abs=1e-4)
+        assert (np.exp(every)[v.cls] * 10**v.log_in_class).sum() == pytest.approx(1, abs=1e-4)
 
 
 def texts():
@@ -57,13 +74,43 @@ def texts():
     return [" ".join(rng.choice(words, rng.integers(1, 120))) for _ in range(70)]
 
 
+def lower(t):
+    return "".join(chr(ord(c) + 32) if "A" <= c <= "Z" else c for c in t or "").encode().split()
+
+
+def power(x):
+    """The model's exponential."""
+    x = min(max(x / math.log(2), -lm.LIMIT), lm.LIMIT)
+    return 2.0 ** math.floor(x) * (1 + x - math.floor(x))
+
+
+def plain_score(v, m, text):
+    """The model's log10 probability, position by position and pair by pair."""
+    coder, p = bpe.load(PATH, PATTERN), {k: x.astype(np.float64) for k, x in m.p.items()}
+    ids = [int(i) for w in lower(text) for i in coder.encode_flat([b" " + w])[0]] + [v.end]
+    inputs, total = [lm.CLASSES, *(int(v.cls[i]) for i in ids[:-1])], 0.0
+    for t, target in enumerate(ids):
+        start = 0
+        while not (t < start + lm.WINDOW):
+            start += lm.STRIDE
+        x = np.stack([p["emb"][inputs[j]] + p["pos"][j - start] for j in range(start, t + 1)])
+        q, k, val = np.split(x @ p["qkv"], [lm.KEYS, 2 * lm.KEYS], axis=1)
+        a = np.array([power(float(q[-1] @ kj) / math.sqrt(lm.KEYS)) for kj in k])
+        h = x[-1] + (a / a.sum()) @ val
+        c = int(v.cls[target])
+        groups = [power(z) for z in h @ p["u1"] + p["b1"]]
+        members = [power(z) for z in h @ p["u2"][c // lm.MEMBERS] + p["b2"][c // lm.MEMBERS]]
+        total += math.log10(groups[c // lm.MEMBERS] / sum(groups)) + math.log10(members[c % lm.MEMBERS] / sum(members)) + v.log_in_class[target]
+    return total
+
+
 def test_scores(spark, monkeypatch):
     monkeypatch.setattr(lm, "TOP", 8)  # most words are joined
-    monkeypatch.setattr(lm, "STEPS", (20, 20))
-    rows = list(enumerate(texts())) + [(200, None), (201, ""), (None, "W1 w1\tw1 w1"), (3, "only here"), (3, "only here")]
+    trained, real = [], lm.train
+    monkeypatch.setattr(lm, "train", lambda *a: trained.append(real(*a)) or trained[-1])
+    rows = list(enumerate(texts())) + [(200, None), (201, ""), (None, "W1 w1\tw1 w1"), (3, "only here"), (3, "only here")]
     docs = spark.createDataFrame([(i, t, 1) for i, t in rows], "doc_id long, text string, score int")
     got = lm.score(docs, crc_mod("doc_id", 7) != 2, PATH, PATTERN).collect()
-    lower = lambda t: "".join(chr(ord(c) + 32) if "A" <= c <= "Z" else c for c in t or "").encode().split()
     c, n_docs = Counter(), 0
     for i, t in rows:
         if not held_out(i, 7):
@@ -73,21 +120,21 @@ def test_scores(spark, monkeypatch):
     n, v = sum(c.values()), len(c)
     want = sorted((str(i), len(w), sum(x in c for x in w), n, round(sum(math.log10((c.get(x, 0) + 1) / (n + v + 1)) for x in w), 6)) for i, t in rows for w in [[*lower(t), "END"]])
     assert sorted((str(r.doc_id), r.n_tokens, r.n_known, r.train_tokens, round(r.base_score, 6)) for r in got) == want
-    assert all(r.score < 0 and math.isfinite(r.score) for r in got)
-    by = {}
-    for r in got:
-        by.setdefault((r.doc_id, r.n_tokens), set()).add(r.score)
-    assert len(by[(3, 3)]) == 1 and by[(200, 1)] == by[(201, 1)]
+    vocabulary, fitted, learnt = trained[0]
+    by = {(r.doc_id, r.n_tokens): r.score for r in got}
+    for i, t in [*rows[:6], *rows[70:]]:
+        assert by[(i, len(lower(t)) + 1)] == pytest.approx(plain_score(vocabulary, fitted, t), rel=2e-4), i
+    # Every id and every end of every training text was learnt from once.
+    coder = bpe.load(PATH, PATTERN)
+    assert learnt == sum(int(coder.encode_flat([b" " + w for w in lower(t)])[1].sum()) + 1 for i, t in rows if not held_out(i, 7))
 
 
 def test_a_text_scores_the_same_in_any_company():
-    coder = bpe.load(PATH, PATTERN)
-    kind = np.array([*(not t.startswith(b" ") for t in coder.tokens), False, True]).astype(int)
-    voc = lm.Vocabulary(np.ones(len(coder.tokens) + 2), kind)
-    layers = tuple(lm.Attention(s, w) for s, w in zip(voc.share, lm.WIDTHS, strict=True))
-    data = [t.encode() for t in texts()[:20]]
-    together = [r[3] for r in lm.Scorer(voc, layers, coder).score(data)]
-    alone = [next(lm.Scorer(voc, layers, coder).score([t]))[3] for t in data]
+    v, m, coder = voc(), model(), bpe.load(PATH, PATTERN)
+    own = [coder.encode_flat([b" " + w for w in lower(t)])[0] for t in texts()[:20]]
+    ids, sizes = np.concatenate(own), np.array([len(x) for x in own])
+    together = lm.sequence_scores(v, m, *lm.closed(ids, sizes, v.end))
+    alone = [lm.sequence_scores(v, m, *lm.closed(x, np.array([len(x)]), v.end))[0] for x in own]
     assert together == pytest.approx(alone, rel=1e-5)
 
 
@@ -98,30 +145,42 @@ def test_no_training_text(spark):
     assert lm.score(docs.limit(0), crc_mod("doc_id", 7) != 2, PATH, PATTERN).count() == 0
 
 
-def test_the_layers_learn_from_all_training_texts(spark, monkeypatch):
-    """Beyond the sample the layers begin on: every word, every end and every subword counts once each time it occurs."""
-    monkeypatch.setattr(lm, "FIT_DOCS", 5)
-    monkeypatch.setattr(lm, "STEPS", (5, 5))
-    learnt, real = [], lm._learn_all
-    monkeypatch.setattr(lm, "_learn_all", lambda *a: learnt.append(real(*a)))
-    rows = [*texts(), None, "", "z" * 400]
-    docs = spark.createDataFrame(list(enumerate(rows)), "doc_id long, text string").repartition(3)
-    counts = lm.word_counts(docs)
-    lm.train(docs, len(rows), counts, PATH, PATTERN)
-    words = [w for t in rows for w in (t or "").encode().lower().split()]
-    n = bpe.load(PATH, PATTERN).encode_flat([b" " + w for w in words])[1]
-    assert learnt == [len(words) + len(rows), pytest.approx(n.sum())]
-
-
-def test_a_pass_over_texts_learns(monkeypatch):
-    monkeypatch.setattr(lm, "RATE", 0.02)
-    monkeypatch.setattr(lm, "BATCH", (8, 16))
-    rng, coder = np.random.default_rng(4), bpe.load(PATH, PATTERN)
+def test_encoded(spark, monkeypatch):
+    """Counts of words by ids, and the ids of every text, though workers forget words; many rows may share an id."""
+    monkeypatch.setattr(lm, "KEPT", 5)
+    rows = [(None, t) for t in texts()] + [(7, None), (7, "")]
+    got = lm.encoded(spark.createDataFrame(rows, "doc_id long, text string").repartition(3), F.lit(True), PATH, PATTERN).collect()
+    coder = bpe.load(PATH, PATTERN)
+    ids = lambda ws: coder.encode_flat([b" " + w for w in ws])[0].astype(np.uint16).tobytes()
+    assert Counter(bytes(r.ids) for r in got if r.ids is not None) == Counter(ids(lower(t)) for _, t in rows)
+    n = Counter()
+    for r in got:
+        if r.word is not None:
+            n[bytes(r.word)] += r.n
+    assert n == Counter(ids([w]) for _, t in rows for w in lower(t))
+
+
+def test_known_words():
+    coder = bpe.load(PATH, PATTERN)
+    words = [f"wort{i}" for i in range(50)]
+    ids, size = coder.encode_flat([b" " + w.encode() for w in words])
+    ids = ids.astype(np.int64)
+    first = np.cumsum(size) - size
+    some = np.arange(0, 50, 2)
+    mine = np.concatenate([ids[first[i] : first[i] + size[i]] for i in some])
+    found = lm.Counts(mine, size[some], some + 1).find(ids, first)
+    assert found[some] == pytest.approx(np.log10(some + 2.0)) and np.isnan(np.delete(found, some)).all()
+
+
+def test_learning_beats_single_ids(spark):
+    """Of pairs of words the second follows from the first: the trained model must know, ids on their own can't."""
+    rng = np.random.default_rng(4)
     pairs = [("house", "tree"), ("water", "stone"), ("green", "river"), ("night", "table"), ("small", "bird")]
-    data = [" ".join(w for k in rng.integers(0, 5, 50) for w in pairs[k]) for _ in range(200)]
-    voc = lm.Vocabulary(np.ones(len(coder.tokens) + 2), np.array([*(not t.startswith(b" ") for t in coder.tokens), False, True]).astype(int))
-    layer, batch = lm.Attention(voc.share[0], lm.WIDTHS[0]), pa.RecordBatch.from_pydict({"text": data})
-    loss = lambda: sum(layer.gradients(*x[:3])[0] for x in lm._text_batches(iter([batch]), voc, coder))
-    before = loss()
-    assert layer.follow(lm._text_batches(iter([batch]), voc, coder)) == 200 * 101
-    assert loss() < 0.7 * before
+    data = [(i, " ".join(w for k in rng.integers(0, 5, 50) for w in pairs[k])) for i in range(400)]
+    docs = spark.createDataFrame(data, "doc_id long, text string")
+    rows = lm.encoded(docs, F.lit(True), PATH, PATTERN).cache()
+    counts = rows.where("word is not null").groupBy("word").agg(F.sum("n").alias("n"))
+    v, m, _ = lm.train(rows.where("ids is not null"), 400, counts, PATH, PATTERN)
+    scores = [lm.sequence_scores(v, m, *lm.closed(*lm._unbinary(pa.array([bytes(r.ids)]), np.uint16), v.end))[0] for r in rows.where("ids is not null").limit(20).collect()]
+    assert np.mean(scores) > 50 * math.log10(1 / 5) * 1.3  # the entropy of the pairs, and some
+    assert np.mean(scores) < 50 * math.log10(1 / 5) * 0.9
