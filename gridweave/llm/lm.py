@@ -547,7 +547,7 @@ def score(docs: DataFrame, usable: Column, path: str, pattern: str) -> DataFrame
                 last, raw = np.append(first[1:], len(ids)), ids.astype(kind)
                 for i in np.flatnonzero(~known).tolist():
                     others[text[i]][raw[first[i] : last[i]].tobytes()] += 1
-                arrays = [own.column(0), own.column(1), own.column(3), pa.array(np.bincount(text[known], minlength=len(size))), pa.array(np.bincount(text[known], logs[known], len(size))), pa.array(scores)]
+                arrays = [own.column(0), own.column(1), own.column(3), pa.array(np.bincount(text[known], minlength=len(size))), pa.array(np.bincount(text[known], logs[known], len(size)).astype(np.float64)), pa.array(scores)]  # without words bincount counts in integers
                 arrays.append(pa.array([[{"word": w, "m": m} for w, m in o.items()] for o in others], others_type))
                 yield pa.RecordBatch.from_arrays(arrays, names=["_row", "doc_id", "words", "known", "logs", "score", "others"])
 
