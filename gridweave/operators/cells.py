@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -77,8 +79,36 @@ def ingest_accounting(df: DataFrame, month: Column, grid: str, total: str, demo:
     return per.join(days, "year_month")
 
 
+def quantiles(long: DataFrame, key: str, value: str, probabilities: Sequence[float], nearest: bool = False, accuracy: int = 10_000) -> DataFrame:
+    """key and q, the exact quantiles of value for each key: linear ones, or (nearest) the values at the nearest ranks, halves to even.
+
+    No task sees all values of a key: a first pass brackets each quantile between approximate ones, a second counts what lies below a
+    bracket and collects only what lies in it, some 4 / accuracy of the values. Keys with at most `accuracy` values are one bracket.
+    """
+    long = long.where(F.col(value).isNotNull())
+    at = lambda q, side: min(max(q + side * 2 / accuracy, 0.0), 1.0)
+    marks = F.percentile_approx(value, [at(q, s) for q in probabilities for s in (-1, 1)], accuracy)
+    found = long.groupBy(key).agg(marks.alias("_m"), F.count("*").alias("_n"))
+    few, inf = F.col("_n") <= accuracy, F.lit(float("inf"))
+    bracket = lambda i: F.struct(F.lit(i).alias("i"), F.when(few, -inf).otherwise(F.col("_m")[2 * i]).alias("lo"), F.when(few, inf).otherwise(F.col("_m")[2 * i + 1]).alias("hi"))
+    brackets = found.select(key, "_n", F.explode(F.array(*map(bracket, range(len(probabilities))))).alias("_b"))
+    own = long.join(brackets, key).groupBy(key, "_b.i").agg(
+        F.count_if(F.col(value) < F.col("_b.lo")).alias("_below"),
+        F.sort_array(F.collect_list(F.when((F.col(value) >= F.col("_b.lo")) & (F.col(value) <= F.col("_b.hi")), F.col(value)))).alias("_v"),
+        F.max("_n").alias("_n"),
+    )
+    place = F.element_at(F.array(*map(F.lit, probabilities)), F.col("i") + 1) * (F.col("_n") - 1)
+    if nearest:
+        q = F.element_at("_v", (F.rint(place) - F.col("_below") + 1).cast("int"))
+    else:
+        low = F.floor(place)
+        a = F.element_at("_v", (low - F.col("_below") + 1).cast("int"))
+        b = F.element_at("_v", F.least(low - F.col("_below") + 2, F.size("_v")).cast("int"))
+        q = a + (b - a) * (place - low)
+    return own.groupBy(key).agg(F.transform(F.array_sort(F.collect_list(F.struct("i", q.alias("q")))), lambda s: s["q"]).alias("q"))
+
+
 def quantile_nearest(df: DataFrame, column: str, q: float) -> DataFrame:
-    """The value at the nearest rank to q * (n - 1), halves to the even rank; one row. Linear: F.percentile. For tables of cells: the distinct values meet in one task."""
-    w = Window.orderBy(column)
-    ranked = df.where(F.col(column).isNotNull()).groupBy(column).agg(F.count("*").alias("c")).withColumn("end", F.sum("c").over(w)).withColumn("n", F.sum("c").over(Window.partitionBy()))
-    return ranked.where((F.rint(q * (F.col("n") - 1)) < F.col("end")) & (F.rint(q * (F.col("n") - 1)) >= F.col("end") - F.col("c"))).select(F.col(column).alias("value"))
+    """The value at the nearest rank to q * (n - 1), halves to the even rank; one row, none for a table without values."""
+    one = quantiles(df.select(F.lit(0).alias("_k"), column), "_k", column, [q], nearest=True)
+    return one.select(F.element_at("q", 1).alias("value"))

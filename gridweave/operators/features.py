@@ -6,8 +6,6 @@ no exchange of its own; statistics that later steps apply are one row and reach
 
 from __future__ import annotations
 
-import hashlib
-import json
 from collections.abc import Sequence
 
 from pyspark.sql import DataFrame, Window
@@ -15,6 +13,7 @@ from pyspark.sql import functions as F
 
 from gridweave import constants as C
 from gridweave.functions import columns as X
+from gridweave.operators.cells import quantiles
 
 KEYS = ["cell_id", "date", "time_bin"]
 
@@ -159,7 +158,7 @@ def sequences(rows: DataFrame) -> DataFrame:
 def quantile_edges(rows: DataFrame, features: int, bins: int = 5) -> DataFrame:
     """j and edges, the inner quantiles (linear) of each of the first features of x."""
     long = rows.select(F.posexplode(F.slice("x", 1, features)).alias("j", "v"))
-    return long.groupBy("j").agg(F.percentile("v", F.array(*(F.lit(k / bins) for k in range(1, bins)))).alias("edges"))
+    return quantiles(long, "j", "v", [k / bins for k in range(1, bins)]).withColumnRenamed("q", "edges")
 
 
 def tokens(rows: DataFrame, edges: DataFrame, features: int, bins: int = 5, indicators: int = 2) -> DataFrame:
@@ -169,8 +168,3 @@ def tokens(rows: DataFrame, edges: DataFrame, features: int, bins: int = 5, indi
     binned = F.transform(F.sequence(F.lit(0), F.lit(features - 1)), lambda j: (j * bins + F.size(F.filter(F.element_at(F.col("_e"), j + 1)["edges"], lambda e: e <= F.element_at(F.col("x"), j + 1)))).cast("int"))
     flags = F.filter(F.array(*(F.when(F.element_at(F.col("x"), features + i + 1) > 0.5, F.lit(features * bins + i)) for i in range(indicators))), lambda v: v.isNotNull())
     return t.withColumn("tokens", F.concat(binned, flags)).drop("_e")
-
-
-def config_id(config: dict) -> str:
-    """Ten hex digits that name a configuration."""
-    return hashlib.sha1(json.dumps(config, sort_keys=True).encode()).hexdigest()[:10]

@@ -18,23 +18,44 @@ def _finite(*columns: str):
     return ok
 
 
+def _with_p(one: DataFrame, p, *inputs: str) -> DataFrame:
+    """Adds p, a function of some columns, to a result of one row; null where one of them is."""
+
+    def run(batches):
+        for b in batches:
+            known = b[list(inputs)].notna().all(axis=1)
+            yield b.assign(p=[p(*(b[c].iloc[i] for c in inputs)) if known.iloc[i] else None for i in range(len(b))])
+
+    types = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in one.schema)
+    return one.mapInPandas(run, f"{types}, p double")
+
+
 def linear_regression(df: DataFrame, x: str, y: str) -> DataFrame:
-    """n, r, r2, slope and intercept of y on x over rows where both are finite; one row."""
+    """n, r, r2, slope and intercept of y on x over rows where both are finite, and the slope's two-sided p; one row."""
     d = df.where(_finite(x, y))
+    return _with_p(_line(d, x, y), regression_p, "n", "r")
+
+
+def regressions(df: DataFrame, key: str, x: str, y: str) -> DataFrame:
+    """linear_regression for each key; a row a key."""
+    return _with_p(_line(df.where(_finite(x, y)).groupBy(key), x, y), regression_p, "n", "r")
+
+
+def _line(d, x: str, y: str) -> DataFrame:
     return d.agg(F.count("*").alias("n"), F.corr(x, y).alias("r"), F.regr_r2(y, x).alias("r2"), F.regr_slope(y, x).alias("slope"), F.regr_intercept(y, x).alias("intercept"))
 
 
 def regression_p(n: int, r: float) -> float:
-    """Two-sided p of a correlation."""
+    """Two-sided p of a correlation; undefined for less than three rows."""
     return special.t_two_sided(r * np.sqrt((n - 2) / max(1 - r * r, 1e-300)), n - 2)
 
 
 def partial_correlation(df: DataFrame, x: str, y: str, z: str) -> DataFrame:
-    """n, raw_r and partial_r of x and y given z, and t; one row."""
+    """n, raw_r and partial_r of x and y given z, t and its two-sided p; one row."""
     c = df.where(_finite(x, y, z)).agg(F.count("*").alias("n"), F.corr(x, y).alias("xy"), F.corr(x, z).alias("xz"), F.corr(y, z).alias("yz"))
     pr = (F.col("xy") - F.col("xz") * F.col("yz")) / F.sqrt((1 - F.col("xz") * F.col("xz")) * (1 - F.col("yz") * F.col("yz")))
     out = c.select("n", F.col("xy").alias("raw_r"), pr.alias("partial_r"))
-    return out.withColumn("t", F.col("partial_r") * F.sqrt((F.col("n") - 3) / (1 - F.col("partial_r") * F.col("partial_r"))))
+    return _with_p(out.withColumn("t", F.col("partial_r") * F.sqrt((F.col("n") - 3) / (1 - F.col("partial_r") * F.col("partial_r")))), partial_p, "n", "t")
 
 
 def partial_p(n: int, t: float) -> float:
@@ -61,7 +82,7 @@ def multiple_r2(df: DataFrame, xs: Sequence[str], y: str) -> dict[str, float]:
 
 
 def chi_squared(df: DataFrame, a: str, b: str) -> DataFrame:
-    """chi2, dof, n and Cramer's V of the table of two categories (Yates' correction with one degree of freedom); one row."""
+    """chi2, dof, n, Cramer's V and p of the table of two categories (Yates' correction with one degree of freedom); one row."""
     n = df.where(F.col(a).isNotNull() & F.col(b).isNotNull()).groupBy(F.col(a).alias("a"), F.col(b).alias("b")).agg(F.count("*").alias("n"))
     ra, cb = n.groupBy("a").agg(F.sum("n").alias("na")), n.groupBy("b").agg(F.sum("n").alias("nb"))
     # All cells of the table, empty ones too; its sides are categories, not rows.
@@ -77,7 +98,8 @@ def chi_squared(df: DataFrame, a: str, b: str) -> DataFrame:
     )
     dof = (F.col("ka") - 1) * (F.col("kb") - 1)
     chi2 = F.when(dof == 1, F.col("yates")).otherwise(F.col("plain"))
-    return s.select(chi2.alias("chi2"), dof.alias("dof"), "n", F.sqrt(chi2 / (F.col("n") * (F.least("ka", "kb") - 1))).alias("cramers_v"))
+    out = s.select(chi2.alias("chi2"), dof.alias("dof"), "n", F.sqrt(chi2 / (F.col("n") * (F.least("ka", "kb") - 1))).alias("cramers_v"))
+    return _with_p(out, special.chi2_upper, "chi2", "dof")
 
 
 def permutation_p(at_least: int, replicates: int) -> float:

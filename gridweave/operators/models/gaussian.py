@@ -38,11 +38,13 @@ def by_length(column: pd.Series) -> Iterator[tuple[np.ndarray, np.ndarray]]:
 
 
 def start_means(sequences: DataFrame, k: int, seed: int) -> tuple[np.ndarray, np.ndarray]:
-    """k cluster centres of a sample of some INIT_ROWS steps, and the variance of each feature in it."""
+    """k cluster centres of a sample of some INIT_ROWS steps, chosen by their hash whatever the partitioning, and the variance of each feature; zeros if there is no step."""
     steps = sequences.select(F.explode("x").alias("x"))
     n = steps.count()
-    some = steps.sample(False, min(1.0, INIT_ROWS / n), seed) if n > INIT_ROWS else steps
-    some = some.select(array_to_vector(F.col("x").cast("array<double>")).alias("features"))
+    if not n:
+        return np.zeros((k, 1)), np.zeros(1)
+    some = steps.where(F.pmod(F.xxhash64("x", F.lit(seed)), F.lit(1 << 40)) < int(INIT_ROWS / n * (1 << 40))) if n > INIT_ROWS else steps
+    some = some.orderBy(F.xxhash64("x", F.lit(seed))).select(array_to_vector(F.col("x").cast("array<double>")).alias("features"))
     means = np.array(KMeans(k=k, seed=seed, initSteps=3, maxIter=20).fit(some).clusterCenters())
     while len(means) < k:  # fewer distinct steps than states
         means = np.vstack([means, means[:1] + 1e-3 * (len(means) + 1)])

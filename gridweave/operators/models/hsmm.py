@@ -8,7 +8,6 @@ over durations costs steps^2 * states for a sequence (and steps * states^2 for t
 from __future__ import annotations
 
 import json
-import math
 from dataclasses import dataclass, field
 
 import numpy as np
@@ -20,16 +19,25 @@ NEVER = -1e30
 
 
 def duration_pmf(means: np.ndarray, variances: np.ndarray, most: int) -> np.ndarray:
-    """Gamma densities at 1 .. most, normalised; means of at least 1.05 and variances of at least 0.25."""
-    d, out = np.arange(1, most + 1), []
-    for m, v in zip(np.maximum(means, 1.05), np.maximum(variances, 0.25), strict=True):
-        scale = v / m
-        shape = m / scale
-        w = np.exp((shape - 1) * np.log(d) - d / scale - math.lgamma(shape) - shape * math.log(scale))
-        w = np.where(np.isfinite(w) & (w > 0), w, 1e-12)
-        out.append(w / w.sum())
-    p = np.clip(np.array(out), 1e-12, None)
-    return p / p.sum(1, keepdims=True)
+    """Shares of the lengths 1 .. most under gamma distributions; means count as 1.05 and variances as 0.25 at least.
+
+    A gamma density is length ** (rate * mean - 1) * exp(-rate * length), with rate = mean / variance, but for a factor that
+    does not depend on the length and so drops out of the shares.
+    """
+    mean = np.maximum(means, 1.05)
+    rate = mean / np.maximum(variances, 0.25)
+    length = np.arange(1.0, most + 1)
+    logs = np.outer(rate * mean - 1, np.log(length)) - np.outer(rate, length)
+    shares = np.maximum(np.exp(logs - log_sum(logs, 1)[:, None]), 1e-12)
+    return shares / shares.sum(1, keepdims=True)
+
+
+def row_shares(counts: np.ndarray, allowed: np.ndarray) -> np.ndarray:
+    """Each row's counts as shares of its allowed places; a row without any gets equal ones."""
+    own = np.where(allowed, counts, 0.0)
+    equal = allowed / np.maximum(allowed.sum(1, keepdims=True), 1)
+    total = own.sum(1, keepdims=True)
+    return np.divide(own, total, out=equal, where=total > 0)
 
 
 @dataclass
@@ -137,23 +145,22 @@ class HSMM:
 
 def initial(sequences: DataFrame, k: int, most: int, seed: int) -> HSMM:
     means, variances = start_means(sequences, k, seed)
-    others = (np.ones((k, k)) - np.eye(k)) / max(k - 1, 1)
-    return HSMM(np.full(k, 1 / k), others, means, np.tile(variances + MIN_COVAR, (k, 1)), duration_pmf(np.full(k, 3.0), np.full(k, 2.0), most))
+    return HSMM(np.full(k, 1 / k), row_shares(np.zeros((k, k)), ~np.eye(k, dtype=bool)), means, np.tile(variances + MIN_COVAR, (k, 1)), duration_pmf(np.full(k, 3.0), np.full(k, 2.0), most))
 
 
 def improved(m: HSMM, s: dict[str, np.ndarray]) -> HSMM:
-    """Parameters from the counts; states with at most one step keep their emissions, rows without a change are uniform."""
-    k, n = m.k, s["n"][:, None]
-    enough = n > 1
-    means = np.where(enough, s["x"] / np.maximum(n, 1), m.means)
-    variances = np.where(enough, np.maximum(s["xx"] / np.maximum(n, 1) - means**2, 0) + MIN_COVAR, m.vars)
-    moves = s["moves"] * (1 - np.eye(k))
-    rows = moves.sum(1, keepdims=True)
-    trans = np.where(rows > 0, moves / np.where(rows > 0, rows, 1), (np.ones((k, k)) - np.eye(k)) / max(k - 1, 1))
-    runs = s["runs"]
-    mean = np.where(runs > 0, s["len"] / np.maximum(runs, 1), 3.0)
-    var = np.where(runs > 1, s["len2"] / np.maximum(runs, 1) - mean**2, 2.0)
-    return HSMM((s["starts"] + 1e-3) / (s["starts"].sum() + 1e-3 * k), trans, means, variances, duration_pmf(mean, np.maximum(var, 0.25), m.durations.shape[1]))
+    """Parameters from the counts; states with at most one step keep their emissions, states without a run last 3 steps (variance 2)."""
+    steps, runs, smooth = s["n"][:, None], s["runs"], 1e-3
+    seen = steps[:, 0] > 1
+    means, variances = m.means.copy(), m.vars.copy()
+    means[seen] = s["x"][seen] / steps[seen]
+    variances[seen] = np.maximum(s["xx"][seen] / steps[seen] - means[seen] ** 2, 0) + MIN_COVAR
+    length, spread = np.full(m.k, 3.0), np.full(m.k, 2.0)
+    np.divide(s["len"], runs, out=length, where=runs > 0)
+    often = runs > 1
+    spread[often] = s["len2"][often] / runs[often] - length[often] ** 2
+    start = row_shares(s["starts"][None] + smooth, np.ones((1, m.k), bool))[0]
+    return HSMM(start, row_shares(s["moves"], ~np.eye(m.k, dtype=bool)), means, variances, duration_pmf(length, spread, m.durations.shape[1]))
 
 
 def fit(sequences: DataFrame, k: int, most: int, n_iter: int = 25, tol: float = 1e-2, seed: int = 42) -> HSMM:

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from gridweave import constants as C
 from gridweave.operators import polygons, regimes
-from gridweave.sources.sinks import latex_table, thousands
+from gridweave.sources.sinks import tex_table
 
 
 def regime_characteristics(emissions: DataFrame, activation: DataFrame) -> DataFrame:
@@ -39,15 +39,24 @@ def hotspots(clusters: DataFrame, places: DataFrame) -> DataFrame:
     return hit.select("cluster_id", "n_cells", "mean_activity_share", "dominant_admin_dong", "gu", "place", "category", F.col("n_hits").alias("n_places"), "touches_center", adjacent.alias("adjacent_centers"))
 
 
-def centre_table(concordance: DataFrame) -> str:
-    """The tiers' table in LaTeX; a row a tier."""
-    by = {r.tier: r for r in concordance.collect()}
-    rows = [[t, str(r.n_centers), str(r.n_active), f"{r.pct_active:.0f}", f"{r.mean_activity_share:.2f}"] for t in C.TIERS if (r := by.get(t))]
-    return latex_table(["Tier", "Centres", "Active", r"Active (\%)", "Mean activity share"], rows, "lrrrr")
+def centre_report(tiers: DataFrame) -> DataFrame:
+    """The tiers in their order, with shares as they are printed."""
+    rank = F.array_position(F.array(*map(F.lit, C.TIERS)), F.col("tier"))
+    return tiers.orderBy(rank).select("tier", F.col("n_centers").alias("centres"), F.col("n_active").alias("active"), F.format_string("%.0f", "pct_active").alias("active_pct"), F.format_string("%.2f", "mean_activity_share").alias("mean_activity"))
+
+
+def centre_table(tiers: DataFrame) -> str:
+    """The tiers' table in LaTeX."""
+    return tex_table(centre_report(tiers), ["Tier", "Centres", "Active", "Active (%)", "Mean activity share"], "lrrrr")
+
+
+def threshold_report(sensitivity: DataFrame) -> DataFrame:
+    """The definitions by name, with shares as they are printed; a share that does not exist is a dash."""
+    shown = lambda c, digits: F.when(F.col(c).isNull(), "--").otherwise(F.format_string(f"%.{digits}f", F.col(c)))
+    tiers = [shown(f"tier{i}_active_pct", 0).alias(f"tier{i}") for i in range(len(C.TIERS))]
+    return sensitivity.orderBy("def").select(F.translate("def", "_", " ").alias("definition"), F.col("n_core_cells").alias("core_cells"), shown("outside_pct", 1).alias("outside_pct"), *tiers)
 
 
 def threshold_table(sensitivity: DataFrame) -> str:
-    """The definitions' table in LaTeX; a row a definition."""
-    show = lambda v: "--" if v is None else f"{v:.0f}"
-    rows = [[r["def"].replace("_", " "), thousands(r.n_core_cells), "--" if r.outside_pct is None else f"{r.outside_pct:.1f}", *(show(r[f"tier{i}_active_pct"]) for i in range(len(C.TIERS)))] for r in sensitivity.orderBy("def").collect()]
-    return latex_table(["Definition", "Core cells", r"Outside (\%)", *C.TIERS], rows, "lrrrrrr")
+    """The definitions' table in LaTeX."""
+    return tex_table(threshold_report(sensitivity), ["Definition", "Core cells", "Outside (%)", *C.TIERS], "l" + "r" * (2 + len(C.TIERS)))

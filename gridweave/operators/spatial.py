@@ -51,13 +51,13 @@ def ring_mean(points: DataFrame, cells: DataFrame, k: int, values: Sequence[str]
 
 
 def permuted(values: DataFrame, value: str, replicates: int, seed: int = C.SEED, key: str = "cell_id") -> DataFrame:
-    """rep, key and value: replicate 0 is as observed, the others are permutations by the order of a hash.
+    """rep, key and value: replicate 0 is as observed, the others are permutations by the order of an MD5 hash.
 
     A replicate's rows are numbered in one window of as many rows as there are cells; replicates are spread over tasks.
     """
     reps = values.select(key, value).withColumn("rep", F.explode(F.sequence(F.lit(0), F.lit(replicates))))
     place = F.row_number().over(Window.partitionBy("rep").orderBy(key))
-    drawn = F.row_number().over(Window.partitionBy("rep").orderBy(F.when(F.col("rep") > 0, F.xxhash64("rep", key, F.lit(seed))), key))
+    drawn = F.row_number().over(Window.partitionBy("rep").orderBy(F.when(F.col("rep") > 0, F.md5(F.concat_ws("|", F.col("rep").cast("string"), F.col(key).cast("string"), F.lit(str(seed))))), key))
     numbered = reps.withColumns({"_p": place, "_d": drawn})
     return numbered.select("rep", key, "_p").join(numbered.select("rep", F.col("_d").alias("_p"), value), ["rep", "_p"]).select("rep", key, value)
 
@@ -172,7 +172,7 @@ def connected_areas(cells: DataFrame, least: int = 5, most_rounds: int = 200) ->
     """cell_id and area (its smallest cell_id) of the 8-neighbour components of cells with at least `least` members.
 
     The least label spreads to neighbours and, by pointers, to the label's own label, so rounds grow with the logarithm of an
-    area's extent; each round is written to the checkpoint folder.
+    area's extent; each round is written to the checkpoint folder. Raises RuntimeError if labels still change after most_rounds.
     """
     ensure_checkpoint_dir(cells.sparkSession)
     edges = queen_edges(cells).checkpoint()
@@ -187,6 +187,8 @@ def connected_areas(cells: DataFrame, least: int = 5, most_rounds: int = 200) ->
         if now == mark:
             break
         mark = now
+    else:
+        raise RuntimeError(f"areas are not complete after {most_rounds} rounds")
     size = label.groupBy("area").agg(F.count("*").alias("n_cells")).where(F.col("n_cells") >= least)
     return label.join(size, "area").select("cell_id", "area", "n_cells")
 

@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 
 from gridweave import constants as C
 from gridweave.functions import columns as X
+from gridweave.operators import inference, spatial
 
 #: Hours in the order of an operating day.
 SUBWAY_HOURS = [*range(4, 24), *range(4)]
@@ -62,6 +63,18 @@ def snap_to_cells(points: DataFrame, cells: DataFrame) -> DataFrame:
     return at.join(cells.select("cell_id", "grid_ix", "grid_iy"), ["grid_ix", "grid_iy"], "left")
 
 
+def catchment_regressions(stops: DataFrame, cells: DataFrame, value: str, radii: Sequence[int] = (0, 1, 2)) -> DataFrame:
+    """k and the regression of the stops' res_score on the mean of `value` over the cells within k of each; a row a radius with stops.
+
+    stops has stop_id, grid_ix, grid_iy and res_score. All radii come from one join with the widest window.
+    """
+    pairs = spatial.window_pairs(stops.select("stop_id", "res_score", F.col("grid_ix").alias("_x"), F.col("grid_iy").alias("_y"), "grid_ix", "grid_iy"), cells.select("grid_ix", "grid_iy", F.col("grid_ix").alias("_cx"), F.col("grid_iy").alias("_cy"), value), max(radii))
+    far = F.greatest(F.abs(F.col("_x") - F.col("_cx")), F.abs(F.col("_y") - F.col("_cy")))
+    each = pairs.withColumn("k", F.explode(F.array(*map(F.lit, radii)))).where(far <= F.col("k"))
+    means = each.groupBy("k", "stop_id").agg(F.avg(value).alias("_mean"), F.first("res_score").alias("res_score"))
+    return inference.regressions(means, "k", "_mean", "res_score")
+
+
 def geocode_stops(stops: DataFrame, master: DataFrame, cells: DataFrame) -> DataFrame:
     """stops(stop_id, stop_name) with the master's coordinates, projected and put into cells; stops outside cells are left out."""
     j = stops.join(master.select("stop_id", "lat", "lon"), "stop_id", "left").where("lat is not null")

@@ -7,9 +7,10 @@ from pyspark.sql import functions as F
 from gridweave import constants as C
 from gridweave.functions import columns as X
 from gridweave.operators import cells, features
+from gridweave.session import ensure_checkpoint_dir
 from gridweave.sources import domain as D
 
-N = 5
+N = 1
 DAY = "2024-01-25"
 B16 = [(f"b_{s}{b}", [f'"{s}_{p}"' for p in parts]) for s in C.SEXES for b, parts in C.TEN_YEAR_BANDS.items()]
 R = lambda c, n=6: F.round(c, n).alias(c)
@@ -62,9 +63,9 @@ def emission(spark, sf):
 
 def universe_emission(spark, sf):
     """The semi-join form: cells of the universe alone."""
-    master = cells.cell_master(D.living(spark, sf, 50), D.stay(spark, sf, 50), D.cell_units(spark, sf, 50), D.cell_units(spark, sf, 50))
+    master = cells.cell_master(D.living(spark, sf), D.stay(spark, sf), D.cell_units(spark, sf), D.cell_units(spark, sf))
     universe = master.where("in_universe").select("cell_id")
-    p = features.presence(D.living(spark, sf, 50), cells=universe)
+    p = features.presence(D.living(spark, sf), cells=universe)
     return p.groupBy("cell_id").agg(F.count("*").alias("n_bins"), F.round(F.avg("presence_log"), 6).alias("mean_presence_log"))
 
 
@@ -75,16 +76,16 @@ def event_share_by_bin(spark, sf):
 
 
 def cell_master(spark, sf):
-    u = D.cell_units(spark, sf, 100)
-    return rounded(cells.cell_master(D.living(spark, sf, 100), D.stay(spark, sf, 100), u, u))
+    u = D.cell_units(spark, sf)
+    return rounded(cells.cell_master(D.living(spark, sf), D.stay(spark, sf), u, u))
 
 
 def cell_master_counts(spark, sf):
-    u = D.cell_units(spark, sf, 100)
-    return cells.master_counts(cells.cell_master(D.living(spark, sf, 100), D.stay(spark, sf, 100), u, u))
+    u = D.cell_units(spark, sf)
+    return cells.master_counts(cells.cell_master(D.living(spark, sf), D.stay(spark, sf), u, u))
 
 
-MASTER_SQL = f"""{D.living_sql(100)}, {D.stay_sql(100)}, {D.units_sql(100)}, lc as (select cell_id, avg(total_pop) as mean_total_pop, count(total_pop) as n_nonnull_obs, count(*) as n_rows from living group by cell_id),
+MASTER_SQL = f"""{D.living_sql()}, {D.stay_sql()}, {D.units_sql()}, lc as (select cell_id, avg(total_pop) as mean_total_pop, count(total_pop) as n_nonnull_obs, count(*) as n_rows from living group by cell_id),
 sc as (select distinct cell_id from stay),
 m as (select lc.*, admin_dong, utm_x, utm_y, sc.cell_id is not null as in_stay, mean_total_pop >= 25 as active_25, mean_total_pop >= 50 as active_50, mean_total_pop >= 100 as active_100,
 sc.cell_id is not null and mean_total_pop >= 50 as in_universe from lc left join units u on lc.cell_id = u.cell_id left join sc on lc.cell_id = sc.cell_id)"""
@@ -92,7 +93,7 @@ sc.cell_id is not null and mean_total_pop >= 50 as in_universe from lc left join
 
 def modal_area(spark, sf):
     """The most frequent category by key with a fixed rule for ties."""
-    return cells.modal(D.labels(spark, sf, 100).select("cell_id", "state"), "cell_id", "state", "modal_state")
+    return cells.modal(D.labels(spark, sf).select("cell_id", "state"), "cell_id", "state", "modal_state")
 
 
 def scaler_train(spark, sf):
@@ -100,7 +101,7 @@ def scaler_train(spark, sf):
 
 
 def full_cycles(spark, sf):
-    full = features.full_cycles(_emission(spark, sf).select("cell_id", "date", "split", "time_bin"))
+    full = features.full_cycles(_emission(spark, sf, D.BLOCK).select("cell_id", "date", "split", "time_bin"))
     return full.groupBy("cell_id", "date", "split").agg(F.count("*").alias("n_bins"))
 
 
@@ -165,13 +166,14 @@ def presence_only_vector(spark, sf):
 
 def model_sequences(spark, sf):
     """Sequences of complete days: a check sum of each feature matrix."""
-    seq = features.sequences(features.full_cycles(_rows(spark, sf)))
+    seq = features.sequences(features.full_cycles(_rows(spark, sf, D.BLOCK)))
     total = F.aggregate("x", F.lit(0.0), lambda a, v: a + F.aggregate(v, F.lit(0.0), lambda b, y: b + y.cast("double")))
     return seq.select("cell_id", "date", "split", "year_month", F.size("x").alias("n_steps"), F.round(total, 2).alias("total"))
 
 
 def lda_tokens(spark, sf):
-    rows = _rows(spark, sf)
+    ensure_checkpoint_dir(spark)
+    rows = _rows(spark, sf).checkpoint()  # read for the edges and for the tokens
     t = features.tokens(rows, features.quantile_edges(rows.where("split = 'train'"), 24), 24)
     return t.select(F.explode("tokens").alias("token")).groupBy("token").agg(F.count("*").alias("n"))
 
@@ -195,13 +197,13 @@ SQL = {
     "presence_bins": f"with {PRESENCE_SQL} select cell_id, date, time_bin, round(presence_log, 6) as presence_log, round(mean_total_pop, 6) as mean_total_pop, presence_n_hours, presence_demo_masked, {_r(C.MIX)} from pres",
     "dwell_bins": f"with {DWELL_SQL} select cell_id, date, time_bin, {_r([*C.DWELL, 'stay_vol_log'])}, dwell_n_codes, dwell_heavy_masked, {_r(['short_share', 'long_share'])} from dw",
     "emission": f"with {EM_SQL} select cell_id, date, time_bin, split, {_r(['presence_log', 'mean_total_pop'])}, presence_n_hours, presence_demo_masked, {_r([*C.MIX, *C.DWELL, 'short_share', 'long_share', 'stay_vol_log'])}, dwell_n_codes, dwell_heavy_masked, dwell_present from em",
-    "universe_emission": f"with {D.living_sql(50)}, u as (select cell_id from living group by cell_id having avg(total_pop) >= 50), p as (select cell_id, date, time_bin, ln(1 + avg(total_pop)) as l from living where cell_id in (select cell_id from u) group by all having avg(total_pop) is not null) select cell_id, count(*) as n_bins, round(avg(l), 6) as mean_presence_log from p group by cell_id",
+    "universe_emission": f"with {D.living_sql()}, u as (select cell_id from living group by cell_id having avg(total_pop) >= 50), p as (select cell_id, date, time_bin, ln(1 + avg(total_pop)) as l from living where cell_id in (select cell_id from u) group by all having avg(total_pop) is not null) select cell_id, count(*) as n_bins, round(avg(l), 6) as mean_presence_log from p group by cell_id",
     "event_share_by_bin": f"with {D.labels_sql(N)}, c as (select time_bin, state, count(*) as n from labels_t group by all) select time_bin, state, n, round(n / sum(n) over (partition by time_bin), 6) as share from c",
     "cell_master": f"with {MASTER_SQL} select cell_id, round(mean_total_pop, 6) as mean_total_pop, n_nonnull_obs, n_rows, admin_dong, utm_x, utm_y, in_stay, active_25, active_50, active_100, in_universe from m",
     "cell_master_counts": f"with {MASTER_SQL} select count(*) as living_any, count(*) filter (in_stay) as intersection, {', '.join(f'count(*) filter (active_{t}) as active_{t}_all, count(*) filter (in_stay and active_{t}) as intersection_active_{t}' for t in (25, 50, 100))}, count(*) filter (utm_x is null) as coords_missing, count(*) filter (admin_dong is null) as admin_missing, count(*) filter (in_universe) as universe from m",
-    "modal_area": f"with {D.labels_sql(100)}, c as (select cell_id, state, count(*) as n from labels_t group by all) select cell_id, state as modal_state from (select *, row_number() over (partition by cell_id order by n desc, state) as r from c) where r = 1",
+    "modal_area": f"with {D.labels_sql()}, c as (select cell_id, state, count(*) as n from labels_t group by all) select cell_id, state as modal_state from (select *, row_number() over (partition by cell_id order by n desc, state) as r from c) where r = 1",
     "scaler_train": f"with {EM_SQL}, t as (select * from em where split = 'train') " + " union all ".join(f"select '{f}' as feature, round(avg({f}), 6) as mean, round(stddev_samp({f}), 6) as std, count({f}) as n_train from t" for f in ("presence_log", "stay_vol_log")),
-    "full_cycles": f"with {EM_SQL} select cell_id, date, split, count(*) as n_bins from em group by all having count(*) = 19",
+    "full_cycles": f"with {D.in_blocks(EM_SQL)} select cell_id, date, split, count(*) as n_bins from em group by all having count(*) = 19",
     "sampled_keys": f"with {EM_SQL}, k as (select distinct cell_id, date, split from em), r as (select *, row_number() over (partition by split order by md5(cell_id || '|' || cast(date as varchar) || '|42'), cell_id, date) as r from k) select cell_id, date, split from r where r <= case when split = 'train' then 60 else 15 end",
     "dwell_share_overall": f"with {D.stay_sql(N)}, c as (select * from (values {', '.join(f'({i}, ' + repr(c) + ')' for i, c in enumerate(C.DWELL_CODES))}) v(ord, code)), s as (select stay_dur, sum(total) as pop from stay group by stay_dur) select ord, code as stay_dur, round(coalesce(pop, 0) / (select sum(pop) from s), 6) as share from c left join s on code = stay_dur",
     "dwell_by_start": f"with {D.stay_sql(N)} select stay_dur, {', '.join(f'round(coalesce(sum(total) filter (start_tz = ' + repr(b) + f'), 0), 6) as tz_{b}' for b in C.TIME_BINS)} from stay group by stay_dur",
@@ -209,7 +211,7 @@ SQL = {
     "clr_mix": f"with {CLR_SQL} select cell_id, date, time_bin, mix_missing, dwell_missing, {_r(_CL)} from cl",
     "feature_vector": f"with {Z_SQL} select cell_id, date, time_bin, split, {_r(C.FEATURES)} from z",
     "presence_only_vector": f"with {Z_SQL} select cell_id, date, time_bin, split, {_r([C.FEATURES[0], *C.FEATURES[2:18], C.FEATURES[-1]])} from z",
-    "model_sequences": f"with {Z_SQL}, q as (select *, count(*) over (partition by cell_id, date) as nb from z) select cell_id, date, split, strftime(date, '%Y%m') as year_month, cast(count(*) as int) as n_steps, round(sum({' + '.join(f'cast(cast({f} as float) as double)' for f in C.FEATURES)}), 2) as total from q where nb = 19 group by cell_id, date, split",
+    "model_sequences": f"with {D.in_blocks(Z_SQL)}, q as (select *, count(*) over (partition by cell_id, date) as nb from z) select cell_id, date, split, strftime(date, '%Y%m') as year_month, cast(count(*) as int) as n_steps, round(sum({' + '.join(f'cast(cast({f} as float) as double)' for f in C.FEATURES)}), 2) as total from q where nb = 19 group by cell_id, date, split",
     "lda_tokens": f"with {TOKEN_SQL} select cast(token as int) as token, count(*) as n from tk group by 1",
     "quantiles": f"with {D.living_sql(N)}, s as (select total_pop, row_number() over (order by total_pop) - 1 as i, count(*) over () as n from living where total_pop is not null) select round((select quantile_cont(total_pop, 0.9) from living), 6) as linear, total_pop as nearest from s where i = round_even(0.9 * (n - 1), 0)",
 }

@@ -6,47 +6,64 @@ from pyspark.sql import functions as F
 
 from gridweave.operators import features
 from gridweave.operators.models import hmm, hsmm, ladder
+from gridweave.session import ensure_checkpoint_dir
 from gridweave.plans.features import _emission, _rows, rounded
+from gridweave.sources.domain import BLOCK
 
-CELLS, KEYS = 5, ["cell_id", "date"]
+KEYS = ["cell_id", "date"]
 
 
 def _sequences(spark, sf):
-    """Complete days; days in parts of four bins where the tables are too small for any."""
-    rows = _rows(spark, sf, CELLS)
-    full = features.full_cycles(rows)
-    return features.sequences(full if not full.isEmpty() else rows)
+    """Complete days of blocks of users; none where the tables are too small for any."""
+    ensure_checkpoint_dir(spark)  # every round of a fit reads them again
+    return features.sequences(features.full_cycles(_rows(spark, sf, BLOCK))).checkpoint()
 
 
 def hmm_decode(spark, sf):
-    seq = _sequences(spark, sf).cache()
-    return hmm.decode(seq, hmm.fit(seq, 3, n_iter=5), KEYS)
+    seq = _sequences(spark, sf)
+    return hmm.decode(seq, hmm.fit(seq, 7), KEYS)
 
 
 def hsmm_decode(spark, sf):
-    seq = _sequences(spark, sf).cache()
-    return rounded(hsmm.decode(seq, hsmm.fit(seq, 3, 19, n_iter=5), KEYS))
+    seq = _sequences(spark, sf)
+    return rounded(hsmm.decode(seq, hsmm.fit(seq, 7, 19), KEYS))
 
 
 def model_ladder(spark, sf):
-    seq = _sequences(spark, sf).cache()
-    rows = ladder.ladder(seq, seq.where("split = 'holdout'"), KEYS, k=3, reinits=2, n_iter=4, kappas=(10,))
-    return spark.createDataFrame([tuple(None if isinstance(v, float) and v != v else v for v in r.values()) for r in rows], "model string, k int, n_params int, train_ll double, bic double, holdout_avg_ll double, holdout_perplexity double, reinit_ari double, ll_spread double, coherence double, duration_kl double")
+    seq = _sequences(spark, sf)
+    rows = ladder.ladder(seq, seq.where("split = 'holdout'"), KEYS, k=3, reinits=2, n_iter=4, kappas=(10,)) if not seq.isEmpty() else []
+    return _compared(spark, rows)
 
 
 def lda_topics(spark, sf):
-    rows = _rows(spark, sf, CELLS)
-    t = features.tokens(rows, features.quantile_edges(rows.where("split = 'train'"), 24), 24).cache()
-    out, _ = ladder.topics(t.where("split = 'train'"), t, 122, k=4, max_iter=5)
+    ensure_checkpoint_dir(spark)
+    rows = _rows(spark, sf, BLOCK)
+    t = features.tokens(rows, features.quantile_edges(rows.where("split = 'train'"), 24), 24).checkpoint()
+    out, _ = ladder.topics(t.where("split = 'train'"), t, 122, k=7, max_iter=15)
     return out.groupBy("state").agg(F.count("*").alias("n"))
 
 
+EMISSIONS = "state int, mean_total_pop double, stay_vol double, short000 double, long240 double, dwell_missing double, top_demo string"
+LADDER = "model string, k int, n_params int, train_ll double, bic double, holdout_avg_ll double, holdout_perplexity double, reinit_ari double, ll_spread double, coherence double, duration_kl double"
+
+
+def _compared(spark, rows):
+    return spark.createDataFrame([tuple(None if isinstance(v, float) and v != v else v for v in r.values()) for r in rows], LADDER)
+
+
+def state_sweep(spark, sf):
+    seq = _sequences(spark, sf)
+    return _compared(spark, ladder.state_sweep(seq, seq.where("split = 'holdout'"), KEYS, ks=(2, 3), reinits=2, n_iter=4) if not seq.isEmpty() else [])
+
+
 def state_emissions(spark, sf):
-    em = _emission(spark, sf, CELLS)
+    em = _emission(spark, sf, BLOCK)
     parameters = features.fit_transform_parameters(em).first().asDict()
-    seq = _sequences(spark, sf).cache()
-    return spark.createDataFrame(ladder.emission_table(hsmm.fit(seq, 3, 19, n_iter=4).means, parameters))
+    seq = _sequences(spark, sf)
+    if seq.isEmpty():
+        return spark.createDataFrame([], EMISSIONS)
+    return spark.createDataFrame(ladder.emission_table(hsmm.fit(seq, 7, 19).means, parameters), EMISSIONS)
 
 
-QUERIES = {f.__name__: f for f in (hmm_decode, hsmm_decode, model_ladder, lda_topics, state_emissions)}
+QUERIES = {f.__name__: f for f in (hmm_decode, hsmm_decode, model_ladder, state_sweep, lda_topics, state_emissions)}
 SQL: dict[str, str] = {}

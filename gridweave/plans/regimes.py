@@ -9,33 +9,37 @@ from gridweave.operators import agreement, inference, regimes, sequences
 from gridweave.plans.features import rounded
 from gridweave.sources import domain as D
 
-N = 100
 K = len(D.STATES)
 STRUCT = [6]
 NAMES = D.STATES
-KEYS = ["cell_id"]
+KEYS = ["cell_id", "date"]
 MOST = 19
 
 
-def _labels(spark, sf, n=N):
-    return D.labels(spark, sf, n)
+def _labels(spark, sf):
+    return D.labels(spark, sf)
+
+
+def _days(spark, sf):
+    """Sequences of a cell and a day, for blocks of users."""
+    return D.labels(spark, sf, D.BLOCK)
 
 
 def run_lengths(spark, sf):
-    r = sequences.runs(_labels(spark, sf), KEYS, "event_id")
+    r = sequences.runs(_days(spark, sf), KEYS, "event_id")
     return r.groupBy("state", "length", "interior").agg(F.count("*").alias("n"))
 
 
 def duration_pmf(spark, sf):
-    return rounded(sequences.duration_pmf(sequences.runs(_labels(spark, sf), KEYS, "event_id"), MOST))
+    return rounded(sequences.duration_pmf(sequences.runs(_days(spark, sf), KEYS, "event_id"), MOST))
 
 
 def coherence(spark, sf):
-    return rounded(sequences.coherence(_labels(spark, sf), KEYS, "event_id"))
+    return rounded(sequences.coherence(_days(spark, sf), KEYS, "event_id"))
 
 
 def transition_counts(spark, sf):
-    return sequences.transitions(_labels(spark, sf), KEYS, "event_id")
+    return sequences.transitions(_days(spark, sf), KEYS, "event_id")
 
 
 def _self_transition(labels):
@@ -44,22 +48,22 @@ def _self_transition(labels):
 
 
 def geometric_pmf(spark, sf):
-    return rounded(sequences.geometric_pmf(_self_transition(_labels(spark, sf)), MOST))
+    return rounded(sequences.geometric_pmf(_self_transition(_days(spark, sf)), MOST))
 
 
 def duration_kl(spark, sf):
-    l = _labels(spark, sf)
+    l = _days(spark, sf)
     pmf = sequences.duration_pmf(sequences.runs(l, KEYS, "event_id"), MOST)
     prior = l.groupBy("state").agg(F.count("*").cast("double").alias("w"))
     return rounded(sequences.duration_kl(pmf, sequences.geometric_pmf(_self_transition(l), MOST), prior, MOST))
 
 
-L = D.labels_sql(N)
-RUNS_SQL = f"""{L}, s0 as (select *, row_number() over (partition by cell_id order by event_id) - 1 as t, case when state <> lag(state) over (partition by cell_id order by event_id) then 1 else 0 end as ch, count(*) over (partition by cell_id) - 1 as lt from labels_t),
-s1 as (select *, sum(ch) over (partition by cell_id order by event_id rows unbounded preceding) as seg from s0),
-runs as (select cell_id, seg, min(state) as state, count(*) as length, min(t) > 0 and max(t) < max(lt) as interior from s1 group by cell_id, seg),
+L = D.labels_sql()
+RUNS_SQL = f"""{D.in_blocks(L)}, s0 as (select *, row_number() over (partition by cell_id, date order by event_id) - 1 as t, case when state <> lag(state) over (partition by cell_id, date order by event_id) then 1 else 0 end as ch, count(*) over (partition by cell_id, date) - 1 as lt from labels_t),
+s1 as (select *, sum(ch) over (partition by cell_id, date order by event_id rows unbounded preceding) as seg from s0),
+runs as (select cell_id, date, seg, min(state) as state, count(*) as length, min(t) > 0 and max(t) < max(lt) as interior from s1 group by cell_id, date, seg),
 pm0 as (select state, length as duration, count(*) as n from runs where interior and length <= {MOST} group by all), pmf as (select *, n / sum(n) over (partition by state) as p from pm0),
-tr as (select lag(state) over (partition by cell_id order by event_id) as src, state as dst from labels_t), trc as (select src, dst, count(*) as n from tr where src is not null group by all),
+tr as (select lag(state) over (partition by cell_id, date order by event_id) as src, state as dst from labels_t), trc as (select src, dst, count(*) as n from tr where src is not null group by all),
 st as (select src as state, greatest(1e-6, least(1 - 1e-6, sum(case when src = dst then n else 0 end) / sum(n))) as a from trc group by src),
 ge0 as (select state, d as duration, pow(a, d - 1) * (1 - a) as w from st, range(1, {MOST + 1}) r(d)), geo as (select state, duration, w / sum(w) over (partition by state) as q from ge0)"""
 
@@ -70,7 +74,7 @@ def _summary(spark, sf):
 
 def _table(spark, sf):
     s = regimes.with_margin(regimes.with_activity(_summary(spark, sf)))
-    return s.join(D.cell_units(spark, sf, N), "cell_id")
+    return s.join(D.cell_units(spark, sf), "cell_id")
 
 
 def cell_regime_summary(spark, sf):
@@ -91,7 +95,7 @@ sm as (select cell_id, al as n_celldays_train, {_dom(NAMES, [f'a{k}' for k in ra
 -({' + '.join(f'case when ft > 0 and a{k} > 0 then (a{k} / ft) * ln(a{k} / ft + 1e-12) else 0 end' for k in range(6))}) / ln(6) as func_entropy, case when al > 0 then a6 / al else 0 end as struct_bin_ratio,
 {', '.join(f'case when ft > 0 then a{k} / ft else 0 end as share_{r}' for k, r in enumerate(_FN))} from sh)"""
 _SH = [f"share_{r}" for r in _FN]
-TABLE_SQL = f"""{SUM_SQL}, {D.units_sql(N)}, mg as (select *, share_activity_A + share_activity_B as activity_share, list_sort([{', '.join(_SH)}], 'desc')[1] - list_sort([{', '.join(_SH)}], 'desc')[2] as dom_margin from sm),
+TABLE_SQL = f"""{SUM_SQL}, {D.units_sql()}, mg as (select *, share_activity_A + share_activity_B as activity_share, list_sort([{', '.join(_SH)}], 'desc')[1] - list_sort([{', '.join(_SH)}], 'desc')[2] as dom_margin from sm),
 cells as (select mg.*, u.grid_ix, u.grid_iy, u.utm_x, u.utm_y, u.admin_dong, u.density from mg join units u on mg.cell_id = u.cell_id)"""
 
 
@@ -204,6 +208,15 @@ QUERIES = {
     for f in (run_lengths, duration_pmf, coherence, transition_counts, geometric_pmf, duration_kl, cell_regime_summary, unit_purity, discordance, eta2, sensitivity, state_activation, presence_only_summary, day_night_switch, split_by_state, margin_quantiles, ari, nmi, contingency, linreg, partial_corr, chi2_cramers_v, multi_r2)
 }
 _TWO = "t as (select event_type as a, cast(length(props) * 7 + user_id % 4 as int) as b from events), c as (select a, b, count(*) as n from t group by all), w as (select *, sum(n) over (partition by a) as na, sum(n) over (partition by b) as nb, sum(n) over () as total from c)"
+
+
+def t_tail_sql(t: str, dof: str) -> str:
+    """Two-sided tail of the t distribution: one less its density summed by Simpson's rule up to |t| (at most 40)."""
+    size, x = f"least(abs({t}), 40.0)", f"(least(abs({t}), 40.0) * i / 4000)"
+    density = f"exp(lgamma(({dof} + 1) / 2) - lgamma(({dof}) / 2) - 0.5 * ln(pi() * ({dof})) - ({dof} + 1) / 2 * ln(1 + {x} * {x} / ({dof})))"
+    return f"round(greatest(1 - 2 * (select sum({density} * case when i in (0, 4000) then 1 when i % 2 = 1 then 4 else 2 end) from range(0, 4001) simpson(i)) * {size} / 12000, 0.0), 6)"
+
+
 _six = lambda *cols: ", ".join(f"round({c}, 6) as {c}" for c in cols)
 SQL = {
     "run_lengths": f"with {RUNS_SQL} select state, length, interior, count(*) as n from runs group by all",
@@ -227,7 +240,8 @@ select round(sum(w * kl), 6) as duration_kl from k join pr using (state)""",
     "ari": f"with {_TWO}, s as (select sum(n * (n - 1) / 2) as ij, (select sum(x * (x - 1) / 2) from (select sum(n) as x from c group by a)) as i, (select sum(x * (x - 1) / 2) from (select sum(n) as x from c group by b)) as j, sum(n) as t from c) select round((ij - i * j / (t * (t - 1) / 2)) / ((i + j) / 2 - i * j / (t * (t - 1) / 2)), 6) as ari, t::bigint as n from s",
     "nmi": f"with {_TWO} select round(sum(n / total * ln((n / total) / ((na / total) * (nb / total)))) / ((sum(-n / total * ln(na / total)) + sum(-n / total * ln(nb / total))) / 2), 6) as nmi, max(total)::bigint as n from w",
     "contingency": f"with {_TWO} select a, b, n, na::bigint as na, nb::bigint as nb, total::bigint as total from w",
-    "linreg": "select count(*) as n, round(corr(l_quantity, l_extendedprice), 6) as r, round(regr_r2(l_extendedprice, l_quantity), 6) as r2, round(regr_slope(l_extendedprice, l_quantity), 6) as slope, round(regr_intercept(l_extendedprice, l_quantity), 6) as intercept from lineitem",
-    "partial_corr": "with c as (select count(*) as n, corr(l_quantity, l_extendedprice) as xy, corr(l_quantity, l_discount) as xz, corr(l_extendedprice, l_discount) as yz from lineitem), p as (select n, xy, (xy - xz * yz) / sqrt((1 - xz * xz) * (1 - yz * yz)) as pr from c) select n, round(xy, 6) as raw_r, round(pr, 6) as partial_r, round(pr * sqrt((n - 3) / (1 - pr * pr)), 6) as t from p",
-    "chi2_cramers_v": "with c as (select c_mktsegment as a, c_nationkey as b, count(*) as n from customer group by all), ra as (select a, sum(n) as na from c group by a), rb as (select b, sum(n) as nb from c group by b), f as (select na, nb, coalesce(n, 0) as n, (select sum(n) from c) as t from ra cross join rb left join c on c.a = ra.a and c.b = rb.b), s as (select sum(pow(n - na * nb / t, 2) / (na * nb / t)) as chi2, max(t) as t, (select count(*) from ra) as ka, (select count(*) from rb) as kb from f) select round(chi2, 6) as chi2, (ka - 1) * (kb - 1) as dof, t::bigint as n, round(sqrt(chi2 / (t * (least(ka, kb) - 1))), 6) as cramers_v from s",
+    "linreg": "with l as (select count(*) as n, round(corr(l_quantity, l_extendedprice), 6) as r, round(regr_r2(l_extendedprice, l_quantity), 6) as r2, round(regr_slope(l_extendedprice, l_quantity), 6) as slope, round(regr_intercept(l_extendedprice, l_quantity), 6) as intercept, corr(l_quantity, l_extendedprice) as raw from lineitem) select l.* exclude (raw), " + t_tail_sql("raw * sqrt((n - 2) / (1 - raw * raw))", "n - 2") + " as p from l",
+    "partial_corr": "with c as (select count(*) as n, corr(l_quantity, l_extendedprice) as xy, corr(l_quantity, l_discount) as xz, corr(l_extendedprice, l_discount) as yz from lineitem), p as (select n, xy, (xy - xz * yz) / sqrt((1 - xz * xz) * (1 - yz * yz)) as pr from c) select n, round(xy, 6) as raw_r, round(pr, 6) as partial_r, round(pr * sqrt((n - 3) / (1 - pr * pr)), 6) as t, " + t_tail_sql("pr * sqrt((n - 3) / (1 - pr * pr))", "n - 3") + " as p from p",
+    "chi2_cramers_v": "with c as (select c_mktsegment as a, c_nationkey as b, count(*) as n from customer group by all), ra as (select a, sum(n) as na from c group by a), rb as (select b, sum(n) as nb from c group by b), f as (select na, nb, coalesce(n, 0) as n, (select sum(n) from c) as t from ra cross join rb left join c on c.a = ra.a and c.b = rb.b), s as (select sum(pow(n - na * nb / t, 2) / (na * nb / t)) as chi2, max(t) as t, (select count(*) from ra) as ka, (select count(*) from rb) as kb from f) select round(chi2, 6) as chi2, (ka - 1) * (kb - 1) as dof, t::bigint as n, round(sqrt(chi2 / (t * (least(ka, kb) - 1))), 6) as cramers_v, round((select sum(exp(-chi2 / 2 + k * ln(chi2 / 2) - lgamma(k + 1))) from range(0, 500) r(k) where k < (ka - 1) * (kb - 1) / 2), 6) as p from s",
+    "multi_r2": "with c as (select count(*) as n, corr(l_extendedprice, l_quantity) as ya, corr(l_extendedprice, l_discount) as yb, corr(l_extendedprice, l_tax) as yc, corr(l_quantity, l_discount) as ab, corr(l_quantity, l_tax) as ac, corr(l_discount, l_tax) as bc from lineitem), d as (select *, (yb - ya * ab) / sqrt((1 - ya * ya) * (1 - ab * ab)) as yb_a, (yc - ya * ac) / sqrt((1 - ya * ya) * (1 - ac * ac)) as yc_a, (bc - ab * ac) / sqrt((1 - ab * ab) * (1 - ac * ac)) as bc_a from c), e as (select *, (yc_a - yb_a * bc_a) / sqrt((1 - yb_a * yb_a) * (1 - bc_a * bc_a)) as yc_ab from d), f as (select n, 1 - (1 - ya * ya) * (1 - yb_a * yb_a) * (1 - yc_ab * yc_ab) as r2 from e) select round(r2, 6) as r2, round(1 - (1 - r2) * (n - 1) / (n - 4), 6) as adj_r2, n, 3 as k from f",
 }

@@ -31,6 +31,9 @@ def local_session(cpus: int = 8, memory: str = "8g", **conf: str) -> SparkSessio
 
 
 def ensure_checkpoint_dir(spark: SparkSession) -> None:
-    """checkpoint() writes to spark.checkpoint.dir; where that is unset (tests), to a folder of its own."""
+    """checkpoint() writes to spark.checkpoint.dir; where that is unset, to a folder of its own in local mode (tests), else it is an error."""
     if spark.sparkContext.getCheckpointDir() is None:
-        spark.sparkContext.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="gridweave-"))
+        at = spark.conf.get("spark.checkpoint.dir", None)
+        if not at and not spark.sparkContext.master.startswith("local"):
+            raise RuntimeError("spark.checkpoint.dir must name a folder that driver and executors share")
+        spark.sparkContext.setCheckpointDir(at or tempfile.mkdtemp(prefix="gridweave-"))

@@ -13,8 +13,11 @@ import os
 import re
 import struct
 import time
+import urllib.request
 import zipfile
 from collections.abc import Iterator, Sequence
+from itertools import chain
+from pathlib import Path
 from xml.etree import ElementTree
 
 import pandas as pd
@@ -231,6 +234,24 @@ class _Month(InputPartition):
         self.month = month
 
 
+def _persist(fetch, tries: int, pause: float):
+    """The result of fetch, which is called again after growing pauses while it fails."""
+    for left in range(tries - 1, -1, -1):
+        try:
+            return fetch()
+        except Exception:
+            if not left:
+                raise
+        time.sleep(pause * (tries - left))
+
+
+def _load(address: str) -> dict:
+    if "://" not in address or address.startswith("file://"):
+        return json.loads(Path(address.removeprefix("file://")).read_text(encoding="utf-8"))
+    with urllib.request.urlopen(address, timeout=40) as answer:
+        return json.load(answer)
+
+
 class _PagedReader(DataSourceReader):
     def __init__(self, options: dict, fields: list[str]) -> None:
         self.o, self.fields = options, fields
@@ -238,40 +259,32 @@ class _PagedReader(DataSourceReader):
     def partitions(self) -> list[InputPartition]:
         return [_Month(m) for m in self.o["months"].split(",")]
 
-    def page(self, month: str, first: int, last: int) -> dict:
-        """One page, read again after growing pauses. The answer's code must be the one for success."""
-        where = self.o["url"].format(key=self.o.get("key", ""), service=self.o["service"], start=first, end=last, month=month)
-        tries = int(self.o.get("retries", 4))
-        for i in range(tries):
-            try:
-                if where.startswith(("http://", "https://")):
-                    from urllib.request import urlopen
-
-                    with urlopen(where, timeout=40) as f:
-                        body = json.loads(f.read())[self.o["service"]]
-                else:
-                    with open(where.removeprefix("file://"), encoding="utf-8") as f:
-                        body = json.load(f)[self.o["service"]]
-                code = body.get("RESULT", {}).get("CODE")
-                if code not in ("INFO-000", None):
-                    raise RuntimeError(f"the service answers {code}")
-                return body
-            except Exception:
-                if i == tries - 1:
-                    raise
-                time.sleep(float(self.o.get("pause", 1.5)) * (i + 1))
-        raise AssertionError
+    def page(self, month: str, rows: range) -> dict:
+        """The rows of these numbers. Anything but the code for success (or none) is an error, and asked for again."""
+        service = self.o["service"]
+        address = self.o["url"].format(key=self.o.get("key", ""), service=service, start=rows[0], end=rows[-1], month=month)
+
+        def fetch() -> dict:
+            body = _load(address)[service]
+            if (code := body.get("RESULT", {}).get("CODE", "INFO-000")) != "INFO-000":
+                raise RuntimeError(f"the service answers {code}")
+            return body
+
+        return _persist(fetch, int(self.o.get("retries", 4)), float(self.o.get("pause", 1.5)))
 
     def read(self, partition: _Month) -> Iterator[tuple]:
-        size, got, total = int(self.o.get("page", 1000)), 0, 1
-        while got < total:
-            body = self.page(partition.month, got + 1, got + size if not got else min(got + size, total))
-            rows, total = body.get("row", []), int(body.get("list_total_count", 0))
-            if not rows:
-                return
-            got += len(rows)
-            for r in rows:
-                yield tuple(None if r.get(f) is None else str(r[f]) for f in self.fields)
+        """The first page tells how many rows a month has, and so which pages follow; a month that comes out shorter is an error."""
+        size, month = int(self.o.get("page", 1000)), partition.month
+        head = self.page(month, range(1, size + 1))
+        total = int(head.get("list_total_count", 0))
+        later = (self.page(month, range(at, min(at + size, total + 1))) for at in range(size + 1, total + 1, size))
+        missing = total
+        for body in chain([head], later):
+            for row in body.get("row", []):
+                missing -= 1
+                yield tuple(None if (v := row.get(f)) is None else str(v) for f in self.fields)
+        if missing > 0:
+            raise RuntimeError(f"{missing} of {total} rows of {month} are missing")
 
 
 class PagedJson(DataSource):

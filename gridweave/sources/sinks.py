@@ -4,30 +4,40 @@ from __future__ import annotations
 
 import hashlib
 import json
-from collections.abc import Sequence
+import re
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 
-def write_months(df: DataFrame, path: str, month: str = "year_month", force: bool = False) -> list[str]:
-    """Writes the months of df that path does not hold yet (with force, all); returns those written.
+def write_parts(df: DataFrame, path: str, part: str, force: bool = False) -> DataFrame:
+    """Writes the parts of df (values of the column `part`, such as days or months) that path does not hold yet (with force, all).
 
-    A month is replaced as a whole, so a run that broke off is repeated by calling this again.
+    A part is replaced as a whole, so a run that broke off is repeated by calling this again. Parts of any size are dealt to tasks by the
+    adaptive planner, which cuts large ones in several. Returns the account of what is there now: part and rows, and whether this call wrote it.
     """
     spark = df.sparkSession
-    have: set[str] = set()
-    if not force:
-        root = spark._jvm.org.apache.hadoop.fs.Path(path)
-        fs = root.getFileSystem(spark._jsc.hadoopConfiguration())
-        if fs.exists(root):
-            names = [s.getPath().getName() for s in fs.listStatus(root)]
-            have = {n.partition("=")[2] for n in names if n.startswith(f"{month}=")}
-    months = sorted(str(r[0]) for r in df.select(month).distinct().collect() if str(r[0]) not in have)  # a row a month
-    if months:
-        own = df.where(F.col(month).cast("string").isin(months))
-        own.repartition(month).write.partitionBy(month).mode("overwrite").option("partitionOverwriteMode", "dynamic").option("compression", "zstd").parquet(path)
-    return months
+    root = spark._jvm.org.apache.hadoop.fs.Path(path)
+    fs = root.getFileSystem(spark._jsc.hadoopConfiguration())
+    here = [s.getPath().getName() for s in fs.listStatus(root)] if fs.exists(root) and not force else []
+    done = [n.partition("=")[2] for n in here if n.startswith(f"{part}=")]  # a name a part
+    new = df.where(~F.col(part).cast("string").isin(done)) if done else df
+    if not new.isEmpty():
+        new.hint("rebalance", part).write.partitionBy(part).mode("overwrite").option("partitionOverwriteMode", "dynamic").option("compression", "zstd").parquet(path)
+    if not fs.exists(root):
+        return spark.createDataFrame([], f"{part} string, rows long, written boolean")
+    rows = spark.read.option("spark.sql.sources.partitionColumnTypeInference.enabled", "false").parquet(path).groupBy(F.col(part).cast("string").alias(part)).agg(F.count("*").alias("rows"))
+    return rows.withColumn("written", ~F.col(part).isin(done) if done else F.lit(True))
+
+
+def write_months(df: DataFrame, path: str, month: str = "year_month", force: bool = False) -> list[str]:
+    """write_parts by month; returns the months written."""
+    return sorted(r[0] for r in write_parts(df, path, month, force).where("written").select(month).collect())  # a row a month
+
+
+def write_days(df: DataFrame, path: str, day: str = "date", force: bool = False) -> DataFrame:
+    """write_parts by day: an ingest that broke off goes on with the days that are not there."""
+    return write_parts(df, path, day, force)
 
 
 def write_small(df: DataFrame, path: str) -> None:
@@ -47,14 +57,23 @@ def document(df: DataFrame) -> str:
     return json.dumps([r.asDict(recursive=True) for r in df.collect()], ensure_ascii=False, indent=2, default=str)
 
 
-def thousands(n: int) -> str:
-    """1844 as 1{,}844."""
-    return f"{int(n):,}".replace(",", "{,}")
+_TEX = {c: f"\\{c}" for c in "&%$#_{}"} | {"~": r"\textasciitilde{}", "^": r"\textasciicircum{}", "\\": r"\textbackslash{}"}
+
+
+def tex_cell(value: object) -> str:
+    """A value as TeX: integers in groups of three digits (20500 is 20{,}500), floats as they are, text with TeX's own signs escaped, null empty."""
+    if value is None:
+        return ""
+    if isinstance(value, int) and not isinstance(value, bool):
+        return re.sub(r"(?<=\d)(?=(?:\d{3})+$)", "{,}", str(value))
+    return "".join(_TEX.get(c, c) for c in str(value))
 
 
-def latex_table(header: Sequence[str], rows: Sequence[Sequence[str]], columns: str) -> str:
-    line = lambda cells: " & ".join(cells) + r" \\"
-    return "\n".join([rf"\begin{{tabular}}{{{columns}}}", r"\toprule", line(header), r"\midrule", *map(line, rows), r"\botrule", r"\end{tabular}", ""])
+def tex_table(df: DataFrame, head: Sequence[str] | None = None, align: str | None = None) -> str:
+    """A small result as a LaTeX tabular with a head (the columns' names); numbers stand to the right, all else to the left."""
+    head, *body = [" & ".join(map(tex_cell, cells)) + r" \\" for cells in (head or df.columns, *df.collect())]
+    align = align or "".join("r" if re.match("tinyint|smallint|int|bigint|float|double|decimal", t) else "l" for _, t in df.dtypes)
+    return "\n".join([rf"\begin{{tabular}}{{{align}}}", r"\toprule", head, r"\midrule", *body, r"\botrule", r"\end{tabular}", ""])
 
 
 def manifest(spark, path: str) -> DataFrame:
@@ -63,4 +82,5 @@ def manifest(spark, path: str) -> DataFrame:
 
 
 def config_hash(config: dict) -> str:
+    """Ten hex digits that name a configuration."""
     return hashlib.sha1(json.dumps(config, sort_keys=True).encode()).hexdigest()[:10]

@@ -84,6 +84,22 @@ def test_paged_service(spark, tmp_path):
         formats.read_subway(spark, url=f"{tmp_path}/{{month}}_{{start}}_{{end}}.json", months="202502", page="4", pause="0", retries="2").collect()
 
 
+def test_a_short_month_is_an_error(spark, tmp_path):
+    for first, last, rows in ((1, 4, [{"USE_MM": "202501", "STTN": str(i)} for i in range(4)]), (5, 7, [])):
+        (tmp_path / f"202501_{first}_{last}.json").write_text(json.dumps({"CardSubwayTime": {"list_total_count": 7, "row": rows}}))
+    with pytest.raises(Exception, match="3 of 7 rows of 202501 are missing"):
+        formats.read_subway(spark, url=f"{tmp_path}/{{month}}_{{start}}_{{end}}.json", months="202501", page="4", pause="0").collect()
+
+
+def test_days_are_accounted(spark, tmp_path):
+    at = str(tmp_path / "d")
+    day = lambda rows: spark.createDataFrame(rows, "date string, v int").selectExpr("cast(date as date) as date", "v")
+    account = lambda df: sorted((r.date, r.rows, r.written) for r in df.collect())
+    assert account(sinks.write_days(day([("2025-01-01", 1), ("2025-01-01", 2)]), at)) == [("2025-01-01", 2, True)]
+    assert account(sinks.write_days(day([("2025-01-01", 9), ("2025-01-02", 3)]), at)) == [("2025-01-01", 2, False), ("2025-01-02", 1, True)]
+    assert account(sinks.write_days(day([]), str(tmp_path / "none"))) == []
+
+
 def test_key(tmp_path, monkeypatch):
     (tmp_path / ".env").write_text("OTHER=1\nA_KEY = 'abc'\n")
     monkeypatch.delenv("A_KEY", raising=False)
@@ -104,8 +120,9 @@ def test_months_are_written_once(spark, tmp_path):
 
 
 def test_texts(spark, tmp_path):
-    assert sinks.thousands(1844) == "1{,}844"
-    assert sinks.latex_table(["a", "b"], [["1", "2"]], "lr").splitlines() == [r"\begin{tabular}{lr}", r"\toprule", r"a & b \\", r"\midrule", r"1 & 2 \\", r"\botrule", r"\end{tabular}"]
+    assert [sinks.tex_cell(v) for v in (7, 20500, -1234567, None, "a_b & 5%", 0.5)] == ["7", "20{,}500", "-1{,}234{,}567", "", r"a\_b \& 5\%", "0.5"]
+    small = spark.createDataFrame([("x_1", 1200, 0.5)], "name string, n int, v double")
+    assert sinks.tex_table(small).splitlines() == [r"\begin{tabular}{lrr}", r"\toprule", r"name & n & v \\", r"\midrule", r"x\_1 & 1{,}200 & 0.5 \\", r"\botrule", r"\end{tabular}"]
     assert sinks.config_hash({"b": 1, "a": 2}) == sinks.config_hash({"a": 2, "b": 1}) and len(sinks.config_hash({})) == 10
     df = spark.createDataFrame([(1, "x")], "a int, b string")
     sinks.write_document(df, str(tmp_path / "j"))
