@@ -17,9 +17,11 @@ WORD = r"[^\x20\x09-\x0D]+"
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: spark.checkpoint.dir, or a folder of its own where that is unset (tests)."""
+    """The folder that driver and executors share: spark.checkpoint.dir, or in local mode (tests) a folder of its own where that is unset."""
     at = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if not at:
+        if not spark.sparkContext.master.startswith("local"):
+            raise RuntimeError("spark.checkpoint.dir must name a folder that driver and executors share")
         at = "file://" + tempfile.mkdtemp(prefix="gridweave-")
         spark.conf.set("spark.checkpoint.dir", at)
     return at.rstrip("/")

@@ -51,7 +51,7 @@ CLASSES = GROUPS * MEMBERS
 #: Width of the states, and of queries and keys.
 WIDTH, KEYS = 16, 8
 #: Words that scoring tasks hold; words a worker keeps; tasks that sum models.
-TOP, KEPT, SUMS = 400_000, 600_000, 16
+TOP, KEPT, SUMS = 400_000, 500_000, 16
 #: Rounds of training: how many of 32 parts of the texts each takes, and its rate. Together they take all.
 ROUNDS = ((1, 0.02), (7, 0.015), (24, 0.01))
 #: Texts that a training task takes at least, and the windows of a batch at most.
@@ -308,7 +308,7 @@ def encoded(docs: DataFrame, usable: Column, path: str, pattern: str) -> DataFra
 
         for b in batches:
             texts, learns = column_bytes(b, "text"), np.array(b.column(2).to_pylist(), bool)
-            for part in chunks_by_size(texts, 6_000_000):
+            for part in chunks_by_size(texts, 3_000_000):
                 if len(words) > KEPT:
                     yield counted()
                     words, count = Words(coder), np.zeros(0, np.int64)
@@ -430,13 +430,22 @@ def pair_counts(counts: DataFrame, voc: Vocabulary, path: str, pattern: str) ->
     return np.vstack([total[:, :-1] + total[:, -1:] * begins / begins.sum(), total[:, -1].sum() * begins / begins.sum()])
 
 
+def _parts(batches: Iterator[pa.RecordBatch], column: int, most: int = 1_000_000) -> Iterator[pa.RecordBatch]:
+    """Slices of batches whose texts' ids, in a binary column, take some `most` bytes; a longer text stands alone."""
+    for b in batches:
+        ends = np.cumsum(pc.binary_length(b.column(column)).to_numpy(zero_copy_only=False).astype(np.int64))
+        at = 0
+        while at < b.num_rows:
+            to = max(at + 1, int(np.searchsorted(ends, (ends[at - 1] if at else 0) + most, "right")))
+            yield b.slice(at, to - at)
+            at = to
+
+
 def text_batches(batches: Iterator[pa.RecordBatch], voc: Vocabulary, kind: type, size: int) -> Iterator[tuple]:
     """Batches of windows, end to end, that hold every id and every end of all texts once."""
     rng = np.random.default_rng(5)
-    for b in batches:
-        if not b.num_rows:
-            continue
-        ids, lengths = closed(*_unbinary(b.column(0), kind), voc.end)
+    for own in _parts(batches, 0):
+        ids, lengths = closed(*_unbinary(own.column(0), kind), voc.end)
         cls, begin = voc.cls[ids], np.cumsum(lengths) - lengths
         inputs = _inputs(cls, lengths)
         seq, start, _, end = windows(lengths, WINDOW)
@@ -450,13 +459,13 @@ def text_batches(batches: Iterator[pa.RecordBatch], voc: Vocabulary, kind: type,
 
 
 def _keep_memory() -> None:
-    """Lets this worker keep the memory that numpy frees, up to 256 MB: handing it back and asking again takes as long as the arithmetic."""
+    """Lets this worker keep the memory that numpy frees, up to 64 MB: handing it back and asking again takes as long as the arithmetic."""
     try:
         tune = ctypes.CDLL(None).mallopt
     except (OSError, AttributeError):  # another C library
         return
-    tune(-3, 1 << 28)  # M_MMAP_THRESHOLD
-    tune(-1, 1 << 28)  # M_TRIM_THRESHOLD
+    tune(-3, 1 << 26)  # M_MMAP_THRESHOLD
+    tune(-1, 1 << 26)  # M_TRIM_THRESHOLD
 
 
 def learn_round(docs: DataFrame, n_docs: float, model: Attention, voc: Vocabulary, rate: float, path: str, pattern: str) -> int:
@@ -533,23 +542,20 @@ def score(docs: DataFrame, usable: Column, path: str, pattern: str) -> DataFrame
         voc, model, found = shared.value
         _keep_memory()
         others_type = pa.list_(pa.struct([("word", pa.binary()), ("m", pa.int32())]))
-        for b in batches:
-            sizes = pc.binary_length(b.column(2)).to_pylist()
-            for part in chunks_by_size([range(s) for s in sizes], 1_000_000):
-                own = b.slice(part.start, len(sizes[part]))
-                ids, size = _unbinary(own.column(2), kind)
-                scores = sequence_scores(voc, model, *closed(ids, size, voc.end))
-                first = np.flatnonzero(voc.begins[ids])
-                text = np.searchsorted(np.cumsum(size), first, "right")
-                logs = found.find(ids, first)
-                known = ~np.isnan(logs)
-                others: list[Counter] = [Counter() for _ in range(len(size))]
-                last, raw = np.append(first[1:], len(ids)), ids.astype(kind)
-                for i in np.flatnonzero(~known).tolist():
-                    others[text[i]][raw[first[i] : last[i]].tobytes()] += 1
-                arrays = [own.column(0), own.column(1), own.column(3), pa.array(np.bincount(text[known], minlength=len(size))), pa.array(np.bincount(text[known], logs[known], len(size)).astype(np.float64)), pa.array(scores)]  # without words bincount counts in integers
-                arrays.append(pa.array([[{"word": w, "m": m} for w, m in o.items()] for o in others], others_type))
-                yield pa.RecordBatch.from_arrays(arrays, names=["_row", "doc_id", "words", "known", "logs", "score", "others"])
+        for own in _parts(batches, 2):
+            ids, size = _unbinary(own.column(2), kind)
+            scores = sequence_scores(voc, model, *closed(ids, size, voc.end))
+            first = np.flatnonzero(voc.begins[ids])
+            text = np.searchsorted(np.cumsum(size), first, "right")
+            logs = found.find(ids, first)
+            known = ~np.isnan(logs)
+            others: list[Counter] = [Counter() for _ in range(len(size))]
+            last, raw = np.append(first[1:], len(ids)), ids.astype(kind)
+            for i in np.flatnonzero(~known).tolist():
+                others[text[i]][raw[first[i] : last[i]].tobytes()] += 1
+            arrays = [own.column(0), own.column(1), own.column(3), pa.array(np.bincount(text[known], minlength=len(size))), pa.array(np.bincount(text[known], logs[known], len(size)).astype(np.float64)), pa.array(scores)]  # without words bincount counts in integers
+            arrays.append(pa.array([[{"word": w, "m": m} for w, m in o.items()] for o in others], others_type))
+            yield pa.RecordBatch.from_arrays(arrays, names=["_row", "doc_id", "words", "known", "logs", "score", "others"])
 
     scored = with_row_id(texts).select("_row", "doc_id", "ids", "words").mapInArrow(run, "_row long, doc_id long, words long, known long, logs double, score double, others array<struct<word:binary,m:int>>")
     scored = settle(scored, "scored")

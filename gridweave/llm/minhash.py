@@ -4,18 +4,23 @@
    hashes. Texts with the same set are one node from here on, however many copies there are. A node is named by the smallest
    id of its texts and the digest, in bytes that sort by the id: the smallest node of a component has the component's id.
 2. In each of TREES independent trees nodes branch by the minwise hashes at one or two places that the branch chooses by
-   itself, 1 / similarity branches on average, so similar sets stay together with a probability that hardly shrinks with depth.
-   A branch of at most SMALL nodes ends; larger ones branch again, down to DEPTH. A branch that keeps FAMILY of its parent,
-   or is still large then, ends as well; it is dealt into blocks, and every pair of blocks is compared.
-3. In a branch that ended all pairs are compared by their minwise hashes; those that could reach the similarity (less four
-   standard errors) tie nodes to a cluster. A branch returns a star for each cluster, never its pairs.
+   itself, SPREAD / similarity branches on average: a similar pair meets again in more than one branch on average, so
+   its chance to stay together doesn't fall to 0 with depth, while a family of texts that share less than that shrinks with
+   every level. A branch of at most SMALL nodes ends; larger ones branch again. A branch that keeps FAMILY of its
+   parent holds copies of one text for the most part; it ends as well, and so does what is still large at DEPTH.
+3. In a small branch that ended all pairs are compared by their minwise hashes; those that could reach the similarity
+   (less four standard errors) tie nodes to a cluster. In a large one the best of PIVOTS nodes ties the nodes that could
+   reach it; the others meet every node of the branch, in units of a bounded size, and a branch returns stars, never pairs.
 4. Clusters, the connected components of these ties, get their full sets back from the texts. Small clusters are compared
-   exhaustively on them. In large ones the member most like the cluster's common signature is a pivot: everything close to it is
-   linked; Jaccard distance is a metric, so only members whose distances to the pivot differ by at most 1 - similarity can be linked
-   otherwise. What this leaves is dealt into blocks and every pair of blocks is compared exhaustively.
+   exhaustively on them. In large ones the member most like the cluster's common signature is a pivot, and everything close
+   to it is linked. The others meet again in the branches where they were candidates, on full sets: with every node of a small
+   branch, and in units of a bounded size in a large one; nodes so near to the pivot that they can have no link to the others
+   (Jaccard distance is a metric) stay away. A node's set is so sent to the branches it ended in, however large its cluster is.
 
-Links are therefore exact on full sets; recall depends on step 2 alone: a pair at the similarity misses a tree with a
-probability of some 0.13 at depth 1 and 0.4 at depth 4, all ten trees with 1e-9 and 1e-4.
+Links are therefore exact on full sets; recall depends on step 2 alone. A pair at the similarity is lost in one tree with a
+probability that grows from 0.13 at depth 1 to at most 0.42 (0.46 at 80 %) however deep the branches are, which would be 2e-4
+(4e-4) for ten trees. The trees draw from the same K hashes, so a pair whose hashes agree by chance in fewer places is likelier to
+miss them all: some 1e-3 for a pair exactly at the threshold that only branches of great depth hold; pairs five points above it, 1e-5.
 
 Defined results: null texts and texts without words have an empty set, no link and a component of their own; null ids
 count as no id (a component's id is the smallest that is not null); repeated rows share a component, and all rows with the
@@ -37,14 +42,16 @@ from pyspark.sql import functions as F
 from gridweave.llm.common import chunks_by_size, column_bytes, column_list, drop_settled, mix64, settle, words_of
 from gridweave.llm.components import components
 
-K, TREES, DEPTH, SMALL = 128, 10, 5, 128
-#: Nodes of a block of a larger branch that has ended.
-DENSE = 2048
-#: The part of its parent's nodes from which a branch counts as a family.
-FAMILY = 0.75
-#: Members of a cluster that is compared in one task; pivot rounds of larger ones; members of a block after that.
-CLUSTER, ROUNDS, BLOCK = 256, 2, 256
-#: Ids in a table that may be broadcast (some 40 bytes each).
+K, TREES, DEPTH, SMALL = 128, 10, 10, 128
+#: Branches that a node takes on average, times the similarity.
+SPREAD = 1.15
+#: The part of its parent's nodes from which a branch counts as copies of one text; pivots that are tried in it.
+FAMILY, PIVOTS = 0.9, 3
+#: Members of a cluster that is compared in one task.
+CLUSTER = 256
+#: Nodes of either side of a unit of a large branch, when hashes are compared and when full sets are.
+DENSE, BLOCK = 2048, 256
+#: Rows of ids (some 40 bytes each) in a table that may be broadcast.
 BROADCAST_ROWS = 500_000
 _RNG = np.random.default_rng(20240229)
 _A = (_RNG.integers(0, 2**32, K, dtype=np.uint64) | 1).astype(np.uint32)
@@ -127,7 +134,7 @@ def _children(branch: Column, sig: Column, similarity: float) -> Column:
     """Keys of the branches that a node with this signature goes to below `branch`."""
     place = lambda salt: F.pmod(F.xxhash64(branch, F.lit(salt)), F.lit(K)).cast("int")
     child = lambda p: F.xxhash64(branch, p, F.substr(sig, p * 4 + 1, F.lit(4)))
-    second = F.pmod(F.xxhash64(branch, F.lit(3)), F.lit(1000)) < int(1000 * (1 / similarity - 1))
+    second = F.pmod(F.xxhash64(branch, F.lit(3)), F.lit(1000)) < int(1000 * (SPREAD / similarity - 1))
     return F.when(second & (place(1) != place(2)), F.array(child(place(1)), child(place(2)))).otherwise(F.array(child(place(1))))
 
 
@@ -167,34 +174,27 @@ def _fixed(col: pa.ChunkedArray | pa.Array, width: int) -> np.ndarray:
     return np.frombuffer(b"".join(col.to_pylist()), np.uint8).reshape(-1, width)
 
 
-def _dense(sig: np.ndarray, least: float) -> np.ndarray:
-    """A label for each of many nodes, by ties between all of them; two nodes that the largest cluster already holds need no look."""
+def _dense(sig: np.ndarray, rest: np.ndarray, least: float) -> np.ndarray:
+    """A label for each of many nodes, by ties of those where `rest` holds with all of them."""
     label = np.arange(len(sig))
-
-    def look(i: int) -> None:
+    for i in np.flatnonzero(rest):
         near = label[(sig == sig[i]).sum(1) >= least]
         label[np.isin(label, near)] = near.min()
-
-    for i in range(min(8, len(sig))):
-        look(i)
-    main = int(np.bincount(label).argmax())  # a node of the largest cluster
-    for i in range(8, len(sig)):
-        if label[i] != label[main]:
-            look(i)
     return label
 
 
 def _ties(members: DataFrame, least: float) -> DataFrame:
-    """Stars (u, v) of the clusters in each branch of members(branch, node, brief): all pairs of a branch are compared by brief."""
+    """Stars (u, v) of the clusters in each unit of members(key, node, brief, rest): of at most SMALL nodes all pairs are compared
+    by brief, of more those with a node where `rest` holds."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for t in _groups(batches):
-            keys, sig = t.column(0).to_numpy(), _fixed(t.column(2), K)
+            keys, sig, rest = t.column(0).to_numpy(), _fixed(t.column(2), K), t.column(3).to_numpy()
             first = np.flatnonzero(np.concatenate([[True], keys[1:] != keys[:-1]]))
             size = np.diff(np.append(first, len(keys)))
             left, right = [np.empty(0, np.int64)], [np.empty(0, np.int64)]
             for s, g in zip(first[size > SMALL], size[size > SMALL], strict=True):
-                left.append(s + _dense(sig[s : s + g], least * K))
+                left.append(s + _dense(sig[s : s + g], rest[s : s + g], least * K))
                 right.append(np.arange(s, s + g))
             for g in np.unique(size[(size > 1) & (size <= SMALL)]):
                 a, b = np.triu_indices(g, 1)
@@ -213,42 +213,98 @@ def _ties(members: DataFrame, least: float) -> DataFrame:
             yield pa.RecordBatch.from_arrays([pa.array(node[label[own]]), pa.array(node[own])], names=["u", "v"])
 
     n = members.sparkSession.conf.get("spark.sql.shuffle.partitions")
-    placed = members.select("branch", "node", "brief").repartition(int(n), "branch").sortWithinPartitions("branch", "node")
+    placed = members.select("key", "node", "brief", "rest").repartition(int(n), "key").sortWithinPartitions("key", "node")
     return placed.mapInArrow(run, "u long, v long").distinct()
 
 
-def candidate_ties(nodes: DataFrame, similarity: float, trees: int = TREES) -> DataFrame:
-    """Ties (u, v) between nodes(node, sig, brief), node being a number, that share a branch that ended and could reach the similarity.
+def _on(rows: DataFrame, few: DataFrame, key: str, how: str = "inner", size: int = 40) -> DataFrame:
+    """Joins rows to a settled table with a row a key, of `size` bytes. No key meets in one task: the table is broadcast if it is no
+    larger than BROADCAST_ROWS ids, else it is repeated for each of 32 salts that the rows are dealt to by their node."""
+    if few.count() * size <= BROADCAST_ROWS * 40:
+        return rows.join(F.broadcast(few), key, how)
+    salted = few.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(31))))
+    return rows.withColumn("_salt", F.pmod(F.xxhash64("node"), F.lit(32)).cast("int")).join(salted, [key, "_salt"], how).drop("_salt")
+
+
+def _units(members: DataFrame, most: int) -> DataFrame:
+    """(key, node, rest): members(branch, node, rest) dealt so that each node where `rest` holds meets every node of its branch
+    in some unit; a unit has some 2 * most nodes."""
+    number = lambda c: F.ceil(c / most).cast("int")
+    sizes = members.groupBy("branch").agg(number(F.count("*")).alias("alls"), number(F.sum(F.col("rest").cast("long"))).alias("rests")).where("rests > 0")
+    dealt = _on(members, settle(sizes, "sizes"), "branch")
+    place = lambda n: F.pmod(F.xxhash64("node", "branch"), n).cast("int")
+    every = F.explode(F.sequence(F.lit(0), F.col("rests") - 1)).alias("_r")
+    one = dealt.select("branch", "node", place(F.col("alls")).alias("_a"), every, F.lit(False).alias("rest"))
+    every = F.explode(F.sequence(F.lit(0), F.col("alls") - 1)).alias("_a")
+    two = dealt.where("rest").select("branch", "node", every, place(F.col("rests")).alias("_r"), F.lit(True).alias("rest"))
+    both = one.unionByName(two).select(F.xxhash64("branch", "_a", "_r").alias("key"), "node", "rest")
+    return both.groupBy("key", "node").agg(F.max("rest").alias("rest"))
 
-    A branch that keeps most of its parent's nodes is a family of similar texts, which more branching would only copy: it
-    ends as well, dealt into pairs of blocks. Signatures are carried below the first level only for the nodes that get there.
+
+def _pivot_ties(dense: DataFrame, least: float) -> tuple[DataFrame, DataFrame]:
+    """Ties (u, v) of the nodes of large branches dense(branch, node, brief) with the best pivot of each, and (branch, node, rest)."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            own = _fixed(b.column(2), K) if b.num_rows else np.empty((0, K), np.uint8)
+            near = [pa.array((_fixed(b.column(3 + i), K) == own).sum(1) >= least * K) if b.num_rows else pa.array([], pa.bool_()) for i in range(PIVOTS)]
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), *near], names=["branch", "node", *(f"near{i}" for i in range(PIVOTS))])
+
+    pivots = dense.groupBy("branch").agg(*(F.min_by(F.struct("node", "brief"), F.xxhash64("node", F.lit(i))).alias(f"p{i}") for i in range(PIVOTS)))
+    pivots = settle(pivots, "pivot")
+    sides = _on(dense, pivots, "branch", size=(K + 40) * PIVOTS).select("branch", "node", "brief", *(F.col(f"p{i}.brief").alias(f"b{i}") for i in range(PIVOTS)))
+    near = settle(sides.mapInArrow(run, "branch long, node long, " + ", ".join(f"near{i} boolean" for i in range(PIVOTS))), "near")
+    ties = near.groupBy("branch").agg(*(F.sum(F.col(f"near{i}").cast("long")).alias(f"n{i}") for i in range(PIVOTS)))
+    # The pivot with the most ties is the branch's.
+    best = F.element_at(F.sort_array(F.array(*(F.struct(F.col(f"n{i}").alias("n"), F.lit(i).alias("i"), F.col(f"p{i}.node").alias("u")) for i in range(PIVOTS))), False), 1)
+    chosen = settle(ties.join(pivots, "branch").select("branch", best.alias("best")).select("branch", "best.i", "best.u"), "pivot")
+    mine = F.element_at(F.array(*(F.col(f"near{i}") for i in range(PIVOTS))), F.col("i") + 1)
+    tied = _on(near, chosen, "branch").select("branch", "node", "u", mine.alias("tied"))
+    return tied.where("tied and node != u").select("u", F.col("node").alias("v")), tied.select("branch", "node", (~F.col("tied")).alias("rest"))
+
+
+def candidate_ties(nodes: DataFrame, similarity: float, trees: int = TREES) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """Ties (u, v) between nodes(node, sig, brief), node being a number, that share a branch that ended and could reach the similarity;
+    the small branches (branch, node) and the large ones where they met.
+
+    Sizes of branches are counted by partial sums. Only the large branches' rows are joined to them, without a shuffle of a branch to
+    one task; the others have at most SMALL rows a branch. Signatures are carried below the first level only for the nodes that get there.
     """
     least = similarity - 4 * math.sqrt(similarity * (1 - similarity) / K)
     roots = F.explode(F.array(*(F.lit(t).cast("long") for t in range(trees)))).alias("branch")
-    level, deep, ended = nodes.select("node", "sig", F.lit(None).cast("long").alias("parent"), roots), None, []
+    level, deep, small, dense = nodes.select("node", "sig", F.lit(None).cast("long").alias("parent"), roots), None, [], []
     for depth in range(1, DEPTH + 1):
-        rows = level.select("node", "parent", F.explode(_children(F.col("branch"), F.col("sig"), similarity)).alias("branch"))
-        sizes = rows.groupBy("branch").agg(F.count("*").alias("n"), F.max("parent").alias("parent")).where("n > 1")
-        kept = settle(rows.drop("parent").join(sizes, "branch"), "branch")
-        large, family = F.col("n") > SMALL, F.coalesce(F.col("n") >= FAMILY * F.col("parent"), F.lit(False))
-        last = family if depth < DEPTH else F.lit(True)
-        # Every pair of blocks of a dense branch is compared, so none of its pairs is left out.
-        dense = kept.where(large & last).withColumn("blocks", F.ceil(F.col("n") / DENSE).cast("int"))
-        dealt = dense.withColumn("block", F.pmod(F.xxhash64("node", "branch"), F.col("blocks")).cast("int"))
-        other = F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("other")
-        units = dealt.select("branch", "node", "block", other).select(F.xxhash64("branch", F.least("block", "other"), F.greatest("block", "other")).alias("branch"), "node")
-        ended.append(kept.where(~large).select("branch", "node"))
-        ended.append(units)
-        more = kept.where(large & ~last)
-        if depth == DEPTH or more.isEmpty():
+        rows = settle(level.select("node", "parent", F.explode(_children(F.col("branch"), F.col("sig"), similarity)).alias("branch")), "branch")
+        sizes = settle(rows.groupBy("branch").agg(F.count("*").alias("n"), F.max("parent").alias("parent")).where("n > 1"), "sizes")
+        large = settle(sizes.where(F.col("n") > SMALL).select("branch", "n", (F.coalesce(F.col("n") >= FAMILY * F.col("parent"), F.lit(False)) | F.lit(depth == DEPTH)).alias("ends")), "large")
+        few = _on(rows.select("branch", "node"), large.select("branch"), "branch", "left_anti")
+        small.append(settle(few.join(sizes.where(F.col("n") <= SMALL).select("branch"), "branch", "left_semi"), "small"))
+        if large.isEmpty():
+            break
+        kept = settle(_on(rows.select("branch", "node"), large, "branch"), "kept")
+        drop_settled(rows)
+        dense.append(kept.where("ends").select("branch", "node"))
+        more = kept.where("not ends")
+        if more.isEmpty():
             break
         if deep is None:
             deep = settle(nodes.select("node", "sig").join(_side(settle(more.select("node").distinct(), "deep")), "node", "left_semi"), "deep")
         level = more.select("node", "branch", F.col("n").alias("parent")).join(deep, "node")
-    every = ended[0]
-    for e in ended[1:]:
-        every = every.unionByName(e)
-    return _ties(every.join(nodes.select("node", "brief"), "node"), least)
+    small, dense = _union(small), _union(dense) if dense else None
+    brief = nodes.select("node", "brief")
+    units = small.select(F.col("branch").alias("key"), "node", F.lit(True).alias("rest"))
+    if dense is None or dense.isEmpty():
+        return _ties(units.join(brief, "node"), least), small, small.limit(0)
+    stars, members = _pivot_ties(settle(dense.join(brief, "node"), "dense"), least)
+    units = units.unionByName(_units(settle(members, "rest"), DENSE))
+    return stars.unionByName(_ties(units.join(brief, "node"), least)), small, dense
+
+
+def _union(tables: list[DataFrame]) -> DataFrame:
+    out = tables[0]
+    for t in tables[1:]:
+        out = out.unionByName(t)
+    return out
 
 
 def _linked(inter: np.ndarray, a: np.ndarray, b: np.ndarray, per_cent: int) -> np.ndarray:
@@ -292,22 +348,23 @@ def _star(nodes: list[bytes], sets: list[np.ndarray], per_cent: int) -> tuple[li
 
 
 def _compare(groups: DataFrame, per_cent: int) -> DataFrame:
-    """Links (u, v), as stars, within each key of groups(key long, node, shingles); a node may repeat."""
+    """Links (u, v), as stars, within each key of groups(key long, node, shingles, rest); a key without `rest` has no links to look for."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        key, own, us, vs = None, {}, [], []
+        key, own, us, vs, open_ = None, {}, [], [], False
 
         def close() -> None:
-            if len(own) > 1:
+            if open_ and len(own) > 1:
                 u, v = _star(list(own), [_unpack(x) for x in own.values()], per_cent)
                 us.extend(u)
                 vs.extend(v)
 
         for b in batches:
-            for k, node, raw in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), b.column(2), strict=True):
+            for k, node, raw, rest in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), b.column(2), b.column(3).to_pylist(), strict=True):
                 if k != key:
                     close()
-                    key, own = k, {}
+                    key, own, open_ = k, {}, False
+                open_ |= rest
                 if node not in own:
                     own[node] = raw.as_py()
             yield pa.RecordBatch.from_arrays([pa.array(us, pa.binary()), pa.array(vs, pa.binary())], names=["u", "v"])
@@ -316,7 +373,7 @@ def _compare(groups: DataFrame, per_cent: int) -> DataFrame:
         yield pa.RecordBatch.from_arrays([pa.array(us, pa.binary()), pa.array(vs, pa.binary())], names=["u", "v"])
 
     n = int(groups.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    return groups.select("key", "node", "shingles").repartition(n, "key").sortWithinPartitions("key").mapInArrow(run, "u binary, v binary")
+    return groups.select("key", "node", "shingles", "rest").repartition(n, "key").sortWithinPartitions("key").mapInArrow(run, "u binary, v binary")
 
 
 def _side(few: DataFrame) -> DataFrame:
@@ -383,39 +440,36 @@ def _likeness(rows: DataFrame) -> DataFrame:
     return rows.select("cluster", "node", "sig", "common").mapInArrow(run, "cluster long, node binary, like long")
 
 
-def _large_links(sets: DataFrame, nodes: DataFrame, per_cent: int) -> DataFrame:
-    """Links (u, v) in clusters of more than CLUSTER members, given sets(cluster, node, shingles) and nodes(node, sig)."""
+def _large_links(sets: DataFrame, nodes: DataFrame, small: DataFrame, dense: DataFrame, per_cent: int) -> DataFrame:
+    """Links (u, v) in clusters of more than CLUSTER members, given sets(cluster, node, shingles), nodes(node, sig), and the branches
+    small(branch, node) and dense(branch, node) where the members met."""
     reach = 1 - per_cent / 100
     sets = settle(sets.dropDuplicates(["node"]), "sets")
-    state, links = settle(nodes.join(_side(sets.select("cluster", "node")), "node").select("cluster", "node", "sig"), "state"), []
-    sigs = state.select("node", "sig")
-    for r in range(ROUNDS):
-        sizes = state.groupBy("cluster").agg(F.count("*").alias("n"))
-        # The common signature of about 256 members, coordinate by coordinate; the member nearest to it is the pivot.
-        some = state.join(sizes, "cluster").where(F.pmod(F.xxhash64("node", F.lit(r)), F.col("n")) < 256)
-        common = some.groupBy("cluster").applyInPandas(_common, "cluster long, common binary")
-        best = _likeness(state.join(common, "cluster")).groupBy("cluster").agg(F.max(F.struct("like", "node")).alias("b")).select("cluster", F.col("b.node").alias("pivot"))
-        best = settle(best.join(sets.select(F.col("node").alias("pivot"), F.col("shingles").alias("pivot_shingles")), "pivot"), "pivot")
-        # A row a large cluster; clusters of over CLUSTER nodes are at most 1/CLUSTER of the nodes, still the planner chooses the join.
-        pairs = state.select("cluster", "node").join(best, "cluster").where("node != pivot").join(sets.select("node", "shingles"), "node")
-        d = settle(_distances(pairs).withColumn("d", 1 - F.col("inter") / (F.col("n") + F.col("m") - F.col("inter"))).withColumn("near", F.col("inter") * 100 >= per_cent * (F.col("n") + F.col("m") - F.col("inter"))), "distance")
-        links.append(d.where("near").select(F.col("pivot").alias("u"), F.col("node").alias("v")))
-        # A linked member can have a further link only to a member that isn't, at nearly its own distance from the pivot.
-        rest = d.where("not near").groupBy("cluster").agg(F.min("d").alias("low"), F.max("d").alias("high"))
-        left = d.join(rest, "cluster").where(~F.col("near") | (F.col("d") >= F.col("low") - reach - 1e-9))
-        state = settle(left.select("cluster", "node").join(sigs, "node"), "state")
-        if state.isEmpty():
-            break
-    if not state.isEmpty():
-        sizes = state.groupBy("cluster").agg(F.ceil(F.count("*") / BLOCK).cast("int").alias("blocks"))
-        dealt = state.select("cluster", "node").join(sizes, "cluster").withColumn("block", F.pmod(F.xxhash64("node", F.lit(17)), F.col("blocks")).cast("int"))
-        other = F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("other")
-        units = dealt.select("cluster", "node", "block", other).select(F.xxhash64("cluster", F.least("block", "other"), F.greatest("block", "other")).alias("key"), "node")
-        links.append(_compare(units.join(sets.select("node", "shingles"), "node"), per_cent))
-    out = links[0]
-    for x in links[1:]:
-        out = out.unionByName(x)
-    return out
+    state = settle(nodes.join(_side(sets.select("cluster", "node")), "node").select("cluster", "node", "sig"), "state")
+    sizes = settle(state.groupBy("cluster").agg(F.count("*").alias("n")), "sizes")
+    # The common signature of about 256 members, coordinate by coordinate; the member nearest to it is the pivot.
+    some = _on(state, sizes, "cluster").where(F.pmod(F.xxhash64("node", F.lit(0)), F.col("n")) < 256)
+    common = settle(some.groupBy("cluster").applyInPandas(_common, "cluster long, common binary"), "common")
+    best = _likeness(_on(state, common, "cluster", size=4 * K + 40)).groupBy("cluster").agg(F.max(F.struct("like", "node")).alias("b")).select("cluster", F.col("b.node").alias("pivot"))
+    best = settle(best.join(sets.select(F.col("node").alias("pivot"), F.col("shingles").alias("pivot_shingles")), "pivot"), "pivot")
+    # A row a large cluster; a pivot's set meets its members without a shuffle of a cluster to one task.
+    longest = best.agg(F.max(F.octet_length("pivot_shingles"))).first()[0] or 0
+    pairs = _on(sets.select("cluster", "node", "shingles"), best, "cluster", size=longest + 80).where("node != pivot")
+    d = _distances(pairs).withColumn("d", 1 - F.col("inter") / (F.col("n") + F.col("m") - F.col("inter"))).withColumn("near", F.col("inter") * 100 >= per_cent * (F.col("n") + F.col("m") - F.col("inter")))
+    d = settle(d.select("cluster", "node", "pivot", "d", "near"), "distance")
+    links = d.where("near").select(F.col("pivot").alias("u"), F.col("node").alias("v"))
+    # A linked member can have a further link only to a member that isn't, at nearly its own distance from the pivot.
+    low = settle(d.where("not near").groupBy("cluster").agg(F.min("d").alias("low")), "low")
+    left = settle(_on(d, low, "cluster").where(~F.col("near") | (F.col("d") >= F.col("low") - reach - 1e-9)).select("node", (~F.col("near")).alias("rest")), "left")
+    if left.isEmpty():
+        return links
+    units = small.join(_side(left), "node").select(F.col("branch").alias("key"), "node", "rest")
+    open_ = units.groupBy("key").agg(F.count("*").alias("n"), F.max("rest").alias("r")).where("r and n > 1").select("key")
+    units = units.join(open_, "key", "left_semi")
+    large = settle(dense.join(_side(left), "node").select("branch", "node", "rest"), "dense")
+    if not large.isEmpty():
+        units = units.unionByName(_units(large, BLOCK))
+    return links.unionByName(_compare(units.join(sets.select("node", "shingles"), "node"), per_cent))
 
 
 def near_duplicates(docs: DataFrame, per_cent: int = 80, width: int = 5) -> DataFrame:
@@ -425,16 +479,20 @@ def near_duplicates(docs: DataFrame, per_cent: int = 80, width: int = 5) -> Data
     nodes = settle(nodes.select("digest", _name(F.col("doc_id"), F.col("digest")).alias("name"), "sig", "brief", F.monotonically_increasing_id().alias("node")), "node")
     rows = settle(sketched.select("doc_id", "n_shingles", "digest"), "row")
     drop_settled(sketched)
-    root = components(candidate_ties(nodes.select("node", "sig", "brief"), per_cent / 100))
+    ties, small, dense = candidate_ties(nodes.select("node", "sig", "brief"), per_cent / 100)
+    root = components(ties)
     members = root.select(F.col("u").alias("node"), F.col("v").alias("cluster")).unionByName(root.select(F.col("v").alias("node"), F.col("v").alias("cluster")).distinct())
     sizes = root.groupBy(F.col("v").alias("cluster")).agg((F.count("*") + 1).alias("size"))
-    members = members.join(sizes, "cluster").join(nodes.select("node", "name"), "node").select(F.col("name").alias("node"), _id(F.col("name")).alias("doc_id"), "cluster", "size")
+    members = members.join(sizes, "cluster").join(nodes.select("node", "name"), "node").select("node", "name", _id(F.col("name")).alias("doc_id"), "cluster", "size")
     members = settle(members, "member")
-    links = _compare(_with_sets(docs, members.where(F.col("size") <= CLUSTER), width).withColumnRenamed("cluster", "key"), per_cent)
-    large = members.where(F.col("size") > CLUSTER)
+    clustered = lambda few: members.where(few).select(F.col("name").alias("node"), "doc_id", "cluster", "size")
+    alone = _with_sets(docs, clustered(F.col("size") <= CLUSTER), width)
+    links = _compare(alone.withColumnRenamed("cluster", "key").withColumn("rest", F.lit(True)), per_cent)
+    large = settle(members.where(F.col("size") > CLUSTER).select("node", "name"), "large")
     if not large.isEmpty():
         sigs = nodes.select(F.col("name").alias("node"), "sig")
-        links = links.unionByName(_large_links(_with_sets(docs, large, width), sigs, per_cent))
+        met = [settle(t.join(_side(large), "node").select("branch", F.col("name").alias("node")), "met") for t in (small, dense)]
+        links = links.unionByName(_large_links(_with_sets(docs, clustered(F.col("size") > CLUSTER), width), sigs, *met, per_cent))
     links = components(links)
     joint = nodes.select("digest", "name").join(links.select(F.col("u").alias("name"), F.col("v").alias("root")), "name", "left")
     joint = settle(joint.select("digest", _id(F.coalesce("root", "name")).alias("component_id")), "joint")

@@ -83,7 +83,6 @@ def test_empty_table(spark):
 
 def test_blocks_after_the_pivots(spark, monkeypatch):
     monkeypatch.setattr(minhash, "CLUSTER", 6)
-    monkeypatch.setattr(minhash, "ROUNDS", 1)
     monkeypatch.setattr(minhash, "BLOCK", 4)
     monkeypatch.setattr(minhash, "SMALL", 4)
     monkeypatch.setattr(minhash, "DEPTH", 2)
@@ -114,23 +113,43 @@ def test_components(spark, monkeypatch, few):
     assert got == want
 
 
-def test_pairs_inside_a_template_family(spark, monkeypatch):
-    """Texts that share a passage but aren't near-duplicates, and pairs of near-duplicates among them."""
-    monkeypatch.setattr(minhash, "SMALL", 4)
-    monkeypatch.setattr(minhash, "DEPTH", 1)
+@pytest.mark.parametrize("share", [0.7, 0.8, 0.9])
+@pytest.mark.parametrize("cut", [False, True])
+def test_pairs_inside_a_template_family(spark, monkeypatch, share, cut):
+    """Texts that share a template but mostly aren't near-duplicates, and pairs of near-duplicates among them."""
+    if cut:  # branches that stay large, clusters that are met again branch by branch, joins by salts
+        for name, value in (("SMALL", 8), ("DEPTH", 2), ("CLUSTER", 16), ("DENSE", 32), ("BLOCK", 16), ("BROADCAST_ROWS", 0)):
+            monkeypatch.setattr(minhash, name, value)
     rng = random.Random(21)
-    template, texts = rng.choices(WORDS, k=150), []
-    for _ in range(150):
-        own = template + rng.choices(WORDS, k=50)
-        texts += [" ".join(own), edited(rng, own, 2)]
+    template, texts = rng.choices(WORDS, k=int(200 * share)), []
+    for _ in range(200):
+        own = template + rng.choices(WORDS, k=200 - len(template))
+        texts += [" ".join(own), edited(rng, own, 2)] if rng.random() < 0.3 else [" ".join(own)]
     rows = list(enumerate(texts))
     assert run(spark, rows, 85) == brute(rows, 85)
 
 
-def test_all_pairs_of_a_dense_branch():
+def test_units_of_a_dense_branch(spark):
+    """Each node at odds with the rest meets all nodes of its branch, in units of some 2 * most nodes."""
+    rng = random.Random(2)
+    rows = [(b, i, rng.random() < 0.2) for b, n in ((1, 50), (2, 7), (3, 30)) for i in range(n)] + [(4, i, False) for i in range(20)]
+    got = minhash._units(spark.createDataFrame(rows, "branch long, node long, rest boolean"), 8).collect()
+    units = {}
+    for r in got:
+        units.setdefault(r.key, {})[r.node] = r.rest
+    assert max(map(len, units.values())) <= 32
+    for b, i, rest in rows:
+        if rest:
+            met = {n for u in units.values() if u.get(i) for n in u}
+            assert met >= {j for c, j, _ in rows if c == b}
+    assert sum(map(len, units.values())) < 50 * 7 * 3
+
+
+def test_ties_of_the_rest_of_a_dense_branch():
     rng = np.random.default_rng(8)
     sig = rng.integers(0, 256, (40, minhash.K)).astype(np.uint8)[rng.integers(0, 40, 300)]
     sig[rng.random(sig.shape) < 0.1] = 0
-    i, j = np.nonzero(np.triu((sig[:, None] == sig[None]).sum(2) >= 0.7 * minhash.K, 1))
-    want, got = minhash._min_labels(300, i, j), minhash._dense(sig, 0.7 * minhash.K)
-    assert len({*zip(want, got, strict=True)}) == len({*want}) == len({*got})
+    for rest in (np.ones(300, bool), rng.random(300) < 0.3):
+        i, j = np.nonzero(np.triu((sig[:, None] == sig[None]).sum(2) >= 0.7 * minhash.K, 1) & (rest[:, None] | rest[None]))
+        want, got = minhash._min_labels(300, i, j), minhash._dense(sig, rest, 0.7 * minhash.K)
+        assert len({*zip(want, got, strict=True)}) == len({*want}) == len({*got})
