@@ -8,6 +8,8 @@ import numpy as np
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from gridweave import constants as C
+
 
 def contingency(df: DataFrame, a: str, b: str) -> DataFrame:
     """n of each pair (a, b); with row and column sums and the total it is all that the indices need."""
@@ -76,3 +78,8 @@ def best_assignment_exhaustive(matrix: np.ndarray) -> float:
     """The greatest sum by trying all permutations; for tests."""
     n = matrix.shape[0]
     return max(sum(matrix[i, p[i]] for i in range(n)) for p in permutations(range(matrix.shape[1]), n))
+
+
+def hash_subset(rows: DataFrame, key: str, n: int, seed: int = C.SEED) -> DataFrame:
+    """n rows by the order of a hash of their key: the same whatever the partitioning."""
+    return rows.orderBy(F.md5(F.concat_ws("|", F.col(key).cast("string"), F.lit(str(seed)))), key).limit(n)

@@ -4,13 +4,14 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from gridweave.operators import features
+from gridweave.operators import features, report
 from gridweave.operators.models import hmm, hsmm, ladder
-from gridweave.session import ensure_checkpoint_dir
+from gridweave.plans import regimes
 from gridweave.plans.features import _emission, _rows, rounded
+from gridweave.session import ensure_checkpoint_dir
 from gridweave.sources.domain import BLOCK
 
-KEYS = ["cell_id", "date"]
+KEYS, SAMPLED = ["cell_id", "date"], 2000
 
 
 def _sequences(spark, sf):
@@ -25,8 +26,11 @@ def hmm_decode(spark, sf):
 
 
 def hsmm_decode(spark, sf):
+    """Fitted on sampled training days; all days are decoded with the parameters as they are stored."""
     seq = _sequences(spark, sf)
-    return rounded(hsmm.decode(seq, hsmm.fit(seq, 7, 19), KEYS))
+    keys = features.sample_keys(seq.select(*KEYS, "split"), {"train": SAMPLED})
+    stored = hsmm.fit(seq.join(keys.select(*KEYS), KEYS, "left_semi"), 7, 19).to_json()
+    return rounded(hsmm.decode(seq, hsmm.HSMM.from_json(stored), KEYS))
 
 
 def model_ladder(spark, sf):
@@ -65,5 +69,9 @@ def state_emissions(spark, sf):
     return spark.createDataFrame(ladder.emission_table(hsmm.fit(seq, 7, 19).means, parameters), EMISSIONS)
 
 
-QUERIES = {f.__name__: f for f in (hmm_decode, hsmm_decode, model_ladder, state_sweep, lda_topics, state_emissions)}
+def regime_characteristics(spark, sf):
+    return rounded(report.regime_characteristics(state_emissions(spark, sf), regimes.state_activation(spark, sf)))
+
+
+QUERIES = {f.__name__: f for f in (hmm_decode, hsmm_decode, model_ladder, state_sweep, lda_topics, state_emissions, regime_characteristics)}
 SQL: dict[str, str] = {}

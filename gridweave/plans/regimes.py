@@ -14,6 +14,7 @@ STRUCT = [6]
 NAMES = D.STATES
 KEYS = ["cell_id", "date"]
 MOST = 19
+SUBSET = 800
 
 
 def _labels(spark, sf):
@@ -171,13 +172,23 @@ PO_SQL = f"""{ACT_SQL}, {SUM_SQL[len(L) + 2 :]}, po as (select cell_id, {_first(
 
 
 def _two_labelings(spark, sf):
-    return D.table(spark, sf, "events").select("event_type", (F.length("props") * 7 + F.col("user_id") % 4).cast("int").alias("other"))
+    return _labelings(D.table(spark, sf, "events"))
+
+
+def _labelings(events):
+    return events.select("event_type", (F.length("props") * 7 + F.col("user_id") % 4).cast("int").alias("other"))
 
 
 def ari(spark, sf):
     return rounded(agreement.adjusted_rand(_two_labelings(spark, sf), "event_type", "other"))
 
 
+def ari_subset(spark, sf):
+    """The index over a seeded subset of rows."""
+    e = agreement.hash_subset(D.table(spark, sf, "events"), "event_id", SUBSET)
+    return rounded(agreement.adjusted_rand(_labelings(e), "event_type", "other"))
+
+
 def nmi(spark, sf):
     return rounded(agreement.normalized_mutual_information(_two_labelings(spark, sf), "event_type", "other"))
 
@@ -205,7 +216,7 @@ def multi_r2(spark, sf):
 
 QUERIES = {
     f.__name__: f
-    for f in (run_lengths, duration_pmf, coherence, transition_counts, geometric_pmf, duration_kl, cell_regime_summary, unit_purity, discordance, eta2, sensitivity, state_activation, presence_only_summary, day_night_switch, split_by_state, margin_quantiles, ari, nmi, contingency, linreg, partial_corr, chi2_cramers_v, multi_r2)
+    for f in (run_lengths, duration_pmf, coherence, transition_counts, geometric_pmf, duration_kl, cell_regime_summary, unit_purity, discordance, eta2, sensitivity, state_activation, presence_only_summary, day_night_switch, split_by_state, margin_quantiles, ari, ari_subset, nmi, contingency, linreg, partial_corr, chi2_cramers_v, multi_r2)
 }
 _TWO = "t as (select event_type as a, cast(length(props) * 7 + user_id % 4 as int) as b from events), c as (select a, b, count(*) as n from t group by all), w as (select *, sum(n) over (partition by a) as na, sum(n) over (partition by b) as nb, sum(n) over () as total from c)"
 
@@ -238,6 +249,7 @@ select round(sum(w * kl), 6) as duration_kl from k join pr using (state)""",
     "split_by_state": f"with {PO_SQL}, j as (select po_dominant, dominant_functional as d, count(*) as n, sum(share_residential) as r, sum(share_activity_B) as b from po join sm using (cell_id) group by all) select po_dominant, sum(n)::bigint as n_cells, count(*) as n_regimes, (list(d order by n desc, d))[1] as top_regime, round(sum(r) / sum(n), 6) as mean_share_residential, round(sum(b) / sum(n), 6) as \"mean_share_activityB\" from j group by po_dominant having sum(n) >= 10",
     "margin_quantiles": f"with {TABLE_SQL} select {', '.join(f'round(quantile_cont(dom_margin, {q}), 6) as q{int(q * 100)}' for q in (0.1, 0.25, 0.5, 0.75, 0.9))} from cells",
     "ari": f"with {_TWO}, s as (select sum(n * (n - 1) / 2) as ij, (select sum(x * (x - 1) / 2) from (select sum(n) as x from c group by a)) as i, (select sum(x * (x - 1) / 2) from (select sum(n) as x from c group by b)) as j, sum(n) as t from c) select round((ij - i * j / (t * (t - 1) / 2)) / ((i + j) / 2 - i * j / (t * (t - 1) / 2)), 6) as ari, t::bigint as n from s",
+    "ari_subset": f"with {_TWO.replace('from events)', f"from (select * from events order by md5(event_id || '|{C.SEED}'), event_id limit {SUBSET}))")}, s as (select sum(n * (n - 1) / 2) as ij, (select sum(x * (x - 1) / 2) from (select sum(n) as x from c group by a)) as i, (select sum(x * (x - 1) / 2) from (select sum(n) as x from c group by b)) as j, sum(n) as t from c) select round((ij - i * j / (t * (t - 1) / 2)) / ((i + j) / 2 - i * j / (t * (t - 1) / 2)), 6) as ari, t::bigint as n from s",
     "nmi": f"with {_TWO} select round(sum(n / total * ln((n / total) / ((na / total) * (nb / total)))) / ((sum(-n / total * ln(na / total)) + sum(-n / total * ln(nb / total))) / 2), 6) as nmi, max(total)::bigint as n from w",
     "contingency": f"with {_TWO} select a, b, n, na::bigint as na, nb::bigint as nb, total::bigint as total from w",
     "linreg": "with l as (select count(*) as n, round(corr(l_quantity, l_extendedprice), 6) as r, round(regr_r2(l_extendedprice, l_quantity), 6) as r2, round(regr_slope(l_extendedprice, l_quantity), 6) as slope, round(regr_intercept(l_extendedprice, l_quantity), 6) as intercept, corr(l_quantity, l_extendedprice) as raw from lineitem) select l.* exclude (raw), " + t_tail_sql("raw * sqrt((n - 2) / (1 - raw * raw))", "n - 2") + " as p from l",

@@ -2,7 +2,8 @@
 
 cells: one for every `per` users (every user one of its own, or blocks of BLOCK users where whole days are needed), on a grid of
 GRID columns, so cells grow with users and customers and polygons with suppliers; masked: values of at most 3 are null;
-demographics: the event's own band holds its count; dwell codes and states follow the event type.
+demographics: the event's own band holds its count; dwell codes and states follow the event type
+(of every sixth user, clicks and purchases are at home).
 """
 
 from __future__ import annotations
@@ -30,6 +31,7 @@ def _events(spark: SparkSession, sf_dir: str, per: int) -> DataFrame:
     return e.select(
         "event_id",
         "event_type",
+        "user_id",
         F.concat(F.lit("c"), F.lpad(cell.cast("string"), 9, "0")).alias("cell_id"),
         (cell % GRID).cast("int").alias("grid_ix"),
         F.floor(cell / GRID).cast("int").alias("grid_iy"),
@@ -57,9 +59,10 @@ def labels(spark: SparkSession, sf_dir: str, per: int = 1) -> DataFrame:
     """Decoded states: cell_id, grid_ix, grid_iy, date, time_bin, split and state."""
     e = _events(spark, sf_dir, per)
     state = F.create_map(*(F.lit(x) for k, (a, b) in STATE_OF.items() for x in (f"{k}0", a, f"{k}1", b)))
+    home = (F.col("user_id") % 6 == 0) & F.col("event_type").isin("click", "purchase")
     odd = F.concat("event_type", (F.col("event_id") % 2).cast("string"))
     split = F.when(F.col("date") <= F.lit("2024-01-25").cast("date"), "train").otherwise("holdout")
-    return e.select("event_id", "cell_id", "grid_ix", "grid_iy", "date", X.time_bin(F.col("hour")).alias("time_bin"), split.alias("split"), state[odd].alias("state"))
+    return e.select("event_id", "cell_id", "grid_ix", "grid_iy", "date", X.time_bin(F.col("hour")).alias("time_bin"), split.alias("split"), F.when(home, 4).otherwise(state[odd]).alias("state"))
 
 
 def cell_units(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -131,7 +134,7 @@ def stay_sql(per: int = 1) -> str:
 
 def labels_sql(per: int = 1) -> str:
     state = " ".join(f"when '{k}{p}' then {v[p]}" for k, v in STATE_OF.items() for p in (0, 1))
-    return f"labels_t as (select event_id, {_cell(per)}, cast(ts as date) as date, {_BIN} as time_bin, case when cast(ts as date) <= date '2024-01-25' then 'train' else 'holdout' end as split, case event_type || cast(event_id % 2 as varchar) {state} end as state from events)"
+    return f"labels_t as (select event_id, {_cell(per)}, cast(ts as date) as date, {_BIN} as time_bin, case when cast(ts as date) <= date '2024-01-25' then 'train' else 'holdout' end as split, case when user_id % 6 = 0 and event_type in ('click', 'purchase') then 4 else case event_type || cast(event_id % 2 as varchar) {state} end end as state from events)"
 
 
 def units_sql() -> str:

@@ -20,6 +20,7 @@ from itertools import chain
 from pathlib import Path
 from xml.etree import ElementTree
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -54,6 +55,24 @@ def _csv_rows(data: bytes, encoding: str) -> Iterator[list[str]]:
     return rows
 
 
+def read_csv(spark: SparkSession, path: str, schema: str) -> DataFrame:
+    """CSV files with a header, under a given schema; a row that does not fit it is an error."""
+    return spark.read.csv(path, schema=schema, header=True, mode="FAILFAST", enforceSchema=False)
+
+
+def read_tensors(spark: SparkSession, path: str) -> DataFrame:
+    """Arrays in NPY files and NPZ archives: path, name (of the member; of an NPY file, its own), shape, and values in C order as doubles."""
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for b in batches:
+            for at, data in zip(b["path"], b["content"], strict=True):
+                held = np.load(io.BytesIO(data), allow_pickle=False)
+                members = {n: held[n] for n in held.files} if hasattr(held, "files") else {at.rsplit("/", 1)[-1].removesuffix(".npy"): held}
+                yield pd.DataFrame({"path": [at] * len(members), "name": list(members), "shape": [list(a.shape) for a in members.values()], "values": [a.astype(np.float64).ravel() for a in members.values()]})
+
+    return binary_files(spark, path).mapInPandas(run, "path string, name string, shape array<int>, values array<double>")
+
+
 def csv_columns(spark: SparkSession, path: str, names: Sequence[str], encoding: str = "cp949", exact: bool = False, block: int = 20_000) -> DataFrame:
     """Text columns of CSV files, or of the CSV members of ZIP archives, by position.
 

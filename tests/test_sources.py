@@ -4,6 +4,7 @@ import json
 import struct
 import zipfile
 
+import numpy as np
 import pytest
 
 from gridweave import constants as C
@@ -84,6 +85,16 @@ def test_paged_service(spark, tmp_path):
         formats.read_subway(spark, url=f"{tmp_path}/{{month}}_{{start}}_{{end}}.json", months="202502", page="4", pause="0", retries="2").collect()
 
 
+def test_tensors_and_csv(spark, tmp_path):
+    a, b = np.arange(6.0).reshape(2, 3), np.array([1, 2], np.int16)
+    np.savez(tmp_path / "z.npz", one=a, two=b)
+    np.save(tmp_path / "y.npy", b)
+    got = {r.name: (r.shape, r["values"]) for r in formats.read_tensors(spark, f"{tmp_path}/*.np*").collect()}
+    assert got == {"one": ([2, 3], list(range(6))), "two": ([2], [1.0, 2.0]), "y": ([2], [1.0, 2.0])}
+    (tmp_path / "t.csv").write_text('a,b\n1,"x, y"\n2,\n')
+    assert [tuple(r) for r in formats.read_csv(spark, str(tmp_path / "t.csv"), "a int, b string").collect()] == [(1, "x, y"), (2, None)]
+
+
 def test_a_short_month_is_an_error(spark, tmp_path):
     for first, last, rows in ((1, 4, [{"USE_MM": "202501", "STTN": str(i)} for i in range(4)]), (5, 7, [])):
         (tmp_path / f"202501_{first}_{last}.json").write_text(json.dumps({"CardSubwayTime": {"list_total_count": 7, "row": rows}}))
