@@ -8,7 +8,7 @@ take quadratic time, are merged with a heap in the same order.
 
 Null text counts as empty, and an empty text has no ids. Very long texts are matched piecewise, so memory is bounded by a
 block of matches and the ids of one text. Rows are handled alone: repeated rows give repeated results, an empty table
-gives an empty one, and columns beside the text are not read.
+gives an empty one, ties between pairs of equal rank go to the leftmost, and columns beside the text are not read.
 """
 
 from __future__ import annotations
@@ -234,9 +234,12 @@ def load(path: str, pattern: str) -> ByteBPE:
 def encode(docs: DataFrame, path: str, pattern: str, text: str = "text", keep: tuple[str, ...] = ("doc_id",)) -> DataFrame:
     """The columns `keep` with `ids` (array of int) of every text and `decoded`, the text made from the ids again.
 
-    `decoded` is null only where the ids do not give back the text's bytes.
+    Columns of `keep` that are called ids or decoded are left out for the new ones. Ids whose bytes are not UTF-8, which a
+    rank file that holds every byte can't give, raise UnicodeDecodeError.
     """
-    schema = docs.select(*keep).schema.simpleString()[7:-1]
+    keep = tuple(k for k in keep if k not in ("ids", "decoded"))
+    own_names = [f"_c{i}" for i in range(len(keep))]
+    schema = docs.select(*(docs[k].alias(n) for k, n in zip(keep, own_names, strict=True))).schema.simpleString()[7:-1]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         bpe = load(path, pattern)
@@ -251,10 +254,11 @@ def encode(docs: DataFrame, path: str, pattern: str, text: str = "text", keep: t
                         pa.array([np.frombuffer(x, "<u4").astype(np.int32) for x in ids], pa.list_(pa.int32())),
                         pa.array([bpe.decode(x).decode() for x in ids], pa.string()),
                     ],
-                    names=[*keep, "ids", "decoded"],
+                    names=[*own_names, "ids", "decoded"],
                 )
 
-    return docs.select(*keep, docs[text].alias("_text")).mapInArrow(run, f"{schema}, ids array<int>, decoded string")
+    renamed = docs.select(*(docs[k].alias(n) for k, n in zip(keep, own_names, strict=True)), docs[text].alias("_text"))
+    return renamed.mapInArrow(run, f"{schema}, ids array<int>, decoded string").toDF(*keep, "ids", "decoded")
 
 
 def digests(docs: DataFrame, path: str, pattern: str) -> DataFrame:

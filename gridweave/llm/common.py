@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import atexit
 import tempfile
 import uuid
 import zlib
@@ -31,9 +32,28 @@ def fresh_dir(spark: SparkSession, what: str) -> str:
     return f"{shared_dir(spark)}/gridweave/{what}-{uuid.uuid4().hex}"
 
 
+_TO_CLEAR: set[str] = set()
+
+
+def _clear(spark: SparkSession, at: str) -> None:
+    try:
+        path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(at)
+        path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
+    except Exception:  # noqa: BLE001  the session may be gone by now; nothing depends on it
+        pass
+
+
 def settle(df: DataFrame, what: str = "table") -> DataFrame:
-    """df as a table written in the shared folder: cuts the lineage, survives lost executors, and fixes values made from row order."""
-    spark, at = df.sparkSession, fresh_dir(df.sparkSession, what)
+    """df as a table written in the shared folder: cuts the lineage, survives lost executors, and fixes values made from row order.
+
+    Results read such tables lazily, so they stay as long as the application; its folder is deleted when the driver ends.
+    """
+    spark = df.sparkSession
+    own = f"{shared_dir(spark)}/gridweave/{spark.sparkContext.applicationId}"
+    if own not in _TO_CLEAR:
+        _TO_CLEAR.add(own)
+        atexit.register(_clear, spark, own)
+    at = f"{own}/{what}-{uuid.uuid4().hex}"
     schema = df.schema
     df.write.parquet(at)
     return spark.read.schema(schema).parquet(at)

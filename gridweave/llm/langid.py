@@ -6,7 +6,8 @@ from its rank in the profile, or the greatest distance if it isn't there. The ne
 smaller name; the score is the relative margin to the next, mapped to 0.5 .. 1 (1 if only one language is known).
 
 Defined results: null text and text without a letter are `und` with score 0; rows with null lang are never learned from;
-without any language to learn every document is `und`; repeated rows get equal results; an empty table an empty one.
+without any language to learn every document is `und`; repeated rows get equal results; null ids are as good as others; a very
+long text is ranked whole, one text at a time; an empty table gives an empty one; other columns are not read.
 """
 
 from __future__ import annotations
@@ -20,7 +21,7 @@ from pyspark.sql import functions as F
 
 from gridweave.llm.common import chunks_by_size, column_list
 
-#: N-grams of a profile; how many documents of each language profiles are learned from, chosen by the hashes of their ids.
+#: N-grams of a profile; how many documents of each language profiles are learned from, chosen by the hashes of ids and texts.
 PROFILE, MAX_DOCS = 400, 2_000
 _BLANK = 32
 #: Code points to 0 (no letter) or the lower-case letter's code point, for the basic plane; others stay if alphabetic.
@@ -98,7 +99,7 @@ def learn(docs: DataFrame, usable: Column | None = None, most_docs: int = MAX_DO
     if not total:
         return Profiles([], [], most)
     share = F.create_map(*(F.lit(x) for lang, n in total.items() for x in (lang, min(1.0, most_docs / n))))
-    place = F.pmod(F.xxhash64("doc_id"), F.lit(1 << 40)) / float(1 << 40)
+    place = F.pmod(F.xxhash64("doc_id", "text"), F.lit(1 << 40)) / float(1 << 40)
     picked = rows.where(place < share[F.col("lang")]).select("lang", "text")
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -3,9 +3,8 @@
 A line (cut at line feeds, trimmed of blanks, tabs and carriage returns) is told apart by two 64-bit hashes. One
 aggregation merges a HyperLogLog sketch of the sites for each line; a line whose estimate is clear of the threshold is
 decided by it, the lines near it get an exact distinct count. Lines that occur on at least `min_sites` sites are removed
-from all documents, except from documents that consist of such lines for more than half of their characters: those are
-copies of each other as a whole, which is a matter for near-duplicate removal, and stay as they are. With `whole`, as in the
-pipeline, only documents that consist of such lines alone do; the rule of half is the one in SQL.
+from every document that has a line of its own; documents that consist of such lines alone are copies of each other as a
+whole, which is a matter for near-duplicate removal, and stay as they are.
 
 Sketches and counts are merged on the map side, so a line that is on a third of all pages costs a row a task. Defined
 results: null text stays null, blank lines are never removed, a null site counts as no site, lines of rows that share an
@@ -51,17 +50,16 @@ def spread_lines(docs: DataFrame, min_sites: int, text: str = "text", site: str
     return sure.unionByName(exact.where(F.col("exact") >= min_sites).select("a", "b")).select(F.struct("a", "b").alias("h"))
 
 
-def remove_spread_lines(docs: DataFrame, min_sites: int = 10, key: str = "doc_id", text: str = "text", site: str = "source", add: bool = True, whole: bool = False) -> DataFrame:
-    """docs with the column `text` cleaned and, if `add`, the new columns n_lines, n_removed and is_copy; if `whole`, only documents without a line of their own are copies."""
+def remove_spread_lines(docs: DataFrame, min_sites: int = 10, key: str = "doc_id", text: str = "text", site: str = "source", add: bool = True) -> DataFrame:
+    """docs with the column `text` cleaned and, if `add`, the new columns n_lines, n_removed and is_copy (a document without a line of its own)."""
     spread = settle(spread_lines(docs, min_sites, text, site), "lines")
     own = docs.select(docs[key].alias("_key"), F.explode(_lines(docs[text])).alias("line")).where(_key(F.col("line")) != "").select("_key", _hash(F.col("line")).alias("h"))
     marks = own.join(spread, "h", "left_semi").groupBy("_key").agg(F.collect_set("h").alias("_gone"))
     joined = docs.join(marks, docs[key].eqNullSafe(marks["_key"]), "left")
     lines, gone = _lines(docs[text]), marks["_gone"]
-    chars = lambda a: F.aggregate(a, F.lit(0).cast("long"), lambda s, x: s + F.length(_key(x)))
     hit = lambda x: (_key(x) != "") & F.array_contains(gone, _hash(x))
     taken = F.filter(lines, hit)
-    copy = F.coalesce(chars(taken) == chars(lines) if whole else 2 * chars(taken) > chars(lines), F.lit(False))
+    copy = F.coalesce(F.size(taken) == F.size(F.filter(lines, lambda x: _key(x) != "")), F.lit(False)) & gone.isNotNull()
     clean = F.when(gone.isNull() | copy, docs[text]).otherwise(F.array_join(F.filter(lines, lambda x: ~hit(x)), "\n"))
     removed = F.when(gone.isNull() | copy, 0).otherwise(F.size(taken))
     columns = [clean.alias(c) if c == text else docs[c] for c in docs.columns]
@@ -77,9 +75,9 @@ with l as (select doc_id, source, unnest(string_split(text, chr(10))) as line, g
 k as (select *, trim(line, ' ' || chr(9) || chr(13)) as key from l),
 spread as (select key from k where key <> '' group by key having count(distinct source) >= 10),
 m as (select k.*, spread.key is not null as hit from k left join spread on k.key = spread.key),
-d as (select doc_id, count(*) as n_lines, sum(length(key)) as total, coalesce(sum(length(key)) filter (hit), 0) as gone, count(*) filter (hit) as hits,
+d as (select doc_id, count(*) as n_lines, count(*) filter (key <> '') as own, count(*) filter (hit) as hits,
   coalesce(string_agg(line, chr(10) order by pos) filter (not hit), '') as clean from m group by doc_id)
-select documents.doc_id, coalesce(d.n_lines, 0)::bigint as n_lines, case when 2 * gone > total then 0 else coalesce(hits, 0) end::bigint as n_removed,
-  coalesce(2 * gone > total, false) as is_copy, md5(case when 2 * gone > total then documents.text else d.clean end) as clean_md5
+select documents.doc_id, coalesce(d.n_lines, 0)::bigint as n_lines, case when hits = own then 0 else coalesce(hits, 0) end::bigint as n_removed,
+  coalesce(hits = own and hits > 0, false) as is_copy, md5(case when hits = own then documents.text else d.clean end) as clean_md5
 from documents left join d on documents.doc_id = d.doc_id
 """

@@ -1,8 +1,10 @@
 """Media columns: images in Netpbm or BMP form, decoded to numpy, resized by integral images, kept as NPY tiles.
 
 Supported: binary and plain PGM and PPM (P2, P3, P5, P6) with up to 255 levels, and uncompressed 8-bit or 24-bit BMP.
+Samples of fewer levels are scaled to 255; samples or palette places beyond the last level make an image undecodable.
 A null or undecodable image gives nulls in the results of `tiles`; an empty table gives an empty one. Each row is handled
-alone, so repeated rows give repeated results, and columns beside those asked for pass through untouched.
+alone, so repeated rows give repeated results and ties need no rule; a very long text is one payload, held whole, beside
+few others. Columns other than those asked for are not read.
 """
 
 from __future__ import annotations
@@ -44,16 +46,23 @@ def decode(data: bytes) -> np.ndarray:
     if data[:2] == b"BM":
         return _decode_bmp(data)
     m = _HEADER.match(data)
-    if not m or not 0 < int(m[4]) < 256:
+    if not m or max(map(len, m.groups())) > 9 or not 0 < int(m[4]) < 256:
         raise ValueError("not a supported image")
     w, h, planes = int(m[2]), int(m[3]), 3 if m[1] in (b"P3", b"P6") else 1
     n = w * h * planes
     if m[1] in (b"P5", b"P6"):
         a = np.frombuffer(data, np.uint8, n, m.end()) if len(data) - m.end() >= n else np.empty(0, np.uint8)
     else:
-        a = np.array(re.sub(rb"#[^\n]*", b"", data[m.end() :]).split()[:n], dtype=np.int64).astype(np.uint8)
+        words = re.sub(rb"#[^\n]*", b"", data[m.end() :]).split()[:n]
+        if not all(len(x) < 10 and x.isdigit() for x in words):
+            raise ValueError("a sample is no number of a level")
+        a = np.array(words, dtype=np.int64)
     if not n or len(a) != n:
         raise ValueError("the image is cut off")
+    top = int(m[4])
+    if a.max() > top:
+        raise ValueError("a sample is beyond the last level")
+    a = a.astype(np.uint8) if top == 255 else np.rint(a * (255 / top)).astype(np.uint8)
     return a.reshape((h, w, 3) if planes == 3 else (h, w))
 
 
@@ -64,13 +73,16 @@ def _decode_bmp(data: bytes) -> np.ndarray:
     if packed or bits not in (8, 24) or w <= 0 or not h:
         raise ValueError("not a supported image")
     row, rows = -(-w * bits // 32) * 4, abs(h)
-    if len(data) < start + row * rows:
+    if start < 14 + size or len(data) < start + row * rows:
         raise ValueError("the image is cut off")
     a = np.frombuffer(data, np.uint8, row * rows, start).reshape(rows, row)
     a = a[::-1] if h > 0 else a
     if bits == 24:
         return a[:, : w * 3].reshape(rows, w, 3)[:, :, ::-1]
-    colours = np.frombuffer(data, np.uint8, start - 14 - size, 14 + size).reshape(-1, 4)[:, 2::-1]
+    entries = (start - 14 - size) // 4
+    if entries <= int(a[:, :w].max()):
+        raise ValueError("a sample is beyond the palette")
+    colours = np.frombuffer(data, np.uint8, entries * 4, 14 + size).reshape(-1, 4)[:, 2::-1]
     return colours[a[:, :w]]
 
 

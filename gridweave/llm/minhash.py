@@ -6,8 +6,8 @@
 2. In each of TREES independent trees nodes branch by the minwise hashes at one or two places that the branch chooses by
    itself, SPREAD / similarity branches on average: a similar pair meets again in more than one branch on average, so
    its chance to stay together doesn't fall to 0 with depth, while a family of texts that share less than that shrinks with
-   every level. A branch of at most SMALL nodes ends; larger ones branch again. A branch that keeps FAMILY of its
-   parent holds copies of one text for the most part; it ends as well, and so does what is still large at DEPTH.
+   every level. A branch of at most SMALL nodes ends; larger ones branch again. A branch that keeps as much of its parent
+   as the similarity holds copies of one text for the most part; it ends as well, and so does what is still large at DEPTH.
 3. In a small branch that ended all pairs are compared by their minwise hashes; those that could reach the similarity
    (less four standard errors) tie nodes to a cluster. In a large one the best of PIVOTS nodes ties the nodes that could
    reach it; the others meet every node of the branch, in units of a bounded size, and a branch returns stars, never pairs.
@@ -18,9 +18,10 @@
    (Jaccard distance is a metric) stay away. A node's set is so sent to the branches it ended in, however large its cluster is.
 
 Links are therefore exact on full sets; recall depends on step 2 alone. A pair at the similarity is lost in one tree with a
-probability that grows from 0.13 at depth 1 to at most 0.42 (0.46 at 80 %) however deep the branches are, which would be 2e-4
-(4e-4) for ten trees. The trees draw from the same K hashes, so a pair whose hashes agree by chance in fewer places is likelier to
-miss them all: some 1e-3 for a pair exactly at the threshold that only branches of great depth hold; pairs five points above it, 1e-5.
+probability that grows from 0.12 at depth 1 to 0.32 at depth 4 and 0.49 at depth 10 (0.15, 0.38 and 0.55 at 80 %), in all ten
+trees with 1e-9, 1e-5 and 8e-4 (5e-9, 6e-5 and 2e-3). The trees draw from the same K hashes, so a pair whose hashes agree by chance
+in fewer places is likelier to miss them all; some 2e-3 (5e-3) have to be expected for pairs exactly at the threshold in the deepest
+branches, which only families of tens of thousands reach, and a tenth of that five points above it.
 
 Defined results: null texts and texts without words have an empty set, no link and a component of their own; null ids
 count as no id (a component's id is the smallest that is not null); repeated rows share a component, and all rows with the
@@ -44,13 +45,13 @@ from gridweave.llm.components import components
 
 K, TREES, DEPTH, SMALL = 128, 10, 10, 128
 #: Branches that a node takes on average, times the similarity.
-SPREAD = 1.15
-#: The part of its parent's nodes from which a branch counts as copies of one text; pivots that are tried in it.
-FAMILY, PIVOTS = 0.9, 3
+SPREAD = 1.06
+#: Pivots that are tried in a branch of copies.
+PIVOTS = 3
 #: Members of a cluster that is compared in one task.
 CLUSTER = 256
 #: Nodes of either side of a unit of a large branch, when hashes are compared and when full sets are.
-DENSE, BLOCK = 2048, 256
+DENSE, BLOCK = 512, 256
 #: Rows of ids (some 40 bytes each) in a table that may be broadcast.
 BROADCAST_ROWS = 500_000
 _RNG = np.random.default_rng(20240229)
@@ -217,10 +218,10 @@ def _ties(members: DataFrame, least: float) -> DataFrame:
     return placed.mapInArrow(run, "u long, v long").distinct()
 
 
-def _on(rows: DataFrame, few: DataFrame, key: str, how: str = "inner", size: int = 40) -> DataFrame:
-    """Joins rows to a settled table with a row a key, of `size` bytes. No key meets in one task: the table is broadcast if it is no
+def _on(rows: DataFrame, few: DataFrame, key: str, how: str = "inner", size: int = 40, n: int | None = None) -> DataFrame:
+    """Joins rows to a settled table with a row a key, of `size` bytes (n: how many, if known). No key meets in one task: the table is broadcast if it is no
     larger than BROADCAST_ROWS ids, else it is repeated for each of 32 salts that the rows are dealt to by their node."""
-    if few.count() * size <= BROADCAST_ROWS * 40:
+    if (few.count() if n is None else n) * size <= BROADCAST_ROWS * 40:
         return rows.join(F.broadcast(few), key, how)
     salted = few.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(31))))
     return rows.withColumn("_salt", F.pmod(F.xxhash64("node"), F.lit(32)).cast("int")).join(salted, [key, "_salt"], how).drop("_salt")
@@ -276,21 +277,19 @@ def candidate_ties(nodes: DataFrame, similarity: float, trees: int = TREES) -> t
     for depth in range(1, DEPTH + 1):
         rows = settle(level.select("node", "parent", F.explode(_children(F.col("branch"), F.col("sig"), similarity)).alias("branch")), "branch")
         sizes = settle(rows.groupBy("branch").agg(F.count("*").alias("n"), F.max("parent").alias("parent")).where("n > 1"), "sizes")
-        large = settle(sizes.where(F.col("n") > SMALL).select("branch", "n", (F.coalesce(F.col("n") >= FAMILY * F.col("parent"), F.lit(False)) | F.lit(depth == DEPTH)).alias("ends")), "large")
-        few = _on(rows.select("branch", "node"), large.select("branch"), "branch", "left_anti")
-        small.append(settle(few.join(sizes.where(F.col("n") <= SMALL).select("branch"), "branch", "left_semi"), "small"))
-        if large.isEmpty():
-            break
-        kept = settle(_on(rows.select("branch", "node"), large, "branch"), "kept")
+        large = sizes.where(F.col("n") > SMALL).select("branch", "n", (F.coalesce(F.col("n") >= similarity * F.col("parent"), F.lit(False)) | F.lit(depth == DEPTH)).alias("ends"))
+        n_large, n_ends = large.agg(F.count("*"), F.count_if("ends")).first()
+        marked = settle(_on(rows.select("branch", "node"), large, "branch", "left", n=n_large), "marked")
         drop_settled(rows)
-        dense.append(kept.where("ends").select("branch", "node"))
-        more = kept.where("not ends")
-        if more.isEmpty():
+        small.append(marked.where("n is null").select("branch", "node").join(sizes.where(F.col("n") <= SMALL).select("branch"), "branch", "left_semi"))
+        dense.append(marked.where("ends").select("branch", "node"))
+        more = marked.where("not ends")
+        if n_ends == n_large:
             break
         if deep is None:
             deep = settle(nodes.select("node", "sig").join(_side(settle(more.select("node").distinct(), "deep")), "node", "left_semi"), "deep")
         level = more.select("node", "branch", F.col("n").alias("parent")).join(deep, "node")
-    small, dense = _union(small), _union(dense) if dense else None
+    small, dense = settle(_union(small), "small"), _union(dense) if dense else None
     brief = nodes.select("node", "brief")
     units = small.select(F.col("branch").alias("key"), "node", F.lit(True).alias("rest"))
     if dense is None or dense.isEmpty():

@@ -125,7 +125,7 @@ def _drawn(docs: DataFrame, decision: DataFrame, seed: int) -> DataFrame:
     edge = F.struct(F.col("block_at").alias("at"), F.col("border_block").alias("block"))
     own = F.struct(_place(seed, F.col("doc_id")).alias("h"), F.col("doc_id").alias("id"))
     more = F.when(F.col("block_at").isNull(), False).when(place < edge, True).when(place == edge, F.coalesce(own <= F.col("last"), F.lit(False))).otherwise(False)
-    return d.select("_doc", "weight", (F.col("passes") + more.cast("long")).alias("copies"))
+    return d.select("_doc", "weight", (F.col("passes") + more.cast("long")).alias("copies"), place["at"].alias("block_place"), own["h"].alias("doc_place"))
 
 
 def _columns(docs: DataFrame) -> list[Column]:
@@ -133,8 +133,10 @@ def _columns(docs: DataFrame) -> list[Column]:
 
 
 def copies(docs: DataFrame, decision: DataFrame, seed: int = 42) -> DataFrame:
-    """docs with the new columns weight (the source's) and copies, how often the mixture has the row."""
-    return _drawn(docs, decision, seed).select(*_columns(docs), "weight", "copies")
+    """docs with the new columns weight (the source's), copies, how often the mixture has the row, and the row's place in its source's
+    permutation: by block_place, then by doc_place. Columns of docs with these names are left out for the new ones."""
+    new = ("weight", "copies", "block_place", "doc_place")
+    return _drawn(docs, decision, seed).select(*(c for c, n in zip(_columns(docs), docs.columns, strict=True) if n not in new), *new)
 
 
 def mix(docs: DataFrame, budget: float | None = 1.0, entropy: float = 0.97, repeat: float = 4.0, seed: int = 42) -> DataFrame:

@@ -44,9 +44,9 @@ def op4_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op5_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = table(spark, sf_dir, "documents").select("doc_id", "source", "text")
+    docs = documents(spark, sf_dir).select("doc_id", "source", "text")
     drawn = mixing.copies(docs, mixing.decisions(docs))
-    return drawn.select("doc_id", "source", mixing.n_words(F.col("text")).alias("n_words"), F.round("weight", 9).alias("weight"), "copies")
+    return drawn.select("doc_id", "source", mixing.n_words(F.col("text")).alias("n_words"), F.round("weight", 9).alias("weight"), "copies", "block_place", "doc_place")
 
 
 def op6_langid(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -56,7 +56,7 @@ def op6_langid(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op7_linededup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    cleaned = linededup.remove_spread_lines(table(spark, sf_dir, "documents").select("doc_id", "source", "text"))
+    cleaned = linededup.remove_spread_lines(documents(spark, sf_dir).select("doc_id", "source", "text"))
     return cleaned.select("doc_id", "n_lines", "n_removed", "is_copy", F.md5("text").alias("clean_md5"))
 
 

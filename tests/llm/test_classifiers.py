@@ -1,5 +1,7 @@
 """Quality and language on the smallest tables: held-out accuracy, defined cases, brute force for the parts."""
 
+from collections import Counter
+
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
@@ -54,6 +56,73 @@ def test_trees_walk_as_their_nodes_say():
         assert p == pytest.approx(1 / (1 + np.exp(-z)))
 
 
+def test_splits_and_leaves_by_exhaustive_search():
+    """Every split is the one with the greatest gain of all features and edges, every leaf the Newton step of its rows."""
+    rng = np.random.default_rng(1)
+    x = rng.integers(0, 12, (200, 3)).astype(float)
+    y = ((x[:, 0] > 5) ^ (rng.random(200) < 0.2)).astype(float)
+    l2, least, rate, bins = 1.0, 2.0, 0.15, 64
+    t = quality.fit(x, y, trees=2, depth=2, rate=rate, bins=bins, l2=l2, least=least)
+    margin = np.full(200, np.log(y.mean() / (1 - y.mean())))
+    for feature, cut, value in zip(t.feature, t.threshold, t.value, strict=True):
+        p = 1 / (1 + np.exp(-margin))
+        g, h = p - y, p * (1 - p)
+        part = lambda m: g[m].sum() ** 2 / (h[m].sum() + l2)  # noqa: E731,B023
+        node = np.zeros(200, int)
+        for _ in range(2):
+            for k in np.unique(node):
+                own = node == k
+                gains = {}
+                for j in range(3):
+                    for e in np.unique(np.quantile(x[:, j], np.arange(1, bins) / bins)):
+                        left, right = own & (x[:, j] <= e), own & (x[:, j] > e)
+                        if h[left].sum() >= least and h[right].sum() >= least:
+                            gains[j, e] = part(left) + part(right) - part(own)
+                if gains and max(gains.values()) > 1e-6:
+                    assert gains[feature[k], cut[k]] == pytest.approx(max(gains.values()))
+                else:
+                    assert cut[k] == np.inf
+            node = 2 * node + 1 + (x[np.arange(200), feature[node]] > cut[node])
+        for leaf in range(4):
+            own = node == leaf + 3
+            assert value[leaf] == pytest.approx(-rate * g[own].sum() / (h[own].sum() + l2))
+        margin = margin + value[node - 3]
+
+
+def plain_grams(text):
+    """Counts of 1 to 3 letters of words between blanks."""
+    padded = " " + "".join(c.lower()[0] if c.isalpha() else " " for c in text) + " "
+    padded = " ".join(padded.split())
+    padded = f" {padded} " if padded else ""
+    out = Counter()
+    for n in (1, 2, 3):
+        out.update(padded[i : i + n] for i in range(len(padded) - n + 1))
+    del out[" "]
+    return out
+
+
+def test_profiles_by_brute_force(spark):
+    rows = [(i, t, lang) for i, (t, lang) in enumerate([("The cat, the dog & THE end", "en"), ("a cat's tail 123", "en"), ("Der Hund über die Straße", "de"), ("die Katze!", "de"), (None, "de"), ("no language", None)])]
+    p = langid.learn(spark.createDataFrame(rows, "doc_id long, text string, lang string"), most=30)
+    code = lambda g: sum(ord(c) << 21 * (len(g) - 1 - i) for i, c in enumerate(g))
+    assert p.langs == ["de", "en"]
+    for j, lang in enumerate(p.langs):
+        n = Counter()
+        for _, t, own in rows:
+            if own == lang and t is not None:
+                n.update(plain_grams(t))
+        want = [code(g) for g in sorted(n, key=lambda g: (-n[g], code(g)))[:30]]
+        have = sorted(((r, int(k)) for k, r in zip(p.keys, p.rank[:-1, j], strict=True) if r >= 0))
+        assert [k for _, k in have] == want
+
+
+def test_many_rows_with_one_id_are_not_all_sampled(spark):
+    rows = [(None, "".join(chr(97 + i // 26**k % 26) for k in range(3)), "en") for i in range(3000)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    seen = langid.learn(docs, most_docs=100, most=100_000)
+    assert 0 < len(seen.keys) < len(langid.learn(docs, most=100_000).keys)
+
+
 def test_language_held_out(spark):
     got = registry.op6_langid(spark, SF).join(spark.read.parquet(f"{SF}/documents.parquet").select("doc_id", "lang"), "doc_id").toPandas()
     own = got[got.held_out]
