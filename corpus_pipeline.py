@@ -24,13 +24,16 @@ SIMILAR, REPEAT = 80, 2.0
 def quality_filter(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the classifier doesn't reject. It learns from the labels of documents that aren't held out."""
     model = quality.train(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"), quality.labelled())
-    scored = quality.score(docs, model, name="_quality")
-    return scored.where(scored["_quality"] >= REJECT).drop("_quality")
+    name = "_quality"
+    while name in docs.columns:
+        name = f"_{name}"
+    scored = quality.score(docs, model, name=name)
+    return scored.where(scored[name] >= REJECT).drop(name)
 
 
 def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """All documents, without the lines that spread over sites (but where a document has no others); n_chars follows the text."""
-    cleaned = linededup.remove_spread_lines(docs, add=False, whole=True)
+    cleaned = linededup.remove_spread_lines(docs, add=False)
     return cleaned.withColumn("n_chars", F.length("text").cast("long")).select(docs.columns)
 
 
