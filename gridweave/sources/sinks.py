@@ -22,12 +22,13 @@ def write_parts(df: DataFrame, path: str, part: str, force: bool = False) -> Dat
     here = [s.getPath().getName() for s in fs.listStatus(root)] if fs.exists(root) and not force else []
     done = [n.partition("=")[2] for n in here if n.startswith(f"{part}=")]  # a name a part
     new = df.where(~F.col(part).cast("string").isin(done)) if done else df
-    if not new.isEmpty():
+    ours = [r[0] for r in new.select(F.col(part).cast("string")).distinct().collect()]  # a row a part
+    if ours:
         new.hint("rebalance", part).write.partitionBy(part).mode("overwrite").option("partitionOverwriteMode", "dynamic").option("compression", "zstd").parquet(path)
     if not fs.exists(root):
         return spark.createDataFrame([], f"{part} string, rows long, written boolean")
     rows = spark.read.option("spark.sql.sources.partitionColumnTypeInference.enabled", "false").parquet(path).groupBy(F.col(part).cast("string").alias(part)).agg(F.count("*").alias("rows"))
-    return rows.withColumn("written", ~F.col(part).isin(done) if done else F.lit(True))
+    return rows.withColumn("written", F.col(part).isin(ours) if ours else F.lit(False))
 
 
 def write_months(df: DataFrame, path: str, month: str = "year_month", force: bool = False) -> list[str]:
