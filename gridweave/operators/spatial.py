@@ -168,14 +168,46 @@ def patch_purity(cells: DataFrame, unit: str, category: str, patches: int = 40,
     return units.join(null, "unit").withColumn("z", (F.col("purity") - F.col("null_mean")) / (F.col("null_std") + 1e-9))
 
 
-def connected_areas(cells: DataFrame, least: int = 5, most_rounds: int = 200) -> DataFrame:
+#: Edges up to which areas are joined up in one task (some 200 bytes each).
+FEW_EDGES = 300_000
+
+
+def _areas_in_one_task(edges: DataFrame) -> DataFrame:
+    """cell_id and the smallest cell_id of its component, of every cell with an edge; union by the smaller root."""
+
+    def run(batches):
+        root = {}
+
+        def find(x):
+            top = x
+            while (up := root.get(top, top)) != top:
+                top = up
+            while x != top:
+                root[x], x = top, root[x]
+            return top
+
+        for b in batches:
+            for x, y in zip(b["src"], b["dst"], strict=True):
+                x, y = find(x), find(y)
+                root[max(x, y)] = root[min(x, y)] = min(x, y)
+        yield pd.DataFrame({"cell_id": list(root), "_least": [find(x) for x in root]})
+
+    kind = edges.schema["src"].dataType.simpleString()
+    return edges.select("src", "dst").coalesce(1).mapInPandas(run, f"cell_id {kind}, _least {kind}")
+
+
+def connected_areas(cells: DataFrame, least: int = 5, most_rounds: int = 200, few: int = FEW_EDGES) -> DataFrame:
     """cell_id and area (its smallest cell_id) of the 8-neighbour components of cells with at least `least` members.
 
-    The least label spreads to neighbours and, by pointers, to the label's own label, so rounds grow with the logarithm of an
-    area's extent; each round is written to the checkpoint folder. Raises RuntimeError if labels still change after most_rounds.
+    At most `few` edges take one task. Of more the least label spreads to neighbours and, by pointers, to the label's own label, so
+    rounds grow with the logarithm of an area's extent; each round is written to the checkpoint folder and is a plan or two that the
+    driver keeps. Raises RuntimeError if labels still change after most_rounds.
     """
     ensure_checkpoint_dir(cells.sparkSession)
     edges = queen_edges(cells).checkpoint()
+    if edges.count() <= few:
+        found = cells.select("cell_id").join(_areas_in_one_task(edges), "cell_id", "left")
+        return _with_size(found.select("cell_id", F.coalesce("_least", "cell_id").alias("area")).checkpoint(), least)
     label = cells.select("cell_id", F.col("cell_id").alias("area"))
     mark = None
     for _ in range(most_rounds):
@@ -189,6 +221,10 @@ def connected_areas(cells: DataFrame, least: int = 5, most_rounds: int = 200) ->
         mark = now
     else:
         raise RuntimeError(f"areas are not complete after {most_rounds} rounds")
+    return _with_size(label, least)
+
+
+def _with_size(label: DataFrame, least: int) -> DataFrame:
     size = label.groupBy("area").agg(F.count("*").alias("n_cells")).where(F.col("n_cells") >= least)
     return label.join(size, "area").select("cell_id", "area", "n_cells")
 
@@ -198,7 +234,8 @@ def area_attributes(areas: DataFrame, cells: DataFrame, centres: DataFrame) -> D
 
     cells has cell_id, grid indices, admin_dong and activity_share; centres(cell_id, centre, tier) has the cells of centres.
     """
-    m = areas.join(cells, "cell_id")
+    ensure_checkpoint_dir(cells.sparkSession)
+    m = areas.join(cells, "cell_id").checkpoint()
     dong = m.groupBy("area", "admin_dong").agg(F.count("*").alias("n")).groupBy("area").agg(F.min_by("admin_dong", F.struct(-F.col("n"), F.col("admin_dong"))).alias("dominant_admin_dong"))
     base = m.groupBy("area").agg(
         F.count("*").alias("n_cells"),
@@ -207,7 +244,8 @@ def area_attributes(areas: DataFrame, cells: DataFrame, centres: DataFrame) -> D
         (F.avg("grid_iy") * C.GRID_STEP + C.GRID_Y0).alias("cy"),
         F.sort_array(F.collect_list("cell_id")).alias("cell_ids"),
     )
-    touch = queen_edges(cells).join(areas.select(F.col("cell_id").alias("src"), "area"), "src").join(centres.select(F.col("cell_id").alias("dst"), "centre", "tier"), "dst")
+    near = centres.select("cell_id", "centre", "tier").join(cells.select("cell_id", "grid_ix", "grid_iy"), "cell_id")
+    touch = window_pairs(m.select("area", "grid_ix", "grid_iy"), near.select("grid_ix", "grid_iy", "centre", "tier"), 1, centre=False)
     pairs = touch.groupBy("area", "centre", "tier").agg(F.count("*").alias("n"))
     lists = pairs.groupBy("area").agg(F.array_sort(F.collect_list(F.struct((-F.col("n")).alias("n"), "centre", "tier"))).alias("_p"))
     out = base.join(dong, "area").join(lists, "area", "left")

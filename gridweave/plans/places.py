@@ -8,6 +8,7 @@ from gridweave import constants as C
 from gridweave.operators import plan, polygons, regimes, spatial, transit
 from gridweave.plans.features import rounded
 from gridweave.plans.regimes import TABLE_SQL, _SH, _six, _table, t_tail_sql
+from gridweave.session import ensure_checkpoint_dir
 from gridweave.sources import domain as D
 
 SHIFTS, PERMS, RELABELS = 150, 999, 200
@@ -147,8 +148,14 @@ def components(spark, sf):
     return spatial.connected_areas(_flagged(spark, sf).select("cell_id", "grid_ix", "grid_iy"), 2)
 
 
+def _settled_plan(spark, sf):
+    """What areas need of the cells, written once: they read it five times, and each plan would hold the summary of all events as often."""
+    ensure_checkpoint_dir(spark)
+    return _planned(spark, sf).select("cell_id", "grid_ix", "grid_iy", "admin_dong", "activity_share", "centre", "tier").checkpoint()
+
+
 def emergent_clusters(spark, sf):
-    p = _planned(spark, sf)
+    p = _settled_plan(spark, sf)
     areas = spatial.connected_areas(p.where("activity_share >= 0.4 and centre is null").select("cell_id", "grid_ix", "grid_iy"), 2)
     centres = p.where("centre is not null").select("cell_id", "centre", "tier")
     return rounded(spatial.area_attributes(areas.select("cell_id", "area"), p.select("cell_id", "grid_ix", "grid_iy", "admin_dong", "activity_share"), centres))

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from gridweave.operators import report, spatial
 from gridweave.plans import places
 from gridweave.plans.features import rounded
-from gridweave.plans.places import _planned
+from gridweave.plans.places import _settled_plan
 from gridweave.plans.regimes import K, L, TABLE_SQL, _labels, _table
 from gridweave import constants as C
 from gridweave.sources import domain as D
@@ -23,7 +23,7 @@ def purity_by_size(spark, sf):
 
 
 def hotspots(spark, sf):
-    p = _planned(spark, sf)
+    p = _settled_plan(spark, sf)
     areas = spatial.connected_areas(p.where("activity_share >= 0.45").select("cell_id", "grid_ix", "grid_iy"), 1)
     clusters = spatial.area_attributes(areas.select("cell_id", "area"), p.select("cell_id", "grid_ix", "grid_iy", "admin_dong", "activity_share"), p.where("centre is not null").select("cell_id", "centre", "tier"))
     return rounded(report.hotspots(clusters, D.centres(spark, sf).withColumnsRenamed({"label": "place", "tier": "category"})))

@@ -13,6 +13,7 @@ from gridweave import constants as C
 from gridweave.functions import columns as X
 from gridweave.functions import special
 from gridweave.operators import agreement, features, inference, plan, polygons, regimes, sequences, spatial, transit
+from gridweave.plans import registry
 
 
 def one(spark, column, ddl, *values):
@@ -182,6 +183,21 @@ def test_connected_areas(spark):
             if len(own) >= 5:
                 want += [(f"c{a:02d}{b:02d}", min(f"c{x:02d}{y:02d}" for x, y in own), len(own)) for a, b in own]
     assert sorted(map(tuple, spatial.connected_areas(df).collect())) == sorted(want)
+    assert sorted(map(tuple, spatial.connected_areas(df, few=0).collect())) == sorted(want)
+
+
+@pytest.mark.parametrize("name", ["emergent_clusters", "hotspots"])
+def test_areas_read_settled_cells(spark, sf, name):
+    """The plan of the result holds what was settled, not the summary of all events once more for each time the cells are read."""
+    plan = registry.queries()[name](spark, sf)._jdf.queryExecution().analyzed().toString()
+    assert "events.parquet" not in plan and "event_id" not in plan
+
+
+def test_area_of_one_row_takes_few_plans(spark):
+    """A long area, whose labels would take rounds, and cells without a neighbour."""
+    df = spark.createDataFrame([(f"c{i:04d}", i, 0) for i in range(300)] + [("alone", 0, 9)], "cell_id string, grid_ix int, grid_iy int")
+    rows = spatial.connected_areas(df, 1, most_rounds=0).collect()
+    assert sorted(map(tuple, rows)) == [("alone", "alone", 1)] + [(f"c{i:04d}", "c0000", 300) for i in range(300)]
 
 
 def test_polygons(spark):
