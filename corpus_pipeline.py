@@ -39,11 +39,13 @@ def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group of near-duplicates, the one with the smallest id."""
-    kept = settle(minhash.near_duplicates(docs, SIMILAR).where("kept").select(F.col("doc_id").alias("_kept")), "kept")
-    ids = settle(kept.distinct(), "kept")
-    one = docs.join(ids, docs["doc_id"].eqNullSafe(ids["_kept"]), "left_semi")
+    found = minhash.near_duplicates(docs, SIMILAR).select(F.col("doc_id").alias("_id"), "kept")
+    ids = settle(found.groupBy("_id").agg(F.count_if("kept").alias("n")), "kept")
+    # The ids that go are far fewer than those that stay: texts are shuffled only where they are too many to be broadcast.
+    gone = minhash.side(ids.where("n = 0").select("_id"))
+    one = docs.join(gone, docs["doc_id"].eqNullSafe(gone["_id"]), "left_anti")
     # Only where rows repeat an id do texts have to be compared again.
-    return one if ids.count() == kept.count() else one.dropDuplicates(["doc_id", "text"])
+    return one if ids.where("n > 1").isEmpty() else one.dropDuplicates(["doc_id", "text"])
 
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -287,7 +287,7 @@ def candidate_ties(nodes: DataFrame, similarity: float, trees: int = TREES) -> t
         if n_ends == n_large:
             break
         if deep is None:
-            deep = settle(nodes.select("node", "sig").join(_side(settle(more.select("node").distinct(), "deep")), "node", "left_semi"), "deep")
+            deep = settle(nodes.select("node", "sig").join(side(settle(more.select("node").distinct(), "deep")), "node", "left_semi"), "deep")
         level = more.select("node", "branch", F.col("n").alias("parent")).join(deep, "node")
     small, dense = settle(_union(small), "small"), _union(dense) if dense else None
     brief = nodes.select("node", "brief")
@@ -375,7 +375,7 @@ def _compare(groups: DataFrame, per_cent: int) -> DataFrame:
     return groups.select("key", "node", "shingles", "rest").repartition(n, "key").sortWithinPartitions("key").mapInArrow(run, "u binary, v binary")
 
 
-def _side(few: DataFrame) -> DataFrame:
+def side(few: DataFrame) -> DataFrame:
     """A table of ids as one side of a join: broadcast if it has at most BROADCAST_ROWS rows."""
     return F.broadcast(few) if few.count() <= BROADCAST_ROWS else few
 
@@ -394,8 +394,8 @@ def _with_sets(docs: DataFrame, members: DataFrame, width: int) -> DataFrame:
                 made = pa.array([s.tobytes() for s in sets], pa.binary())
                 yield pa.RecordBatch.from_arrays([own.column(0), own.column(1), own.column(2), made], names=["cluster", "size", "node", "shingles"]).filter(right)
 
-    side = _side(members).withColumnRenamed("doc_id", "_id")
-    joined = docs.select("doc_id", "text").join(side, F.col("doc_id").eqNullSafe(F.col("_id")))
+    few = side(members).withColumnRenamed("doc_id", "_id")
+    joined = docs.select("doc_id", "text").join(few, F.col("doc_id").eqNullSafe(F.col("_id")))
     return joined.select("cluster", "size", "node", "text").mapInArrow(run, "cluster long, size long, node binary, shingles binary")
 
 
@@ -444,7 +444,7 @@ def _large_links(sets: DataFrame, nodes: DataFrame, small: DataFrame, dense: Dat
     small(branch, node) and dense(branch, node) where the members met."""
     reach = 1 - per_cent / 100
     sets = settle(sets.dropDuplicates(["node"]), "sets")
-    state = settle(nodes.join(_side(sets.select("cluster", "node")), "node").select("cluster", "node", "sig"), "state")
+    state = settle(nodes.join(side(sets.select("cluster", "node")), "node").select("cluster", "node", "sig"), "state")
     sizes = settle(state.groupBy("cluster").agg(F.count("*").alias("n")), "sizes")
     # The common signature of about 256 members, coordinate by coordinate; the member nearest to it is the pivot.
     some = _on(state, sizes, "cluster").where(F.pmod(F.xxhash64("node", F.lit(0)), F.col("n")) < 256)
@@ -462,10 +462,10 @@ def _large_links(sets: DataFrame, nodes: DataFrame, small: DataFrame, dense: Dat
     left = settle(_on(d, low, "cluster").where(~F.col("near") | (F.col("d") >= F.col("low") - reach - 1e-9)).select("node", (~F.col("near")).alias("rest")), "left")
     if left.isEmpty():
         return links
-    units = small.join(_side(left), "node").select(F.col("branch").alias("key"), "node", "rest")
+    units = small.join(side(left), "node").select(F.col("branch").alias("key"), "node", "rest")
     open_ = units.groupBy("key").agg(F.count("*").alias("n"), F.max("rest").alias("r")).where("r and n > 1").select("key")
     units = units.join(open_, "key", "left_semi")
-    large = settle(dense.join(_side(left), "node").select("branch", "node", "rest"), "dense")
+    large = settle(dense.join(side(left), "node").select("branch", "node", "rest"), "dense")
     if not large.isEmpty():
         units = units.unionByName(_units(large, BLOCK))
     return links.unionByName(_compare(units.join(sets.select("node", "shingles"), "node"), per_cent))
@@ -490,7 +490,7 @@ def near_duplicates(docs: DataFrame, per_cent: int = 80, width: int = 5) -> Data
     large = settle(members.where(F.col("size") > CLUSTER).select("node", "name"), "large")
     if not large.isEmpty():
         sigs = nodes.select(F.col("name").alias("node"), "sig")
-        met = [settle(t.join(_side(large), "node").select("branch", F.col("name").alias("node")), "met") for t in (small, dense)]
+        met = [settle(t.join(side(large), "node").select("branch", F.col("name").alias("node")), "met") for t in (small, dense)]
         links = links.unionByName(_large_links(_with_sets(docs, clustered(F.col("size") > CLUSTER), width), sigs, *met, per_cent))
     links = components(links)
     joint = nodes.select("digest", "name").join(links.select(F.col("u").alias("name"), F.col("v").alias("root")), "name", "left")

@@ -83,3 +83,20 @@ def test_line_dedup_leaves_no_spread_line_beside_own_text(spark):
     rows = [(i, f"{shared}\nown words of {i}", "en", f"s{i}", 0) for i in range(12)] + [(20 + i, shared, "en", f"s{i}", 0) for i in range(12)]
     out = {r.doc_id: r.text for r in pipeline.line_dedup(spark, spark.createDataFrame(rows, docs.schema), SF).collect()}
     assert out == {i: f"own words of {i}" for i in range(12)} | {20 + i: shared for i in range(12)}
+
+
+def test_near_dedup_leaves_texts_where_they_are(spark):
+    """Texts meet the ids that go by a broadcast; rows that share an id stay if one of them does."""
+    rows = [(i, f"word{i} " * 5 + f"other{i} tail{i}") for i in range(40)] + [(100 + i, f"word{i} " * 5 + f"other{i} tail{i}") for i in range(4)]
+    rows += [(None, "null id one two three four five"), (200, "a b c d e f g"), (200, "word1 word1 word1 word1 word1 other1 tail1")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    was = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        out = pipeline.near_dedup(spark, docs.where("doc_id < 200"), SF)
+        assert "SortMergeJoin" not in out._jdf.queryExecution().executedPlan().toString()
+        assert sorted(r.doc_id for r in out.collect()) == list(range(40))
+        got = sorted((str(r.doc_id), r.text) for r in pipeline.near_dedup(spark, docs, SF).collect())
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", was)
+    assert got == sorted((str(i), t) for i, t in rows if i is None or i < 100 or i == 200)
