@@ -184,3 +184,42 @@ def test_learning_beats_single_ids(spark):
     scores = [lm.sequence_scores(v, m, *lm.closed(*lm._unbinary(pa.array([bytes(r.ids)]), np.uint16), v.end))[0] for r in rows.where("ids is not null").limit(20).collect()]
     assert np.mean(scores) > 50 * math.log10(1 / 5) * 1.3  # the entropy of the pairs, and some
     assert np.mean(scores) < 50 * math.log10(1 / 5) * 0.9
+
+
+def test_few_classes_begin_with_small_states():
+    """Where pairs say little, the model begins near the shares and with states that training can move."""
+    share = np.full(lm.CLASSES, 1e-5)
+    share[:11] = 1
+    share /= share.sum()
+    pairs = np.zeros((lm.CLASSES + 1, lm.CLASSES))
+    pairs[:11] = pairs[-1] = 4000 * share * (np.arange(lm.CLASSES) < lm.CLASSES // 2)
+    m = lm.Attention(share, pairs)
+    assert np.abs(m.p["emb"]).max() < 8
+    ids, cls = np.random.default_rng(6).integers(0, 11, (2, 4, lm.WINDOW))
+    assert m.gradients(ids, cls, np.ones(ids.shape, bool))[0] < 1.1 * math.log(11)
+
+
+def test_states_from_a_position_on():
+    m, ids = model(), np.random.default_rng(7).integers(0, lm.CLASSES + 1, (5, lm.WINDOW))
+    assert m.hidden(ids, 8)[-1] == pytest.approx(m.hidden(ids)[-1][:, 8:], rel=1e-4, abs=1e-4)
+
+
+def test_words_that_do_not_travel():
+    rng = np.random.default_rng(8)
+    words = [rng.integers(0, 4, n).astype(np.uint16) for n in rng.integers(1, 4, 300)]
+    size, text = np.array([len(w) for w in words]), np.sort(rng.integers(0, 9, 300)) + 1  # the first text has none, as may others
+    first = np.cumsum(size) - size
+    got = lm._others(np.concatenate(words), first, first + size, text, 12).to_pylist()
+    want = [Counter(w.tobytes() for w, t in zip(words, text, strict=True) if t == i) for i in range(12)]
+    assert [{x["word"]: x["m"] for x in r} for r in got] == want and [len(r) for r in got] == [len(w) for w in want]
+    none = np.zeros(0, np.int64)
+    assert lm._others(np.zeros(0, np.uint16), none, none, none, 2).to_pylist() == [[], []]
+
+
+def test_parts_by_size():
+    """A batch is cut before its texts become words, so a part of many texts has about a million bytes; null texts take none."""
+    texts = ["x" * 400_000, None, "y" * 700_000, "z" * 3_000_000, "", None, "a b"]
+    b = pa.RecordBatch.from_arrays([pa.array(range(7)), pa.array(texts)], names=["doc_id", "text"])
+    parts = [p.column(1).to_pylist() for p in lm._parts(iter([b]), 1)]
+    assert sum(parts, []) == texts
+    assert all(len(p) == 1 or sum(len(t or "") for t in p) <= 1_000_000 for p in parts)
