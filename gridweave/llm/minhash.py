@@ -40,7 +40,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from gridweave.llm.common import chunks_by_size, column_bytes, column_list, drop_settled, mix64, settle, words_of
+from gridweave.llm.common import chunks_by_size, column_bytes, column_list, drop_settled, lean, mix64, parts, settle, words_of
 from gridweave.llm.components import components
 
 K, TREES, DEPTH, SMALL = 128, 10, 10, 128
@@ -118,7 +118,7 @@ def sketches(docs: DataFrame, width: int = 5) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         shingler = Shingler(width)
-        for b in batches:
+        for b in parts(batches, 1):
             n, node, sig, brief = [], [], [], []
             for s in shingler.sets(column_bytes(b, "text")):
                 low = signature(s) if len(s) else None
@@ -128,7 +128,7 @@ def sketches(docs: DataFrame, width: int = 5) -> DataFrame:
                 brief.append(mix64(low.astype(np.uint64)).astype(np.uint8).tobytes() if len(s) else None)
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array(n, pa.int64()), *(pa.array(x, pa.binary()) for x in (node, sig, brief))], names=["doc_id", "n_shingles", "node", "sig", "brief"])
 
-    return docs.select("doc_id", "text").mapInArrow(run, "doc_id long, n_shingles long, node binary, sig binary, brief binary")
+    return docs.select("doc_id", "text").mapInArrow(lean(run), "doc_id long, n_shingles long, node binary, sig binary, brief binary")
 
 
 def _children(branch: Column, sig: Column, similarity: float) -> Column:
@@ -215,7 +215,7 @@ def _ties(members: DataFrame, least: float) -> DataFrame:
 
     n = members.sparkSession.conf.get("spark.sql.shuffle.partitions")
     placed = members.select("key", "node", "brief", "rest").repartition(int(n), "key").sortWithinPartitions("key", "node")
-    return placed.mapInArrow(run, "u long, v long").distinct()
+    return placed.mapInArrow(lean(run), "u long, v long").distinct()
 
 
 def _on(rows: DataFrame, few: DataFrame, key: str, how: str = "inner", size: int = 40, n: int | None = None) -> DataFrame:
@@ -254,7 +254,7 @@ def _pivot_ties(dense: DataFrame, least: float) -> tuple[DataFrame, DataFrame]:
     pivots = dense.groupBy("branch").agg(*(F.min_by(F.struct("node", "brief"), F.xxhash64("node", F.lit(i))).alias(f"p{i}") for i in range(PIVOTS)))
     pivots = settle(pivots, "pivot")
     sides = _on(dense, pivots, "branch", size=(K + 40) * PIVOTS).select("branch", "node", "brief", *(F.col(f"p{i}.brief").alias(f"b{i}") for i in range(PIVOTS)))
-    near = settle(sides.mapInArrow(run, "branch long, node long, " + ", ".join(f"near{i} boolean" for i in range(PIVOTS))), "near")
+    near = settle(sides.mapInArrow(lean(run), "branch long, node long, " + ", ".join(f"near{i} boolean" for i in range(PIVOTS))), "near")
     ties = near.groupBy("branch").agg(*(F.sum(F.col(f"near{i}").cast("long")).alias(f"n{i}") for i in range(PIVOTS)))
     # The pivot with the most ties is the branch's.
     best = F.element_at(F.sort_array(F.array(*(F.struct(F.col(f"n{i}").alias("n"), F.lit(i).alias("i"), F.col(f"p{i}.node").alias("u")) for i in range(PIVOTS))), False), 1)
@@ -372,7 +372,7 @@ def _compare(groups: DataFrame, per_cent: int) -> DataFrame:
         yield pa.RecordBatch.from_arrays([pa.array(us, pa.binary()), pa.array(vs, pa.binary())], names=["u", "v"])
 
     n = int(groups.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    return groups.select("key", "node", "shingles", "rest").repartition(n, "key").sortWithinPartitions("key").mapInArrow(run, "u binary, v binary")
+    return groups.select("key", "node", "shingles", "rest").repartition(n, "key").sortWithinPartitions("key").mapInArrow(lean(run), "u binary, v binary")
 
 
 def side(few: DataFrame) -> DataFrame:
@@ -385,18 +385,15 @@ def _with_sets(docs: DataFrame, members: DataFrame, width: int) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         shingler = Shingler(width)
-        for b in batches:
-            texts = column_bytes(b, "text")
-            for part in chunks_by_size(texts, 8_000_000):
-                sets = list(shingler.sets(texts[part]))
-                own = b.slice(part.start, len(sets))
-                right = pa.array([len(s) > 0 and digest(s) == n[9:] for s, n in zip(sets, column_list(own, "node"), strict=True)])
-                made = pa.array([s.tobytes() for s in sets], pa.binary())
-                yield pa.RecordBatch.from_arrays([own.column(0), own.column(1), own.column(2), made], names=["cluster", "size", "node", "shingles"]).filter(right)
+        for own in parts(batches, 3, 4_000_000):
+            sets = list(shingler.sets(column_bytes(own, "text")))
+            right = pa.array([len(s) > 0 and digest(s) == n[9:] for s, n in zip(sets, column_list(own, "node"), strict=True)])
+            made = pa.array([s.tobytes() for s in sets], pa.binary())
+            yield pa.RecordBatch.from_arrays([own.column(0), own.column(1), own.column(2), made], names=["cluster", "size", "node", "shingles"]).filter(right)
 
     few = side(members).withColumnRenamed("doc_id", "_id")
     joined = docs.select("doc_id", "text").join(few, F.col("doc_id").eqNullSafe(F.col("_id")))
-    return joined.select("cluster", "size", "node", "text").mapInArrow(run, "cluster long, size long, node binary, shingles binary")
+    return joined.select("cluster", "size", "node", "text").mapInArrow(lean(run), "cluster long, size long, node binary, shingles binary")
 
 
 def _distances(pairs: DataFrame) -> DataFrame:
@@ -415,7 +412,7 @@ def _distances(pairs: DataFrame) -> DataFrame:
                 inter.append(int((pivot[np.minimum(at, len(pivot) - 1)] == s).sum()))
             yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), b.column(2), pa.array([len(x.as_buffer()) // 8 for x in b.column(3)], pa.int64()), pa.array([len(x.as_buffer()) // 8 for x in b.column(4)], pa.int64()), pa.array(inter, pa.int64())], names=["cluster", "node", "pivot", "n", "m", "inter"])
 
-    return pairs.select("cluster", "node", "pivot", "shingles", "pivot_shingles").mapInArrow(run, "cluster long, node binary, pivot binary, n long, m long, inter long")
+    return pairs.select("cluster", "node", "pivot", "shingles", "pivot_shingles").mapInArrow(lean(run), "cluster long, node binary, pivot binary, n long, m long, inter long")
 
 
 def _common(some: pd.DataFrame) -> pd.DataFrame:
@@ -436,7 +433,7 @@ def _likeness(rows: DataFrame) -> DataFrame:
             same = (_fixed(b.column(2), 4 * K).view(np.uint32) == _fixed(b.column(3), 4 * K).view(np.uint32)).sum(1) if b.num_rows else np.empty(0, np.int64)
             yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(same, pa.int64())], names=["cluster", "node", "like"])
 
-    return rows.select("cluster", "node", "sig", "common").mapInArrow(run, "cluster long, node binary, like long")
+    return rows.select("cluster", "node", "sig", "common").mapInArrow(lean(run), "cluster long, node binary, like long")
 
 
 def _large_links(sets: DataFrame, nodes: DataFrame, small: DataFrame, dense: DataFrame, per_cent: int) -> DataFrame:

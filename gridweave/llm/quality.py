@@ -19,7 +19,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from gridweave.llm.common import column_bytes, crc_mod
+from gridweave.llm.common import column_bytes, crc_mod, lean, parts
 
 #: Labelled rows that a model is trained on at most, by the smallest hashes of their ids.
 MAX_TRAIN = 20_000
@@ -135,11 +135,11 @@ def features(docs: DataFrame, keep: list[str]) -> DataFrame:
     kinds = docs.select(*keep).schema.simpleString()[7:-1]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
+        for b in parts(batches, len(keep)):
             x = [statistics(t) for t in column_bytes(b, "text")]
             yield pa.RecordBatch.from_arrays([*(b.column(i) for i in range(len(keep))), pa.array(x, pa.list_(pa.float64()))], names=[*keep, "x"])
 
-    return docs.select(*keep, "text").mapInArrow(run, f"{kinds}, x array<double>")
+    return docs.select(*keep, "text").mapInArrow(lean(run), f"{kinds}, x array<double>")
 
 
 def train(docs: DataFrame, labels: DataFrame, usable: Column | None = None, most: int = MAX_TRAIN) -> Trees:
@@ -164,16 +164,17 @@ def score(docs: DataFrame, model: Trees, keep: list[str] | None = None, name: st
     kinds = docs.select(*keep).schema
     shared = docs.sparkSession.sparkContext.broadcast(model)  # some 30 KB
     as_is = [f"_c{i}" for i in range(len(keep))]
+    names, at = ([*as_is], keep.index("text")) if "text" in keep else ([*as_is, "_text"], len(keep))  # a kept text travels once
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            x = np.array([statistics(t) for t in column_bytes(b, "_text")]).reshape(b.num_rows, len(NAMES))
+        for b in parts(batches, at):
+            x = np.array([statistics(t) for t in column_bytes(b, names[at])]).reshape(b.num_rows, len(NAMES))
             s = np.concatenate([shared.value.predict(x[i : i + 2000]) for i in range(0, len(x), 2000)]) if len(x) else np.empty(0)
             yield pa.RecordBatch.from_arrays([*(b.column(i) for i in range(len(keep))), pa.array(s, pa.float64())], names=[*as_is, "_score"])
 
-    renamed = docs.select(*(docs[c].alias(n) for c, n in zip(keep, as_is, strict=True)), docs["text"].alias("_text"))
+    renamed = docs.select(*(docs[c].alias(n) for c, n in zip([*keep, "text"], names, strict=False)))
     ddl = ", ".join(f"{n} {f.dataType.simpleString()}" for n, f in zip(as_is, kinds, strict=True))
-    return renamed.mapInArrow(run, f"{ddl}, _score double").toDF(*keep, name)
+    return renamed.mapInArrow(lean(run), f"{ddl}, _score double").toDF(*keep, name)
 
 
 def labelled(doc_id: str = "doc_id") -> Column:

@@ -3,9 +3,11 @@
 import base64
 import hashlib
 import random
+import tracemalloc
 
 import numpy as np
 import public_tokenizers
+import pyarrow as pa
 import pytest
 import tiktoken
 
@@ -59,3 +61,21 @@ def test_encode_keeps_columns(spark, reference):
     docs = spark.createDataFrame([(1, "Hello world", "s"), (2, None, None)], "doc_id long, text string, decoded string")
     got = bpe.encode(docs.withColumnRenamed("decoded", "source"), PATH, PATTERN, keep=("doc_id", "source")).orderBy("doc_id").collect()
     assert [(r.doc_id, r.source, r.ids, r.decoded) for r in got] == [(1, "s", reference.encode_ordinary("Hello world"), "Hello world"), (2, None, [], "")]
+
+
+def test_a_batch_is_cut_before_its_texts_become_strings(spark, monkeypatch):
+    """A kept text travels to the workers once, and of a large batch a worker holds some texts at a time."""
+    docs, sent = spark.createDataFrame([(1, "a b", "s")], "doc_id long, text string, source string"), []
+    real = type(docs).mapInArrow
+    monkeypatch.setattr(type(docs), "mapInArrow", lambda self, run, schema: sent.append((self.columns, run)) or real(self, run, schema))
+    bpe.encode(docs, PATH, PATTERN, keep=("doc_id", "source", "text"))
+    columns, run = sent[0]
+    assert len(columns) == 3
+    text = "some words that come again and again " * 600
+    batch = pa.RecordBatch.from_arrays([pa.array(range(2000)), pa.array(["s"] * 2000), pa.array([text] * 2000)], names=columns)
+    bpe.load(PATH, PATTERN)
+    tracemalloc.start()
+    rows = sum(b.num_rows for b in run(iter([batch])))
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert rows == 2000 and peak < 30_000_000  # the batch's texts are 44 MB
