@@ -79,3 +79,15 @@ def test_a_batch_is_cut_before_its_texts_become_strings(spark, monkeypatch):
     peak = tracemalloc.get_traced_memory()[1]
     tracemalloc.stop()
     assert rows == 2000 and peak < 30_000_000  # the batch's texts are 44 MB
+
+
+def test_only_new_neighbours_are_looked_up(reference, monkeypatch):
+    """Pairs of bytes have a table of their own; after it a merge looks up two pairs at most, and pieces of any length merge alike."""
+    coder, rng, seen = bpe.ByteBPE(PATH, PATTERN), random.Random(2), []
+    pieces = ["".join(rng.choices("abcdeé \u6f22123", k=rng.randrange(2, 90))).encode() for _ in range(500)] + [b"a" * k for k in (2, 3, bpe.LONG - 1, bpe.LONG)]
+    real = bpe.PairTable.get
+    monkeypatch.setattr(bpe.PairTable, "get", lambda self, left, right: seen.append(left.size) or real(self, left, right))
+    lens = np.array([len(p) for p in pieces])
+    ids, n = coder.merge_bucket(pieces, lens)
+    assert sum(seen) <= 2 * int((lens - n).sum())
+    assert [x[:k].tolist() for x, k in zip(ids, n, strict=True)] == [coder.merge_long(p).tolist() for p in pieces]
