@@ -9,7 +9,7 @@ import pyarrow as pa
 import pytest
 
 from gridweave.llm import bpe, lm
-from gridweave.llm.common import crc_mod, held_out
+from gridweave.llm.common import crc_mod, held_out, words_of
 from pyspark.sql import functions as F
 
 PATH, PATTERN = public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN
@@ -223,3 +223,51 @@ def test_parts_by_size():
     parts = [p.column(1).to_pylist() for p in lm._parts(iter([b]), 1)]
     assert sum(parts, []) == texts
     assert all(len(p) == 1 or sum(len(t or "") for t in p) <= 1_000_000 for p in parts)
+
+
+def test_words_are_cut_once():
+    """Blocks become different words and their places as words_of cuts texts, in slices too; each different word is encoded once."""
+    rng = np.random.default_rng(9)
+    signs = [*map(chr, range(0x180)), "\u1680", "\u2003", "\u3000", "\u212a", "\U0001f600", *" \n\t\x0b\x0c\r" * 20, *"AZaz" * 20]
+    rows = [None, "", " ", " a  A ", *("".join(rng.choice(signs, n)) for n in rng.integers(0, 40, 400)), None, "b"]
+    for col in (pa.array(rows), pa.array(rows).slice(150, 200), pa.array(["c", *rows]).slice(1), pa.array([None, None], pa.string()).slice(1)):
+        words, at, lengths = lm.split_words(col)
+        words = [w.encode() for w in words.to_pylist()]
+        want = [words_of(t.encode() if t else None) for t in col.to_pylist()]
+        assert [words[i] for i in at] == sum(want, []) and lengths.tolist() == [len(w) for w in want]
+        assert len(set(words)) == len(words) and set(words) == set(sum(want, []))
+    coder, met = bpe.load(PATH, PATTERN), []
+    own = lm.Words(type("Coder", (), {"encode_flat": lambda _, pieces: met.extend(pieces) or coder.encode_flat(pieces)})())
+    blocks = [["wort", "né"], ["né"], ["x1", "wort", "stein"], []]
+    slots = [own.slots(pa.array(b, pa.large_string())) for b in blocks]
+    assert [s.tolist() for s in slots] == [[0, 1], [1], [2, 0, 3], []] and met == [b" wort", " né".encode(), b" x1", b" stein"]
+    assert own.expand(slots[2]).tolist() == coder.encode_flat([b" x1", b" wort", b" stein"])[0].tolist()
+
+
+@pytest.mark.parametrize("n", [1, 2, 3000])
+def test_known_words_share_buckets(n):
+    rng = np.random.default_rng(10)
+    words = [tuple(w) for w in {tuple(rng.integers(0, 50, k)) for k in rng.integers(1, 5, 2 * n)}]
+    ids, size = np.concatenate([np.array(w) for w in words]), np.array([len(w) for w in words])
+    first, known = np.cumsum(size) - size, np.arange(0, len(words), 2)
+    counts = lm.Counts(np.concatenate([np.array(words[i]) for i in known]), size[known], known + 1)
+    found = counts.find(ids, first)
+    assert found[known] == pytest.approx(np.log10(known + 2.0)) and np.isnan(np.delete(found, known)).all()
+    none = np.zeros(0, np.int64)
+    assert np.isnan(lm.Counts(none, none, none).find(ids, first)).all() and len(counts.find(none, none)) == 0
+
+
+def test_adam_by_hand():
+    rng = np.random.default_rng(11)
+    m, batches = model(), [(rng.integers(0, lm.CLASSES + 1, (4, 9)), rng.integers(0, lm.CLASSES, (4, 9)), rng.random((4, 9)) > 0.2) for _ in range(4)]
+    plain = model()
+    mean, square = ({k: np.zeros(v.shape) for k, v in plain.p.items()} for _ in range(2))
+    for step, b in enumerate(batches, 1):
+        g = plain.gradients(*b)[1]
+        for k, v in plain.p.items():
+            mean[k] += 0.1 * (g[k] - mean[k])
+            square[k] += 0.01 * (g[k].astype(float) ** 2 - square[k])
+            plain.p[k] = (v - 0.01 * np.sqrt(1 - 0.99**step) / (1 - 0.9**step) * mean[k] / (np.sqrt(square[k]) + 1e-8)).astype(np.float32)
+    assert m.follow(iter(batches), 0.01) == sum(int(b[2].sum()) for b in batches)
+    for k in m.p:
+        assert m.p[k] == pytest.approx(plain.p[k], abs=2e-4), k
